@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rulegauge.functions import values as V
@@ -53,31 +53,37 @@ def _sentence(rule_id: Column, ok: Column, detail: Column) -> Column:
     return F.concat(F.lit("Rule "), rule_id, F.when(ok, " satisfied: ").otherwise(" BREACHED: "), detail)
 
 
-def rule_operand(v: Column) -> Column:
+def rule_operand(v: Column, low: Column, high: Column) -> Column:
     """Everything a rule operator reads from its operand, worked out once on the rules side.
 
     An absent, null, empty, zero or false operand reads as the empty list for set operators.
     """
     text = F.to_json(v)
+    number = V.parse_float(v)
     empty = v.isNull() | F.coalesce(text.isin("null", "[]", "{}", "0", "false", '""'), F.lit(True))
     return F.struct(
-        V.parse_float(v).alias("number"),
+        number.alias("number"), V.float_text(number).alias("number_text"),
+        F.concat(F.lit("["), V.float_text(low), F.lit(", "), V.float_text(high), F.lit("]")).alias("range_text"),
         F.when(empty, F.array().cast("array<string>")).otherwise(V.list_keys(v)).alias("keys"),
         (~empty & (V.kind(v) != "array")).alias("not_a_list"),
         F.coalesce(text, F.lit("[]")).alias("text"),
     )
 
 
-def rule_observation(v: Column) -> Column:
-    """Everything a rule operator reads from the observed value (already looked up)."""
-    value = V.split_value(v)
-    return F.struct(
-        (v.isNull() | F.is_variant_null(v)).alias("missing"),
-        V.split_unit(v).alias("unit"),
-        V.parse_float(value).alias("number"),
-        V.value_key(value).alias("key"),
-        F.coalesce(V.as_text(value), F.to_json(value)).alias("text"),
-    )
+def with_rule_observation(df: DataFrame, name: str = "_seen") -> DataFrame:
+    """Adds what rule operators read from ``measurement`` at ``metric``, one step per column so that no step
+    is worked out twice."""
+    at, value, k, text = F.col("_at"), F.col("_value"), F.col("_kind"), F.col("_text")
+    return (
+        df.withColumn("_at", V.lookup(F.col("measurement"), F.col("metric")))
+        .withColumns({"_value": V.split_value(at), "_unit": V.split_unit(at)})
+        .withColumns({"_kind": V.kind(value), "_text": V.as_text(value)})
+        .withColumns({"_number": V.parse_float(value, k), "_key": V.value_key(value, k)})
+        .withColumn(name, F.struct(
+            (at.isNull() | F.is_variant_null(at)).alias("missing"), F.col("_unit").alias("unit"),
+            F.col("_number").alias("number"), V.float_text(F.col("_number")).alias("number_text"),
+            F.col("_key").alias("key"), F.coalesce(text, F.to_json(value)).alias("text")))
+        .drop("_at", "_value", "_unit", "_kind", "_text", "_number", "_key"))
 
 
 def decision(verdict, reasoning: Column) -> Column:
@@ -89,8 +95,8 @@ def stateless_decision(*, rule_id: Column, operator: Column, metric: Column, uni
                        high: Column, operand: Column, seen: Column) -> Column:
     """Verdict and reasoning of an operator that needs the record only.
 
-    ``operand`` is a :func:`rule_operand`, ``seen`` a :func:`rule_observation`; ``low`` and ``high``
-    bound ``range``/``between``.
+    ``operand`` is a :func:`rule_operand`, ``seen`` comes from :func:`with_rule_observation`; ``low`` and
+    ``high`` bound ``range``/``between``.
     """
     number, limit = seen["number"], operand["number"]
     clash = (F.coalesce(unit, F.lit("")) != "") & (F.coalesce(seen["unit"], F.lit("")) != "") \
@@ -98,11 +104,10 @@ def stateless_decision(*, rule_id: Column, operator: Column, metric: Column, uni
     lead = F.concat(metric, F.lit("="))
 
     compare_ok = compare_by(operator, number, limit)
-    compare_text = F.concat(lead, V.float_text(number), F.lit(" "), _sign(operator, compare_ok), F.lit(" "),
-                            V.float_text(limit))
+    lead_number = F.concat(lead, seen["number_text"])
+    compare_text = F.concat(lead_number, F.lit(" "), _sign(operator, compare_ok), F.lit(" "), operand["number_text"])
     inside = truthy_compare("lte", low, number) & truthy_compare("lte", number, high)
-    inside_text = F.concat(lead, V.float_text(number), F.when(inside, " in [").otherwise(" outside ["),
-                           V.float_text(low), F.lit(", "), V.float_text(high), F.lit("]"))
+    inside_text = F.concat(lead_number, F.when(inside, " in ").otherwise(" outside "), operand["range_text"])
     member = F.coalesce(F.array_contains(operand["keys"], seen["key"]), F.lit(False))
     set_ok = member != (operator == "not_in_set")
     set_text = F.concat(lead, seen["text"], F.when(member, " ∈ ").otherwise(" ∉ "), operand["text"])
@@ -136,11 +141,11 @@ def stateless_decision(*, rule_id: Column, operator: Column, metric: Column, uni
     )
 
 
-def compare_decision(*, rule_id: Column, cmp: Column, observed: Column, target: Column, label: Column) -> Column:
+def compare_decision(*, rule_id: Column, cmp: Column, observed: Column, target: Column, label: Column,
+                     observed_text: Column, target_text: Column) -> Column:
     """Verdict and reasoning of an aggregate against its target; unknown code is for a human."""
     ok = compare_by(cmp, observed, target)
-    text = F.concat(label, F.lit(": "), V.float_text(observed), F.lit(" "), _sign(cmp, ok), F.lit(" "),
-                    V.float_text(target))
+    text = F.concat(label, F.lit(": "), observed_text, F.lit(" "), _sign(cmp, ok), F.lit(" "), target_text)
     return F.when(ok.isNull(), F.struct(
         F.lit("DISCRETIONARY").alias("verdict"),
         F.concat(F.lit("Rule "), rule_id, F.lit(": unknown comparison '"), F.coalesce(cmp, F.lit("None")),
@@ -164,9 +169,15 @@ def obligation_operand(v: Column) -> Column:
     )
 
 
-def observation(v: Column) -> Column:
-    """What the obligation checks read from an observed VARIANT. Booleans count as numbers here."""
-    return F.struct(V.number_or_bool(v).alias("number"), V.value_key(_none_as_null(v)).alias("key"))
+def observation(v: Column, k: Column | None = None) -> Column:
+    """What the obligation checks read from an observed VARIANT. Booleans count as numbers here.
+
+    ``k`` is ``kind(v)`` as a column of its own, so that it is worked out once.
+    """
+    k = V.kind(v) if k is None else k
+    return F.struct(
+        F.when(k.isin("number", "bool"), V.as_double(v)).alias("number"),
+        F.when(k != "null", V.value_key(v, k)).alias("key"))
 
 
 def satisfied(predicate: Column, seen: Column, operand: Column) -> Column:

@@ -8,29 +8,25 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 MICROS = 1_000_000
 
 # ---- typing of VARIANT values --------------------------------------------------------
 
-_NUMBER_TYPE = r"^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"
+_KINDS = {
+    "VOID": "null", "BOOLEAN": "bool", "STRING": "string", "ARRAY": "array", "OBJECT": "object",
+    **dict.fromkeys(("TINYINT", "SMALLINT", "INT", "BIGINT", "FLOAT", "DOUBLE", "DECIMAL"), "number"),
+}
 # What a float parser accepts: underscores between digits, exponent, inf and nan.
 _FLOAT_TEXT = r"(?i)^[+-]?((\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)(e[+-]?\d+(_\d+)*)?|inf|infinity|nan)$"
 
 
 def kind(v: Column) -> Column:
-    """absent, null, bool, number, string, array, object or other."""
-    shape = F.schema_of_variant(v)
-    return (
-        F.when(v.isNull(), "absent")
-        .when(F.is_variant_null(v), "null")
-        .when(shape == "BOOLEAN", "bool")
-        .when(shape == "STRING", "string")
-        .when(shape.rlike(_NUMBER_TYPE), "number")
-        .when(shape.startswith("ARRAY"), "array")
-        .when(shape.startswith("OBJECT"), "object")
-        .otherwise("other")
-    )
+    """absent, null, bool, number, string, array, object or other. The type text is looked at once."""
+    head = F.substring_index(F.substring_index(F.schema_of_variant(v), "<", 1), "(", 1)
+    names = F.create_map(*[F.lit(x) for pair in _KINDS.items() for x in pair])
+    return F.coalesce(F.try_element_at(names, head), F.when(v.isNull(), "absent").otherwise("other"))
 
 
 def as_double(v: Column) -> Column:
@@ -51,8 +47,9 @@ def number_or_bool(v: Column) -> Column:
     return F.when(kind(v).isin("number", "bool"), as_double(v))
 
 
-def parse_float(v: Column) -> Column:
-    """Numbers, booleans and numeric text as DOUBLE; NULL where parsing fails."""
+def parse_float(v: Column, k: Column | None = None) -> Column:
+    """Numbers, booleans and numeric text as DOUBLE; NULL where parsing fails. ``k`` is ``kind(v)`` if known."""
+    k = kind(v) if k is None else k
     text = F.regexp_replace(as_text(v), r"^(?U)\s+|(?U)\s+$", "")
     plain = F.regexp_replace(text, "_", "")
     parsed = F.when(F.lower(plain).rlike(r"^[+-]?inf"), F.when(plain.startswith("-"), float("-inf"))
@@ -60,14 +57,14 @@ def parse_float(v: Column) -> Column:
         .when(F.lower(plain).rlike(r"^[+-]?nan"), float("nan")) \
         .otherwise(plain.try_cast("double"))
     return (
-        F.when(kind(v).isin("number", "bool"), as_double(v))
-        .when((kind(v) == "string") & text.rlike(_FLOAT_TEXT), parsed)
+        F.when(k.isin("number", "bool"), as_double(v))
+        .when((k == "string") & text.rlike(_FLOAT_TEXT), parsed)
     )
 
 
-def value_key(v: Column) -> Column:
+def value_key(v: Column, k: Column | None = None) -> Column:
     """Text that is equal for values that compare equal: 85 and 85.0, true and 1, not "85"."""
-    k = kind(v)
+    k = kind(v) if k is None else k
     return (
         F.when(k.isin("number", "bool"), F.concat(F.lit("n:"), (as_double(v) + F.lit(0.0)).cast("string")))
         .when(k == "string", F.concat(F.lit("s:"), as_text(v)))
@@ -77,7 +74,7 @@ def value_key(v: Column) -> Column:
 
 def list_keys(v: Column) -> Column:
     """``value_key`` of every element of a VARIANT array."""
-    return F.transform(F.try_variant_get(v, "$", "array<variant>"), value_key)
+    return F.transform(F.try_variant_get(v, F.lit("$"), "array<variant>"), lambda x: value_key(x))
 
 
 # ---- paths ----------------------------------------------------------------------------
@@ -100,13 +97,12 @@ def flat_key(v: Column, key: Column) -> Column:
 
 def split_value(v: Column) -> Column:
     """``{value, unit}`` objects give their ``value``; anything else is its own value."""
-    inner = F.try_variant_get(v, "$.value", "variant")
-    return F.when((kind(v) == "object") & inner.isNotNull(), inner).otherwise(v)
+    return F.coalesce(F.try_variant_get(v, F.lit("$.value"), "variant"), v)
 
 
 def split_unit(v: Column) -> Column:
-    inner = F.try_variant_get(v, "$.value", "variant")
-    return F.when((kind(v) == "object") & inner.isNotNull(), F.try_variant_get(v, "$.unit", "string"))
+    inner = F.try_variant_get(v, F.lit("$.value"), "variant")
+    return F.when(inner.isNotNull(), F.try_variant_get(v, F.lit("$.unit"), "string"))
 
 
 # ---- text -----------------------------------------------------------------------------
@@ -172,7 +168,7 @@ def canonical_json(v: Column) -> Column:
     return F.to_json(v)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_json_exact(texts: pd.Series) -> pd.Series:
     """Canonical JSON that keeps each number as written in the source (``85.0`` stays)."""
     def one(text):

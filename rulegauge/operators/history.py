@@ -36,7 +36,7 @@ def window_stats(probe: DataFrame, history: DataFrame | None = None, *, seconds:
         return F.lit(None).cast("double")
 
     length = F.lit(seconds) if isinstance(seconds, int) else F.col(seconds)
-    span = (length * V.MICROS).cast("bigint").alias("_span")
+    span = (length.cast("bigint") * V.MICROS).alias("_span")
     left = probe.select(*keys, id_col, V.micros(F.col("ts")).alias("_us"), span,
                         (number() if history is None else F.lit(None).cast("double")).alias("val"))
     left = left.filter("_us IS NOT NULL AND _span > 0")
@@ -71,7 +71,7 @@ def rule_window_stats(probe: DataFrame, history: DataFrame, *, id_col: str = "me
     """
     keys = list(keys or SUBJECT)
     asks = probe.filter("seconds > 0 AND ts IS NOT NULL").withColumn(
-        "_span", (F.col("seconds") * V.MICROS).cast("bigint")).withColumn("_path", F.coalesce("metric", F.lit("")))
+        "_span", F.col("seconds").cast("bigint") * V.MICROS).withColumn("_path", F.coalesce("metric", F.lit("")))
     wanted = asks.select(*keys, "_span", "_path").distinct()
     number = F.when(F.col("_path") != "", V.number_or_null(V.lookup(F.col("measurement"), F.col("_path"))))
     right = (history.select(*keys, V.micros(F.col("ts")).alias("_us"), "measurement").filter("_us IS NOT NULL")

@@ -71,9 +71,9 @@ def sustained_low(samples: DataFrame, *, value: str, threshold: float, for_secon
 
 def recent_gaps(gaps: DataFrame, probes: DataFrame, *, keys: list[str], id_col: str, seconds: int = 900) -> DataFrame:
     """For each probe row the number of gap rows within the last ``seconds``; ``firing`` when there is any."""
-    span = F.lit(seconds * V.MICROS).cast("bigint").alias("_span")
-    left = probes.select(*keys, id_col, V.micros(F.col("ts")).alias("_us"), span)
-    right = gaps.select(*keys, V.micros(F.col("ts")).alias("_us"), span)
+    span = F.lit(seconds).cast("bigint") * V.MICROS
+    left = probes.select(*keys, id_col, V.micros(F.col("ts")).alias("_us"), span.alias("_span"))
+    right = gaps.select(*keys, V.micros(F.col("ts")).alias("_us"), span.alias("_span"))
     got = trailing(left, right, keys=keys, pos="_us", span="_span", id_col=id_col)
     return got.select(id_col, F.col("n").alias("gaps"), (F.col("n") > 0).alias("firing"))
 

@@ -102,11 +102,8 @@ def trailing(probe: DataFrame, history: DataFrame | None, *, keys: list[str], po
         return [(prefix + name, expr) for name, expr in out]
 
     names = [name for name, _ in measures()]
-    both = rows
-    for name, expr in measures():
-        both = both.withColumn("_up_" + name, expr.over(up_to))
-    for name, expr in measures():
-        both = both.withColumn("_dn_" + name, expr.over(after))
+    both = rows.select("*", *[expr.over(up_to).alias("_up_" + name) for name, expr in measures()],
+                       *[expr.over(after).alias("_dn_" + name) for name, expr in measures()])
     edge = [F.when(F.col("_start"), F.col("_dn_" + n)).otherwise(F.col("_up_" + n)).alias(n) for n in names]
     edges = both.filter(F.col("_id").isNotNull()).select(
         *tile_keys, "_id", "_start", "_tile", "_at", "_width", *edge)
@@ -121,11 +118,9 @@ def trailing(probe: DataFrame, history: DataFrame | None, *, keys: list[str], po
         totals = ends.groupBy(*tile_keys, "_width", "_tile").agg(*[e.alias(n) for n, e in measures()])
         by_tile = Window.partitionBy(*tile_keys).orderBy("_tile")
         wide, narrow = by_tile.rangeBetween(-(tiles - 1), -1), by_tile.rangeBetween(-(tiles - 2), -1)
-        between = totals
-        for n in names:
-            between = between.withColumn("_w_" + n, fold(n).over(wide))
-            between = between.withColumn("_s_" + n, fold(n).over(narrow) if tiles > 2 else F.lit(None))
-        between = between.select(*tile_keys, "_tile", *[f"_{c}_{n}" for c in "ws" for n in names])
+        between = totals.select(
+            *tile_keys, "_tile", *[fold(n).over(wide).alias("_w_" + n) for n in names],
+            *[(fold(n).over(narrow) if tiles > 2 else F.lit(None)).alias("_s_" + n) for n in names])
         first_tile = F.floor((F.col("_at") - F.col(span)) / F.col("_width")).cast("bigint")
         joined = edges.join(between, [*tile_keys, "_tile"], "left")
         reach = F.col("_tile") - first_tile

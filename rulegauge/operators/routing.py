@@ -89,13 +89,11 @@ _BUCKET_US = 30 * 86_400 * V.MICROS
 
 def locate_cells(records: DataFrame, cells: DataFrame) -> DataFrame:
     """The cell of each (record, token): equi-joins on token and on a 30-day bucket clamped to the token's boundaries."""
-    last = Window.partitionBy("token")
-    bounded = (cells.withColumn("first_bucket", F.floor(F.min(F.when(F.col("start_us") > -(2**61), F.col("start_us")))
-                                                     .over(last) / _BUCKET_US) - 1)
-               .withColumn("final_bucket", F.floor(F.max(F.when(F.col("start_us") > -(2**61), F.col("start_us")))
-                                                .over(last) / _BUCKET_US) + 1)
-               .withColumn("first_bucket", F.coalesce("first_bucket", F.lit(0)).cast("bigint"))
-               .withColumn("final_bucket", F.coalesce("final_bucket", F.lit(0)).cast("bigint")))
+    whole = Window.partitionBy("token")
+    dated = F.when(F.col("start_us").between(-(2**61), 2**61), F.floor(F.col("start_us") / _BUCKET_US).cast("bigint"))
+    bounded = cells.select(
+        "*", F.coalesce(F.min(dated).over(whole) - 1, F.lit(0)).alias("first_bucket"),
+        F.coalesce(F.max(dated).over(whole) + 1, F.lit(0)).alias("final_bucket"))
     span = bounded.select("token", "first_bucket", "final_bucket").distinct()
     lo = F.greatest(F.col("first_bucket"), F.floor(F.col("start_us") / _BUCKET_US).cast("bigint"))
     hi = F.least(F.col("final_bucket"), F.floor((F.col("stop_us") - 1) / _BUCKET_US).cast("bigint"))

@@ -12,8 +12,7 @@ from rulegauge.operators import history as H
 
 def evaluate_stateless(routed: DataFrame) -> DataFrame:
     """Adds ``verdict`` and ``reasoning`` from the record alone; operators over history go to a human."""
-    steps = (routed.withColumn("_at", V.lookup(F.col("measurement"), F.col("metric")))
-             .withColumn("_seen", P.rule_observation(F.col("_at"))))
+    steps = P.with_rule_observation(routed)
     judged = P.stateless_decision(
         rule_id=F.col("rule_id"), operator=F.col("operator"), metric=F.col("metric"), unit=F.col("unit"),
         low=F.col("low"), high=F.col("high"), operand=F.col("operand"), seen=F.col("_seen"))
@@ -71,10 +70,14 @@ def _with_history(routed: DataFrame, history: DataFrame, seen: DataFrame, id_col
     windowed = routed.filter(F.col("operator").isin(*P.WINDOW_OPERATORS))
     stats = H.rule_window_stats(windowed, history, id_col=id_col).select(
         id_col, F.col("count").alias("_n"), F.col("sum_value").alias("_sum"), F.col("avg_value").alias("_avg"))
-    steps = (routed.join(seen, id_col, "left").join(stats, id_col, "left")
-             .withColumn("_at", V.lookup(F.col("measurement"), F.col("metric")))
-             .withColumn("_seen", P.rule_observation(F.col("_at")))
-             .withColumn("_gap", H.elapsed_seconds(F.col("ts"), F.col("_last"))))
+    joined = (routed.join(seen, id_col, "left").join(stats, id_col, "left")
+              .withColumn("_gap", H.elapsed_seconds(F.col("ts"), F.col("_last"))))
+    operator = F.col("operator")
+    measured = (F.when(operator == "window_count", F.coalesce(F.col("_n"), F.lit(0)).cast("double"))
+                .when(operator == "window_sum", F.col("_sum")).when(operator == "window_avg", F.col("_avg"))
+                .when(operator == "since_last", F.col("_gap")))
+    steps = P.with_rule_observation(joined.withColumn("_measured", measured)).withColumn(
+        "_measured_text", V.float_text(F.col("_measured")))
     return _finish(steps.withColumn("_d", full_decision()), routed.columns)
 
 
@@ -85,33 +88,30 @@ def full_decision():
     lead = F.concat(F.lit("Rule "), rule_id)
     over = F.concat(F.lit(" over "), seconds.cast("string"), F.lit("s"))
     target = F.col("operand.number")
-    cmp_default = F.coalesce(F.col("cmp_op"), F.lit("lte"))
+    measured = F.col("_measured")
 
-    def none_found(name):
-        return P.decision("NULL_UNMAPPED", F.concat(
-            lead, F.lit(f": {name} found no numeric values at '"), F.col("metric"), F.lit("' for '"), subject,
-            F.lit("' in the last "), seconds.cast("string"), F.lit("s.")))
-
-    def against(value, label, cmp=cmp_default, goal=target):
-        return P.compare_decision(rule_id=rule_id, cmp=cmp, observed=value, target=goal, label=label)
+    def against(label, cmp, goal, goal_text):
+        return P.compare_decision(rule_id=rule_id, cmp=cmp, observed=measured, target=goal, label=label,
+                                  observed_text=F.col("_measured_text"), target_text=goal_text)
 
     unusable = P.decision("DISCRETIONARY", F.concat(lead, F.lit(": operator '"), operator, F.lit(
         "' requires a telemetry timestamp and complete parameters.")))
-    named = F.concat(F.lit("("), F.col("metric"), F.lit(")"))
+    none_found = P.decision("NULL_UNMAPPED", F.concat(
+        lead, F.lit(": "), operator, F.lit(" found no numeric values at '"), F.col("metric"), F.lit("' for '"), subject,
+        F.lit("' in the last "), seconds.cast("string"), F.lit("s.")))
+    label = F.when(operator == "window_count", F.concat(F.lit("count"), over)).otherwise(F.concat(
+        F.substring_index(operator, "_", -1), F.lit("("), F.col("metric"), F.lit(")"), over))
     window = (
         F.when(F.col("ts").isNull() | seconds.isNull() | (seconds <= 0) | target.isNull(), unusable)
-        .when(operator == "window_count", against(F.coalesce(F.col("_n"), F.lit(0)).cast("double"),
-                                                  F.concat(F.lit("count"), over)))
-        .when(operator == "window_sum", F.when(F.col("_sum").isNull(), none_found("window_sum"))
-              .otherwise(against(F.col("_sum"), F.concat(F.lit("sum"), named, over))))
-        .otherwise(F.when(F.col("_avg").isNull(), none_found("window_avg"))
-                   .otherwise(against(F.col("_avg"), F.concat(F.lit("avg"), named, over)))))
+        .when(measured.isNull(), none_found)
+        .otherwise(against(label, F.coalesce(F.col("cmp_op"), F.lit("lte")), target, F.col("operand.number_text"))))
     since = (
         F.when(F.col("ts").isNull() | F.col("value_seconds").isNull(), unusable)
         .when(F.col("_last").isNull(), P.decision("NULL_UNMAPPED", F.concat(
             lead, F.lit(": since_last needs a prior record for '"), subject, F.lit("'; none found."))))
-        .otherwise(against(gap, F.concat(F.lit("since_last("), subject, F.lit(")")),
-                           F.coalesce(F.col("cmp_op"), F.lit("gte")), F.col("value_seconds"))))
+        .otherwise(against(F.concat(F.lit("since_last("), subject, F.lit(")")),
+                           F.coalesce(F.col("cmp_op"), F.lit("gte")), F.col("value_seconds"),
+                           F.col("value_seconds_text"))))
     debounce = (
         F.when(F.col("ts").isNull() | seconds.isNull(), unusable)
         .when(F.col("_last").isNull() | (gap > seconds), P.decision("CLEAR", F.concat(

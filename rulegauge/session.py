@@ -6,14 +6,19 @@ import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # the JVM leaves methods above this size interpreted; let Spark split such stages instead
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
@@ -70,6 +75,20 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def literal_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A frame of literal rows whose size the optimizer knows (so that it may broadcast it)."""
+    shape = T.StructType.fromDDL(schema)
+    columns = [pa.array(list(values), to_arrow_type(field.dataType)) for values, field in
+               zip(zip(*rows) if rows else [[] for _ in shape], shape)]
+    return spark.createDataFrame(pa.table(columns, names=shape.names), shape)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores when the input comes in fewer pieces than there are cores; a no-op for larger inputs."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def small_side(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     """Mark ``df`` for broadcast after counting that it stays within ``max_rows``.
 

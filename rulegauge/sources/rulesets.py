@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rulegauge.functions import predicates as P
 from rulegauge.functions import values as V
+from rulegauge.session import literal_frame
 
 RULE_FIELDS = {
     "rule_id": "string", "ord": "int", "operator": "string", "metric": "string", "value": "string",
@@ -25,7 +26,7 @@ def rules_frame(spark: SparkSession, rows: list[dict]) -> DataFrame:
     """A small rule set from literal rows; missing fields are NULL, ``value``/``jurisdiction`` are JSON text."""
     schema = ", ".join(f"{n} {t}" for n, t in RULE_FIELDS.items())
     data = [tuple(row.get(n, i + 1 if n == "ord" else None) for n in RULE_FIELDS) for i, row in enumerate(rows)]
-    return prepare_rules(spark.createDataFrame(data, schema))
+    return prepare_rules(literal_frame(spark, data, schema))
 
 
 def prepare_rules(rules: DataFrame) -> DataFrame:
@@ -48,7 +49,8 @@ def prepare_rules(rules: DataFrame) -> DataFrame:
             .withColumn("to_us", F.coalesce(V.micros(V.parse_iso(F.col("sunset_date"))),
                                             F.lit(2**62).cast("bigint")))
             .withColumn("tier", P.tier_rank(F.col("risk_tier")))
-            .withColumn("operand", P.rule_operand(F.col("_v")))
+            .withColumn("operand", P.rule_operand(F.col("_v"), F.col("low"), F.col("high")))
+            .withColumn("value_seconds_text", V.float_text(F.col("value_seconds")))
             .withColumn("duty", P.obligation_operand(F.col("_v")))
             .withColumn("value_json", F.to_json("_v"))
             .drop("_v", "_j", "value").withColumnRenamed("jurisdiction", "rule_jurisdiction"))

@@ -8,7 +8,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
 
 GENESIS = "0" * 64
 MICROS = 1_000_000
@@ -112,8 +111,8 @@ class LastRecord(StatefulProcessor):
 class ChainAppend(StatefulProcessor):
     """Single writer per ledger: sequence number and head hash carry from batch to batch."""
 
-    def __init__(self, ledger: str, start_column: str = "_head", end_column: str = "_tail"):
-        self.ledger, self.start, self.end = ledger, start_column, end_column
+    def __init__(self, ledger: str):
+        self.ledger = ledger
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.head = handle.getValueState("head", "seq bigint, hash string")
@@ -180,16 +179,9 @@ class Silence(StatefulProcessor):
         if batch.empty:
             return
         us = batch["_us"].to_numpy(np.int64)
-        starts = []
-        if self.last.exists():
-            held, told = self.last.get()
-            if told and us[0] - held > self.limit:
-                starts = []
-                chain = us
-            else:
-                chain = np.concatenate([[held], us])
-        else:
-            chain = us
+        held, told = self.last.get() if self.last.exists() else (None, True)
+        # a silence already told by the timer is not told again
+        chain = us if told else np.concatenate([[held], us])
         chain = np.sort(chain)
         quiet = np.diff(chain) > self.limit
         starts = chain[:-1][quiet].tolist()
@@ -238,5 +230,3 @@ class Lateness(StatefulProcessor):
     def close(self) -> None:
         pass
 
-
-__all__ = ["ChainAppend", "LastRecord", "Lateness", "RollingAgreement", "Silence", "StructType", "TrailingWindow"]
