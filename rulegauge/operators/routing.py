@@ -135,8 +135,8 @@ def map_metrics(records: DataFrame, rules: DataFrame) -> DataFrame:
     The metric equi-join comes first; dates and places then only see pairs that can matter.
     """
     spark = records.sparkSession
-    keyed = (records.lateralJoin(spark.tvf.variant_explode(F.col("measurement").outer()))
-             .drop("pos").withColumnsRenamed({"key": "metric", "value": "seen_value"}))
+    parts = spark.tvf.variant_explode(F.col("measurement").outer()).toDF("_pos", "metric", "seen_value")
+    keyed = records.lateralJoin(parts).drop("_pos")
     right = rules.withColumnRenamed("version", "rule_version")
     return keyed.join(right, "metric").filter(in_scope(F.col("ts"), F.col("jurisdiction")))
 
