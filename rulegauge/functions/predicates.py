@@ -73,17 +73,17 @@ def rule_operand(v: Column, low: Column, high: Column) -> Column:
 def with_rule_observation(df: DataFrame, name: str = "_seen") -> DataFrame:
     """Adds what rule operators read from ``measurement`` at ``metric``, one step per column so that no step
     is worked out twice."""
-    at, value, k, text = F.col("_at"), F.col("_value"), F.col("_kind"), F.col("_text")
+    at, value, k, text = F.col("_seen_at"), F.col("_seen_value"), F.col("_seen_kind"), F.col("_seen_text")
     return (
-        df.withColumn("_at", V.lookup(F.col("measurement"), F.col("metric")))
-        .withColumns({"_value": V.split_value(at), "_unit": V.split_unit(at)})
-        .withColumns({"_kind": V.kind(value), "_text": V.as_text(value)})
-        .withColumns({"_number": V.parse_float(value, k), "_key": V.value_key(value, k)})
+        df.withColumn("_seen_at", V.lookup(F.col("measurement"), F.col("metric")))
+        .withColumns({"_seen_value": V.split_value(at), "_seen_unit": V.split_unit(at)})
+        .withColumns({"_seen_kind": V.kind(value), "_seen_text": V.as_text(value)})
+        .withColumns({"_seen_number": V.parse_float(value, k), "_seen_key": V.value_key(value, k)})
         .withColumn(name, F.struct(
-            (at.isNull() | F.is_variant_null(at)).alias("missing"), F.col("_unit").alias("unit"),
-            F.col("_number").alias("number"), V.float_text(F.col("_number")).alias("number_text"),
-            F.col("_key").alias("key"), F.coalesce(text, F.to_json(value)).alias("text")))
-        .drop("_at", "_value", "_unit", "_kind", "_text", "_number", "_key"))
+            (at.isNull() | F.is_variant_null(at)).alias("missing"), F.col("_seen_unit").alias("unit"),
+            F.col("_seen_number").alias("number"), V.float_text(F.col("_seen_number")).alias("number_text"),
+            F.col("_seen_key").alias("key"), F.coalesce(text, F.to_json(value)).alias("text")))
+        .drop("_seen_at", "_seen_value", "_seen_unit", "_seen_kind", "_seen_text", "_seen_number", "_seen_key"))
 
 
 def decision(verdict, reasoning: Column) -> Column:

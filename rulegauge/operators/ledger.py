@@ -238,8 +238,8 @@ def constraint_issues(ledger_rows: DataFrame, *, ledger: str = "tenant_id") -> D
 
     def repeated(column, name):
         groups = ledger_rows.groupBy(ledger, column).agg(
-            F.count(F.lit(1)).alias("n"), F.min("sequence_number").alias("sequence_number")).filter("n > 1")
-        return groups.select(ledger, "sequence_number", F.lit(name).alias("constraint_name"))
+            F.count(F.lit(1)).alias("n"), F.min("sequence_number").alias("_at")).filter("n > 1")
+        return groups.select(ledger, F.col("_at").alias("sequence_number"), F.lit(name).alias("constraint_name"))
 
     return by_row.unionByName(repeated("sequence_number", "unique_sequence_number")) \
         .unionByName(repeated("entry_hash", "unique_entry_hash"))
