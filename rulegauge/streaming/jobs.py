@@ -16,40 +16,43 @@ SUBJECT = ["tenant_id", "subject"]
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def advance(stream: DataFrame, out: str, state: str) -> None:
+    """Take an append-mode stream as far as its input goes. ``state`` carries over to the next call."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    query = (stream.writeStream.format("parquet").option("path", out).outputMode("append")
+             .option("checkpointLocation", state).trigger(availableNow=True).start())
+    query.awaitTermination()
+
+
 def drain(stream: DataFrame, name: str) -> DataFrame:
     """Run an append-mode stream over everything available and read the written table back."""
     spark = stream.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     out = work_path(spark, f"{name}-out")
-    query = (stream.writeStream.format("parquet").option("path", out).outputMode("append")
-             .option("checkpointLocation", work_path(spark, f"{name}-state"))
-             .trigger(availableNow=True).start())
-    query.awaitTermination()
+    advance(stream, out, work_path(spark, f"{name}-state"))
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def drain_updates(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
-    """Run an update-mode stream; each batch's changed rows are written with its number and the newest one wins."""
-    spark = stream.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    out = work_path(spark, f"{name}-out")
+def advance_updates(stream: DataFrame, out: str, state: str) -> None:
+    """As :func:`advance` in update mode: each batch's changed rows are written under the batch's number."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    query = (stream.writeStream.outputMode("update").foreachBatch(write)
-             .option("checkpointLocation", work_path(spark, f"{name}-state")).trigger(availableNow=True).start())
+    query = (stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", state)
+             .trigger(availableNow=True).start())
     query.awaitTermination()
-    rows = spark.read.option("basePath", out).parquet(f"{out}/batch=*").drop("batch")
-    values = [c for c in rows.columns if c not in (*keys, "_batch")]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "_batch").alias("v")).select(*keys, "v.*")
 
 
-def read_parquet_stream(spark: SparkSession, path: str, schema, *, files_per_trigger: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(schema)
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(path)
+def latest_updates(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
+    """The newest row per key of a table written by :func:`advance_updates`."""
+    rows = spark.read.option("basePath", out).parquet(f"{out}/batch=*")
+    values = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(*keys, "v.*")
+
+
+def read_parquet_stream(spark: SparkSession, path: str, schema) -> DataFrame:
+    return spark.readStream.schema(schema).parquet(path)
 
 
 def stateless(records: DataFrame, registry: DataFrame, rules: DataFrame) -> DataFrame:
@@ -58,7 +61,7 @@ def stateless(records: DataFrame, registry: DataFrame, rules: DataFrame) -> Data
 
 
 def _micros(records: DataFrame) -> DataFrame:
-    return records.withColumn("_us", V.micros(F.col("ts")))
+    return records.withColumn("us", V.micros(F.col("ts")))
 
 
 def _run(records: DataFrame, keys: list[str], processor, schema: str, mode: str = "None") -> DataFrame:
@@ -68,13 +71,13 @@ def _run(records: DataFrame, keys: list[str], processor, schema: str, mode: str
 
 def trailing_windows(records: DataFrame, *, seconds: int, path: str) -> DataFrame:
     rows = _micros(records).withColumn("val", V.number_or_null(V.lookup(F.col("measurement"), F.lit(path))))
-    rows = rows.filter("_us IS NOT NULL").select(*SUBJECT, "measurement_id", "_us", "val")
+    rows = rows.filter("us IS NOT NULL").select(*SUBJECT, "measurement_id", "us", "val")
     schema = "measurement_id string, count bigint, sum_value double, avg_value double, tenant_id string, subject string"
     return _run(rows, SUBJECT, S.TrailingWindow(SUBJECT, seconds), schema)
 
 
 def since_last(records: DataFrame) -> DataFrame:
-    rows = _micros(records).filter("_us IS NOT NULL").select(*SUBJECT, "measurement_id", "_us")
+    rows = _micros(records).filter("us IS NOT NULL").select(*SUBJECT, "measurement_id", "us")
     schema = "measurement_id string, since_last double, late boolean, tenant_id string, subject string"
     return _run(rows, SUBJECT, S.LastRecord(SUBJECT), schema)
 
@@ -92,11 +95,11 @@ def append_chain(verdicts: DataFrame, *, ledger: str = "tenant_id", version_key:
     text = (verdicts.withColumn("previous_hash", F.lit("")).withColumn("sequence_number", F.lit(0).cast("bigint"))
             .withColumn("_text", L.entry_payload(version_key)))
     cut = F.instr("_text", hash_key) + len(hash_key)
-    rest = text.withColumn("_lead", F.substr("_text", F.lit(1), cut - 1)).withColumn("_rest", F.substr("_text", cut))
+    rest = text.withColumn("lead_text", F.substr("_text", F.lit(1), cut - 1)).withColumn("_rest", F.substr("_text", cut))
     at = F.instr("_rest", seq_key) + len(seq_key)
-    rows = rest.select(ledger, "timestamp_iso", "telemetry_id", "_lead",
-                       F.substr("_rest", F.lit(1), at - 1).alias("_middle"),
-                       F.substr("_rest", at + 1).alias("_tail"))
+    rows = rest.select(ledger, "timestamp_iso", "telemetry_id", "lead_text",
+                       F.substr("_rest", F.lit(1), at - 1).alias("middle_text"),
+                       F.substr("_rest", at + 1).alias("tail_text"))
     schema = f"{ledger} string, telemetry_id string, sequence_number bigint, previous_hash string, entry_hash string"
     return _run(rows, [ledger], S.ChainAppend(ledger), schema)
 
@@ -108,13 +111,13 @@ def agreement(entries: DataFrame, *, n: int = 1000, threshold: float = 0.95, key
 
 
 def silence(records: DataFrame, *, seconds: int = 300, key: str = "tenant_id", delay: str = "10 minutes") -> DataFrame:
-    rows = _micros(records).withWatermark("ts", delay).select(key, "ts", "_us")
+    rows = _micros(records).withWatermark("ts", delay).select(key, "ts", "us")
     return _run(rows, [key], S.Silence(key, seconds), f"{key} string, silent_from_us bigint", "EventTime")
 
 
 def lateness(records: DataFrame, *, allowed_seconds: int) -> DataFrame:
     """Marks the records that come too late for online state; they belong to the replay path and are not lost."""
-    rows = _micros(records).filter("_us IS NOT NULL").select(*SUBJECT, "measurement_id", "_us")
+    rows = _micros(records).filter("us IS NOT NULL").select(*SUBJECT, "measurement_id", "us")
     schema = "measurement_id string, behind_seconds double, to_replay boolean, tenant_id string, subject string"
     return _run(rows, SUBJECT, S.Lateness(SUBJECT, allowed_seconds), schema)
 

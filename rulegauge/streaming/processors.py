@@ -35,10 +35,10 @@ class TrailingWindow(StatefulProcessor):
         self.tiles = handle.getMapState("tiles", "tile bigint", "us array<bigint>, val array<double>")
 
     def handleInputRows(self, key, rows, timerValues):
-        batch = _whole(rows, ["_us", "measurement_id"])
+        batch = _whole(rows, ["us", "measurement_id"])
         if batch.empty:
             return
-        us = batch["_us"].to_numpy(np.int64)
+        us = batch["us"].to_numpy(np.int64)
         val = batch["val"].to_numpy(np.float64, na_value=np.nan)
         wanted = {int(t) for a, b in ((u - self.span, u) for u in us) for t in range(a // self.width, b // self.width + 1)}
         held_us, held_val = [us], [val]
@@ -87,10 +87,10 @@ class LastRecord(StatefulProcessor):
         self.last = handle.getValueState("last", "us bigint")
 
     def handleInputRows(self, key, rows, timerValues):
-        batch = _whole(rows, ["_us", "measurement_id"])
+        batch = _whole(rows, ["us", "measurement_id"])
         if batch.empty:
             return
-        us = batch["_us"].to_numpy(np.int64)
+        us = batch["us"].to_numpy(np.int64)
         held = self.last.get()[0] if self.last.exists() else None
         before = np.concatenate([[np.nan if held is None else float(held)], us[:-1].astype(np.float64)])
         late = np.zeros(len(us), bool) if held is None else us < held
@@ -123,7 +123,7 @@ class ChainAppend(StatefulProcessor):
             return
         seq, tip = self.head.get() if self.head.exists() else (0, GENESIS)
         numbers, before, after = [], [], []
-        for lead, middle, tail in zip(batch["_lead"], batch["_middle"], batch["_tail"]):
+        for lead, middle, tail in zip(batch["lead_text"], batch["middle_text"], batch["tail_text"]):
             seq += 1
             numbers.append(seq)
             before.append(tip)
@@ -175,10 +175,10 @@ class Silence(StatefulProcessor):
         self.last = handle.getValueState("last", "us bigint, told boolean")
 
     def handleInputRows(self, key, rows, timerValues):
-        batch = _whole(rows, ["_us"])
+        batch = _whole(rows, ["us"])
         if batch.empty:
             return
-        us = batch["_us"].to_numpy(np.int64)
+        us = batch["us"].to_numpy(np.int64)
         held, told = self.last.get() if self.last.exists() else (None, True)
         # a silence already told by the timer is not told again
         chain = us if told else np.concatenate([[held], us])
@@ -214,10 +214,10 @@ class Lateness(StatefulProcessor):
         self.newest = handle.getValueState("newest", "us bigint")
 
     def handleInputRows(self, key, rows, timerValues):
-        batch = _whole(rows, ["_us", "measurement_id"])
+        batch = _whole(rows, ["us", "measurement_id"])
         if batch.empty:
             return
-        us = batch["_us"].to_numpy(np.int64)
+        us = batch["us"].to_numpy(np.int64)
         held = self.newest.get()[0] if self.newest.exists() else None
         behind = np.zeros(len(us), np.int64) if held is None else np.maximum(held - us, 0)
         self.newest.update((int(us.max() if held is None else max(held, us.max())),))
