@@ -63,23 +63,28 @@ def kg_slice(records: DataFrame, nodes: DataFrame, edges: DataFrame, *, id_col:
     return hits.select(*keep).dropDuplicates(keep)
 
 
-def attached(slices: DataFrame, edges: DataFrame, *, id_col: str = "measurement_id") -> DataFrame:
-    """Definitions, exemptions and precedents of the obligations in a slice, and the citations of all nodes.
+def attachments(edges: DataFrame) -> DataFrame:
+    """(owner, ``role``, ``node_id``): what hangs on each node directly, and the citations of all of that.
 
-    Rows (record, ``role``, ``node_id``), without repeats.
+    Graph side only: definitions, exemptions and precedents of obligations, and citations of the owner and of
+    what hangs on it.
     """
-    own = slices.select(id_col, F.col("obligation_id").alias("from_id")).distinct()
-    near = own.join(edges.filter(F.col("type").isin("defined_by", "exempted_by", "interpreted_by")), "from_id").select(
-        id_col, F.col("type").alias("role"), F.col("to_id").alias("node_id")).distinct()
-    amended = own.join(edges.filter("type = 'amended_by'").select(F.col("to_id").alias("from_id"),
-                                                                    F.col("from_id").alias("node_id")), "from_id") \
-        .select(id_col, F.lit("amended_by").alias("role"), "node_id").distinct()
-    survivors = (own.unionByName(slices.select(id_col, F.col("rule_id").alias("from_id")))
-                 .unionByName(near.select(id_col, F.col("node_id").alias("from_id")))
-                 .unionByName(amended.select(id_col, F.col("node_id").alias("from_id"))).distinct())
-    cited = survivors.join(edges.filter("type = 'cited_by'"), "from_id").select(
-        id_col, F.lit("cited_by").alias("role"), F.col("to_id").alias("node_id")).distinct()
-    return near.unionByName(amended).unionByName(cited)
+    near = edges.filter(F.col("type").isin("defined_by", "exempted_by", "interpreted_by")).select(
+        F.col("from_id").alias("owner"), F.col("type").alias("role"), F.col("to_id").alias("node_id"))
+    amended = edges.filter("type = 'amended_by'").select(
+        F.col("to_id").alias("owner"), F.col("type").alias("role"), F.col("from_id").alias("node_id"))
+    hanging = near.unionByName(amended)
+    cites = edges.filter("type = 'cited_by'").select(F.col("from_id").alias("cited"), F.col("to_id").alias("citation"))
+    own = cites.select(F.col("cited").alias("owner"), F.lit("cited_by").alias("role"), F.col("citation").alias("node_id"))
+    deep = hanging.join(cites, F.col("node_id") == F.col("cited")).select(
+        "owner", F.lit("cited_by").alias("role"), F.col("citation").alias("node_id"))
+    return hanging.unionByName(own).unionByName(deep).distinct()
+
+
+def attached(slices: DataFrame, edges: DataFrame, *, id_col: str = "measurement_id") -> DataFrame:
+    """Rows (record, ``role``, ``node_id``) of everything attached to a slice's rules and obligations, without repeats."""
+    owners = slices.select(id_col, F.explode(F.array("rule_id", "obligation_id")).alias("owner"))
+    return owners.join(attachments(edges), "owner").select(id_col, "role", "node_id").distinct()
 
 
 def slice_rules(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -215,9 +220,10 @@ def contradictions(rules: DataFrame, *, unit_seconds: int = 86_400) -> DataFrame
     ``rules`` are prepared rules. One row per lower-bound obligation that clashes, with the tightest opposing
     upper bound as witness. Validity is compared in units of ``unit_seconds`` (whole days).
 
-    Time is cut into nested power-of-two blocks: two periods overlap exactly when a block of one lies in, or
-    around, a block of the other. Upper bounds are reduced to the tightest per block before they meet lower
-    bounds, so no pairs are formed and the work is linear in the rules up to the fixed number of levels.
+    Two periods overlap exactly when the start of one lies in the other. Periods are cut into nested power-of-two
+    blocks, points are looked up under the blocks around them, and upper bounds are reduced to the tightest per block
+    before they meet lower bounds. So no pairs are formed, and the work is linear in the rules up to the fixed number
+    of levels.
     """
     kind, duty = F.col("operator"), F.col("duty")
     low = F.when(kind.isin("must_be_at_least", "must_be_above", "must_equal"), duty["number"]).when(
@@ -230,31 +236,33 @@ def contradictions(rules: DataFrame, *, unit_seconds: int = 86_400) -> DataFrame
     def place(us):
         return F.greatest(F.lit(0), F.least(F.lit(last_unit), F.floor(us / unit))).cast("bigint")
 
-    base = rules.select(
-        "rule_id", "metric", F.explode("tokens").alias("token"), low.alias("low"), high.alias("high"),
-        (kind == "must_be_above").alias("low_open"), (kind != "must_be_below").alias("high_closed"),
-        _blocks(place(F.col("from_us")), place(F.col("to_us"))).alias("blocks"))
+    # columns of their own, so that nothing below works them out again per level
+    rules = rules.withColumns({"_first": place(F.col("from_us")), "_end": place(F.col("to_us")), "_low": low, "_high": high})
+    first, last = F.col("_first"), F.col("_end")
+    def entry(kind, level, block):
+        return F.named_struct(F.lit("kind"), F.lit(kind), F.lit("l"), level, F.lit("b"), block)
+
+    def spans(kind):
+        return F.transform(_blocks(first, last), lambda x: entry(kind, x["l"], x["b"]))
+
+    def around(kind):
+        """The blocks around the first unit, one per level."""
+        return F.transform(F.sequence(F.lit(0), F.lit(_TOP)), lambda lv: entry(
+            kind, lv, F.floor(first / F.pow(F.lit(2.0), lv)).cast("bigint")))
 
-    def upward(block, start):
-        """The block's ancestors from ``start`` levels above it."""
-        return F.transform(F.sequence(block["l"] + start, F.lit(_TOP + 1)), lambda lv: F.struct(
-            lv.alias("l"), F.floor(block["b"] / F.pow(F.lit(2.0), lv - block["l"])).cast("bigint").alias("b")))
+    # a stored period is found by a start inside it; a stored start is found by a period around it
+    stored = F.concat(spans("span"), around("point"))
+    asked = F.concat(around("span"), spans("point"))
 
+    base = rules.select("rule_id", "metric", F.explode("tokens").alias("token"), F.col("_low").alias("low"),
+                        F.col("_high").alias("high"), (kind == "must_be_above").alias("low_open"), (kind != "must_be_below").alias("high_closed"),
+                        stored.alias("stored"), asked.alias("asked"))
     key = ["metric", "token", "kind", "l", "b"]
-    highs = base.filter("high IS NOT NULL")
-    covers = highs.select("metric", "token", "rule_id", "high", "high_closed", F.lit("in").alias("kind"),
-                          F.explode("blocks").alias("x"))
-    under = highs.select("metric", "token", "rule_id", "high", "high_closed", F.lit("of").alias("kind"), F.explode(
-        F.array_distinct(F.flatten(F.transform("blocks", lambda x: upward(x, 0))))).alias("x"))
     tight = F.struct("high", "high_closed", F.col("rule_id").alias("other"))
-    table = covers.unionByName(under).select(*key[:3], "x.l", "x.b", tight.alias("t")).groupBy(*key).agg(
-        F.min("t").alias("t"))
-    lows = base.filter("low IS NOT NULL")
-    asks = lows.select("metric", "token", "rule_id", "low", "low_open", F.lit("of").alias("kind"),
-                       F.explode("blocks").alias("x")).unionByName(
-        lows.select("metric", "token", "rule_id", "low", "low_open", F.lit("in").alias("kind"), F.explode(
-            F.array_distinct(F.flatten(F.transform("blocks", lambda x: upward(x, 1))))).alias("x")))
-    met = asks.select("metric", "token", "rule_id", "low", "low_open", "kind", "x.l", "x.b").join(table, key)
+    table = (base.filter("high IS NOT NULL").select("metric", "token", tight.alias("t"), F.explode("stored").alias("x"))
+             .select("metric", "token", "x.*", "t").groupBy(*key).agg(F.min("t").alias("t")))
+    asks = base.filter("low IS NOT NULL").select("metric", "token", "rule_id", "low", "low_open", F.explode("asked").alias("x"))
+    met = asks.select("metric", "token", "rule_id", "low", "low_open", "x.*").join(table, key)
     best = met.groupBy("metric", "token", "rule_id", "low", "low_open").agg(F.min("t").alias("t"))
     clash = (F.col("low") > F.col("t.high")) | (
         (F.col("low") == F.col("t.high")) & (F.col("low_open") | ~F.col("t.high_closed")))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rulegauge.functions import values as V
-from rulegauge.operators.ordered import as_of, trailing
+from rulegauge.operators.ordered import as_of, previous_row, trailing
 
 SUBJECT = ["tenant_id", "subject"]
 STATS = ["count", "sum_value", "avg_value", "min_value", "max_value", "oldest_ts", "newest_ts"]
@@ -90,11 +90,18 @@ def last_seen(probe: DataFrame, history: DataFrame | None = None, *, keys: list[
     itself. Rows without a time get NULL.
     """
     keys = list(keys or SUBJECT)
+    width = tile_seconds * V.MICROS
     left = probe.withColumn("_us", V.micros(F.col("ts")))
-    right = None if history is None else history.select(*keys, V.micros(F.col("ts")).alias("_us")).filter(
-        "_us IS NOT NULL")
-    timed = left.filter("_us IS NOT NULL")
-    found = as_of(timed, right, keys=keys, pos="_us", id_col=id_col, tile_width=tile_seconds * V.MICROS)
+    if history is None:
+        # rows without a time are kept apart and spread by id; they are nobody's predecessor
+        apart = left.withColumn("_timed", F.col("_us").isNotNull())
+        tile = F.when(F.col("_timed"), F.floor(F.col("_us") / F.lit(width)).cast("bigint")).otherwise(
+            F.pmod(F.xxhash64(id_col), F.lit(1024)))
+        found = previous_row(apart, keys=[*keys, "_timed"], order=["_us", id_col], tile=tile, values=["_us"])
+        return found.withColumn("last_ts", F.when(F.col("_timed"), F.timestamp_micros("prev__us"))).drop(
+            "_us", "_timed", "prev__us")
+    right = history.select(*keys, V.micros(F.col("ts")).alias("_us")).filter("_us IS NOT NULL")
+    found = as_of(left.filter("_us IS NOT NULL"), right, keys=keys, pos="_us", id_col=id_col, tile_width=width)
     out = found.withColumn("last_ts", F.timestamp_micros("seen_pos")).drop("_us", "seen_pos")
     untimed = left.filter("_us IS NULL").drop("_us").withColumn("last_ts", F.lit(None).cast("timestamp"))
     return out.unionByName(untimed)

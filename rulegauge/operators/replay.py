@@ -49,7 +49,7 @@ def replay(entries: DataFrame, history: DataFrame, registry: DataFrame, rules: D
         F.col("record.telemetry_ts").alias("ts"), F.col("record.payload").alias("measurement"))
     routed = R.route(live, registry, rules)
     # the record before is looked up once in the history, then carried to the entries by record id
-    decided = E.evaluate_as_of(routed, past, id_col="_key", include_self=include_self)
+    decided = E.evaluate_as_of(routed, past, id_col="_key", include_self=include_self, needs=E.history_needs(rules))
     rerouted = ~F.col("recorded_rule").eqNullSafe(F.col("rule_id")) | F.col("rule_id").isNull()
     results = decided.select(
         "_key", F.when(rerouted, "tag_registry_divergence").when(

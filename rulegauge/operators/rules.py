@@ -32,8 +32,16 @@ def _finish(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*columns, F.col("_d.verdict").alias("verdict"), F.col("_d.reasoning").alias("reasoning"))
 
 
+def history_needs(rules: DataFrame) -> tuple[bool, bool]:
+    """(windows, record before): what the rules look up in histories. One small job over the rule set."""
+    row = rules.agg(
+        F.max(F.col("operator").isin(*P.WINDOW_OPERATORS)).alias("w"),
+        F.max(F.col("operator").isin("since_last", "debounce") | F.col("fresh_seconds").isNotNull()).alias("b")).first()
+    return bool(row["w"]), bool(row["b"])
+
+
 def evaluate(routed: DataFrame, history: DataFrame | None = None, *, include_self: bool = False,
-             id_col: str = "measurement_id") -> DataFrame:
+             id_col: str = "measurement_id", needs: tuple[bool, bool] = (True, True)) -> DataFrame:
     """Adds ``verdict`` and ``reasoning`` for every operator.
 
     ``history`` holds the records windows look at (with ``measurement``); NULL means none is available, and
@@ -43,19 +51,24 @@ def evaluate(routed: DataFrame, history: DataFrame | None = None, *, include_sel
     """
     if history is None:
         return evaluate_stateless(routed)
-    if include_self:
-        seen = H.last_seen(routed.select(*H.SUBJECT, id_col, "ts"), history, id_col=id_col)
-    else:
-        seen = H.last_seen(routed.select(*H.SUBJECT, id_col, "ts"), None, id_col=id_col)
-    return _with_history(routed, history, seen.select(id_col, F.col("last_ts").alias("_last")), id_col)
+    seen = None
+    if needs[1] and include_self:
+        seen = H.last_seen(routed.select(*H.SUBJECT, id_col, "ts"), history, id_col=id_col).select(
+            id_col, F.col("last_ts").alias("_last"))
+    elif needs[1]:
+        routed = H.last_seen(routed, id_col=id_col).withColumnRenamed("last_ts", "_last")
+    return _with_history(routed, history if needs[0] else None, seen, id_col)
 
 
-def evaluate_as_of(routed: DataFrame, history: DataFrame, *, id_col: str, include_self: bool = False) -> DataFrame:
+def evaluate_as_of(routed: DataFrame, history: DataFrame, *, id_col: str, include_self: bool = False,
+                   needs: tuple[bool, bool] = (True, True)) -> DataFrame:
     """As :func:`evaluate` for rows that point into the history by ``tenant_id`` and ``measurement_id``.
 
     Several rows may point at one record; the record before is taken from the history, not from ``routed``.
     """
-    if include_self:
+    if not needs[1]:
+        seen = None
+    elif include_self:
         seen = H.last_seen(routed.select(*H.SUBJECT, id_col, "ts"), history, id_col=id_col).select(
             id_col, F.col("last_ts").alias("_last"))
     else:
@@ -63,22 +76,31 @@ def evaluate_as_of(routed: DataFrame, history: DataFrame, *, id_col: str, includ
             *H.SUBJECT, "measurement_id", "ts").agg(F.max("last_ts").alias("_last"))
         seen = routed.select(*H.SUBJECT, "measurement_id", "ts", id_col).join(
             before, [*H.SUBJECT, "measurement_id", "ts"]).select(id_col, "_last")
-    return _with_history(routed, history, seen, id_col)
-
-
-def _with_history(routed: DataFrame, history: DataFrame, seen: DataFrame, id_col: str) -> DataFrame:
-    windowed = routed.filter(F.col("operator").isin(*P.WINDOW_OPERATORS))
-    stats = H.rule_window_stats(windowed, history, id_col=id_col).select(
-        id_col, F.col("count").alias("_n"), F.col("sum_value").alias("_sum"), F.col("avg_value").alias("_avg"))
-    joined = (routed.join(seen, id_col, "left").join(stats, id_col, "left")
-              .withColumn("_gap", H.elapsed_seconds(F.col("ts"), F.col("_last"))))
+    return _with_history(routed, history if needs[0] else None, seen, id_col)
+
+
+def _with_history(routed: DataFrame, history: DataFrame | None, seen: DataFrame | None, id_col: str) -> DataFrame:
+    joined = routed
+    if seen is not None:
+        joined = joined.join(seen, id_col, "left")
+    elif "_last" not in joined.columns:
+        joined = joined.withColumn("_last", F.lit(None).cast("timestamp"))
+    if history is not None:
+        windowed = routed.filter(F.col("operator").isin(*P.WINDOW_OPERATORS))
+        stats = H.rule_window_stats(windowed, history, id_col=id_col).select(
+            id_col, F.col("count").alias("_n"), F.col("sum_value").alias("_sum"), F.col("avg_value").alias("_avg"))
+        joined = joined.join(stats, id_col, "left")
+    else:
+        joined = joined.withColumns({"_n": F.lit(None).cast("bigint"), "_sum": F.lit(None).cast("double"),
+                                     "_avg": F.lit(None).cast("double")})
+    joined = joined.withColumn("_gap", H.elapsed_seconds(F.col("ts"), F.col("_last")))
     operator = F.col("operator")
     measured = (F.when(operator == "window_count", F.coalesce(F.col("_n"), F.lit(0)).cast("double"))
                 .when(operator == "window_sum", F.col("_sum")).when(operator == "window_avg", F.col("_avg"))
                 .when(operator == "since_last", F.col("_gap")))
     steps = P.with_rule_observation(joined.withColumn("_measured", measured)).withColumn(
         "_measured_text", V.float_text(F.col("_measured")))
-    return _finish(steps.withColumn("_d", full_decision()), routed.columns)
+    return _finish(steps.withColumn("_d", full_decision()), [c for c in routed.columns if c != "_last"])
 
 
 def full_decision():

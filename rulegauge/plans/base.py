@@ -213,7 +213,7 @@ def ledger_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One undecorated entry per event: decided by the ledger rules over the subjects' histories."""
     registry, rules = ledger_rules(spark)
     records = mixed_records(spark, sf_dir)
-    decided = E.evaluate(R.route(records, registry, rules), records)
+    decided = E.evaluate(R.route(records, registry, rules), records, needs=E.history_needs(rules))
     n, user = F.col("event_id"), F.col("user_id")
     status = (F.when(n % 13 == 0, "LLM_CONTRADICTION").when(n % 13 == 1, "NEURO_SYMBOLIC_DIVERGENCE")
               .when(n % 13 == 2, "UNVERIFIABLE").otherwise("AGREED"))

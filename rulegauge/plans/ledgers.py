@@ -17,7 +17,7 @@ _REC = "WITH RECURSIVE "
 @B.query("ledger_build", f"""{_REC}{B.CHAIN_SQL}
   SELECT tenant_id, seq AS sequence_number, telemetry_id, previous_hash, entry_hash FROM ledger""")
 def _build(spark, sf_dir):
-    built = L.build_chain(B.entries_table(spark, sf_dir).drop("sequence_number"), segment_rows=300)
+    built = L.build_chain(B.entries_table(spark, sf_dir).drop("sequence_number"))
     return built.select("tenant_id", "sequence_number", "telemetry_id", "previous_hash", "entry_hash")
 
 

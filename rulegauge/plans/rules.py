@@ -188,7 +188,7 @@ _LAG_SQL = f"""r AS ({B.RECORD_SQL}), g AS (SELECT *, epoch_us(ts) - epoch_us(la
 def _full(spark, sf_dir, **rule):
     registry, rules = B.one_rule(spark, **rule)
     records = B.mixed_records(spark, sf_dir)
-    return E.evaluate(R.route(records, registry, rules), records).select("measurement_id", "verdict")
+    return E.evaluate(R.route(records, registry, rules), records, needs=E.history_needs(rules)).select("measurement_id", "verdict")
 
 
 B.register("debounce", lambda spark, sf: _full(spark, sf, operator="debounce", seconds=86_400), f"""WITH {_LAG_SQL}
@@ -221,7 +221,7 @@ def _win_compare(spark, sf_dir):
 def _rule_verdicts(spark, sf_dir):
     registry, rules = B.ledger_rules(spark)
     records = B.mixed_records(spark, sf_dir)
-    return E.evaluate(R.route(records, registry, rules), records).groupBy(
+    return E.evaluate(R.route(records, registry, rules), records, needs=E.history_needs(rules)).groupBy(
         F.coalesce("rule_id", F.lit("none")).alias("rule_id"), "verdict").agg(F.count(F.lit(1)).alias("n_records"))
 
 

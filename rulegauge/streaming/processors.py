@@ -40,15 +40,10 @@ class TrailingWindow(StatefulProcessor):
             return
         us = batch["us"].to_numpy(np.int64)
         val = batch["val"].to_numpy(np.float64, na_value=np.nan)
-        wanted = {int(t) for a, b in ((u - self.span, u) for u in us) for t in range(a // self.width, b // self.width + 1)}
-        held_us, held_val = [us], [val]
-        stored = {}
-        for tile in wanted:
-            if self.tiles.containsKey((tile,)):
-                old = self.tiles.getValue((tile,))
-                stored[tile] = (list(old[0]), [np.nan if v is None else v for v in old[1]])
-                held_us.append(np.array(stored[tile][0], np.int64))
-                held_val.append(np.array(stored[tile][1], np.float64))
+        # eviction keeps the tiles few; one pass over them is cheaper than a call per tile
+        stored = {k[0]: (list(old[0]), [np.nan if v is None else v for v in old[1]]) for k, old in self.tiles.iterator()}
+        held_us = [us, *[np.array(old[0], np.int64) for old in stored.values()]]
+        held_val = [val, *[np.array(old[1], np.float64) for old in stored.values()]]
         all_us, all_val = np.concatenate(held_us), np.concatenate(held_val)
         order = np.argsort(all_us, kind="stable")
         all_us, all_val = all_us[order], all_val[order]
@@ -64,7 +59,7 @@ class TrailingWindow(StatefulProcessor):
             old_us, old_val = stored.get(tile, ([], []))
             self.tiles.updateValue((tile,), ([*old_us, *us[mask].tolist()], [*old_val, *val[mask].tolist()]))
         horizon = (int(us.max()) - self.keep) // self.width
-        for (tile,) in [k for k in self.tiles.keys()]:
+        for tile in stored:
             if tile < horizon:
                 self.tiles.removeKey((tile,))
         out = pd.DataFrame({"measurement_id": batch["measurement_id"], "count": hi - lo, "sum_value": total,
