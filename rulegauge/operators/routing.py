@@ -65,11 +65,12 @@ def scope_cells(rules: DataFrame) -> DataFrame:
     Columns: ``token``, ``start_us``, ``stop_us`` (exclusive), ``n_rules``, ``tier`` (strictest, 2 if none).
     A running count over +1/-1 boundary events, so the size is linear in the rules.
     """
-    tokens = rule_tokens(rules)
+    # a rule that ends before it starts is never in force
+    tokens = rule_tokens(rules).filter("from_us <= to_us")
     one = F.lit(1)
     opens = tokens.select("token", F.col("from_us").alias("at"), one.alias("d"), "tier")
     closes = tokens.select("token", (F.col("to_us") + 1).alias("at"), (-one).alias("d"), "tier")
-    floor = tokens.select("token").distinct().select("token", F.lit(-(2**62)).cast("bigint").alias("at"),
+    floor = rule_tokens(rules).select("token").distinct().select("token", F.lit(-(2**62)).cast("bigint").alias("at"),
                                                      F.lit(0).alias("d"), F.lit(2).alias("tier"))
     steps = (opens.unionByName(closes).unionByName(floor).groupBy("token", "at")
              .agg(F.sum("d").alias("n"), *[F.sum(F.when(F.col("tier") == t, F.col("d")).otherwise(0)).alias(f"t{t}")
