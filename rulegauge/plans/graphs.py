@@ -188,13 +188,16 @@ def _flatten(spark, sf_dir):
 _SIZE, _OVERLAP = 4000, 200
 
 
-@B.query("doc_chunks", f"""WITH RECURSIVE c(doc_id, text, n, start, stop) AS (
+_CHUNK_SQL = f"""WITH RECURSIVE c(doc_id, text, n, start, stop) AS (
     SELECT doc_id, text, -1, CAST(0 AS BIGINT), CAST({_OVERLAP} AS BIGINT) FROM documents
     UNION ALL
     SELECT doc_id, text, n + 1, stop - {_OVERLAP}, CASE WHEN stop - {_OVERLAP} + {_SIZE} >= length(text) THEN length(text)
       ELSE stop - {_OVERLAP} + CASE WHEN regexp_matches(substr(text, stop - {_OVERLAP} + {_SIZE // 2 + 2}, {_SIZE // 2}), '[.!?\\n]')
         THEN {_SIZE // 2 + 1} + length(regexp_extract(substr(text, stop - {_OVERLAP} + {_SIZE // 2 + 2}, {_SIZE // 2}), '^((?s:.)*)[.!?\\n]', 0)) ELSE {_SIZE} END END
-    FROM c WHERE n = -1 OR stop < length(text))
+    FROM c WHERE n = -1 OR stop < length(text))"""
+
+
+@B.query("doc_chunks", f"""{_CHUNK_SQL}
   SELECT doc_id, n AS chunk_index, start, stop - start AS n_chars, sha256(substr(text, start + 1, stop - start)) AS hash FROM c WHERE n >= 0""")
 def _chunks(spark, sf_dir):
     docs = spread(B.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
@@ -203,7 +206,8 @@ def _chunks(spark, sf_dir):
         F.sha2("chunk_text", 256).alias("hash"))
 
 
-@B.query("doc_chunk_counts")
+@B.query("doc_chunk_counts", f"""{_CHUNK_SQL}
+  SELECT lang, count(*) AS n_chunks, CAST(sum(stop - start) AS BIGINT) AS n_chars FROM c JOIN documents USING (doc_id) WHERE n >= 0 GROUP BY 1""")
 def _chunk_counts(spark, sf_dir):
     docs = spread(B.table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id")
     return X.chunk(docs).groupBy("lang").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(F.length("chunk_text")).alias("n_chars"))

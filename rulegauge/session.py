@@ -87,12 +87,3 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """Use all cores when the input comes in fewer pieces than there are cores; a no-op for larger inputs."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
-def small_side(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Mark ``df`` for broadcast after counting that it stays within ``max_rows``.
-
-    Beyond the bound the frame comes back unmarked and the join shuffles. The count stops
-    early (``limit``) and runs on dimension-sized inputs only.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

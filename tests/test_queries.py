@@ -31,7 +31,7 @@ def test_query_matches_sql(spark, con, name):
 
 
 def test_few_queries_without_sql():
-    assert set(QUERIES) - set(ORACLES) <= {"doc_html_text", "doc_chunk_counts"}
+    assert set(QUERIES) - set(ORACLES) <= {"doc_html_text"}
 
 
 @pytest.mark.parametrize("name", ["verdict_counts", "scope_jurisdiction", "scope_snapshot", "map_metric", "kg_slice", "rule_verdicts",
