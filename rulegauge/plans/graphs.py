@@ -27,7 +27,7 @@ _GRAPH_SQL = f"""
     UNION ALL SELECT 'consists_of', 'o' || l_orderkey, {_LINE_SQL} FROM lineitem WHERE l_orderkey % 40 <> 9 AND l_partkey % 30 <> 11
     UNION ALL SELECT 'defined_by', {_LINE_SQL}, 'd' || l_partkey FROM lineitem
     UNION ALL SELECT 'scoped_to', {_LINE_SQL}, 'n' || l_suppkey % 27 FROM lineitem
-    UNION ALL SELECT 'cited_by', 'd' || p_partkey, 'c4' FROM part WHERE p_partkey % 5 <> 0)"""
+    UNION ALL SELECT 'cited_by', 'd' || p_partkey, 'c' || (p_partkey % 2 * 10 + 4) FROM part WHERE p_partkey % 5 <> 0)"""
 
 
 def trade_graph(spark, sf_dir):
@@ -62,7 +62,8 @@ def trade_graph(spark, sf_dir):
         edge(lines.filter("l_orderkey % 40 <> 9 AND l_partkey % 30 <> 11"), "consists_of", name("o", "l_orderkey"), line),
         edge(lines, "defined_by", line, name("d", "l_partkey")),
         edge(lines, "scoped_to", line, F.concat(F.lit("n"), (F.col("l_suppkey") % 27).cast("string"))),
-        edge(t["part"].filter("p_partkey % 5 <> 0"), "cited_by", name("d", "p_partkey"), F.lit("c4"))]
+        edge(t["part"].filter("p_partkey % 5 <> 0"), "cited_by", name("d", "p_partkey"),
+             F.concat(F.lit("c"), (F.col("p_partkey") % 2 * 10 + 4).cast("string")))]
     return _all(nodes), _all(edges)
 
 
