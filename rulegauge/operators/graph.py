@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from rulegauge.functions import predicates as P
 from rulegauge.functions import values as V
-from rulegauge.operators import routing as R
 from rulegauge.session import materialize
 
 # The node kind each edge type must point at.

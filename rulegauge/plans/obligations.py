@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rulegauge.functions import predicates as P
-from rulegauge.functions import values as V
 from rulegauge.operators import envelope as E
 from rulegauge.operators import history as H
-from rulegauge.operators import routing as R
 from rulegauge.plans import base as B
 from rulegauge.sources.rulesets import rules_frame
 
