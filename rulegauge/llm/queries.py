@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rulegauge.session import apply_defaults
+from rulegauge.session import apply_defaults, work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,3 +66,29 @@ SELECT doc_id, size, source_size, target, (floor(start + expected) - floor(start
 def op3_mix(spark, sf_dir):
     from rulegauge.llm.mixing import mix_report
     return mix_report(table(spark, sf_dir, "documents"))
+
+
+# ---- 2: archives -------------------------------------------------------------------------------------
+
+WARC_SQL = r"""
+WITH p AS (
+  SELECT page_id, COALESCE(html, '') AS h, sha1(COALESCE(html, '')) AS x FROM pages),
+d AS (
+  SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes,
+         array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           ((('0x' || substr(x, ((i // 4) * 5 + 1)::INT, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31) + 1, 1)), '')
+           AS payload_digest
+  FROM p),
+m AS (SELECT *, MAX(page_id) OVER (PARTITION BY payload_digest) AS best FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN best IS NOT NULL AND page_id IS DISTINCT FROM best THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN best IS NOT NULL AND page_id IS DISTINCT FROM best THEN best END AS refers_to
+FROM m"""
+
+
+@query("op2_warc", WARC_SQL)
+def op2_warc(spark, sf_dir):
+    from rulegauge.llm import warc
+    path = work_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
