@@ -92,3 +92,11 @@ def op2_warc(spark, sf_dir):
     path = work_path(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), path)
     return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+# ---- 5: near-duplicates ------------------------------------------------------------------------------
+
+@query("op5_simhash")
+def op5_simhash(spark, sf_dir):
+    from rulegauge.llm.simhash import simhash_components
+    return simhash_components(table(spark, sf_dir, "documents"))
