@@ -100,3 +100,36 @@ def op2_warc(spark, sf_dir):
 def op5_simhash(spark, sf_dir):
     from rulegauge.llm.simhash import simhash_components
     return simhash_components(table(spark, sf_dir, "documents"))
+
+
+# ---- 6: decontamination ------------------------------------------------------------------------------
+
+CONTAMINATION_SQL = r"""
+WITH d AS (
+  SELECT doc_id, COALESCE(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+b AS (
+  SELECT item_id, COALESCE(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM benchmark),
+v AS (
+  SELECT DISTINCT item_id, list_slice(w, i, i + least(13, len(w)) - 1) AS win, least(13, len(w)) AS n
+  FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS i FROM b WHERE len(w) > 0)),
+n AS (SELECT DISTINCT n FROM v),
+p AS (
+  SELECT doc_id, i, n, list_slice(w, i, i + n - 1) AS win
+  FROM (SELECT doc_id, w, n.n, unnest(range(1, len(w) - n.n + 2)) AS i FROM d, n WHERE len(w) >= n.n)),
+m AS (SELECT p.doc_id, p.i, p.n, v.item_id FROM p JOIN v ON p.n = v.n AND p.win = v.win),
+h AS (SELECT doc_id, COUNT(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS x FROM m) GROUP BY doc_id),
+t AS (
+  SELECT doc_id, COUNT(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM m) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, COALESCE(h.n_hit, 0)::BIGINT AS n_hit,
+       COALESCE(t.n_items, 0)::BIGINT AS n_items, COALESCE(t.items_sha256, sha256('')) AS items_sha256,
+       COALESCE(h.n_hit, 0) > 0 AND 20 * COALESCE(h.n_hit, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
+
+@query("op6_decontaminate", CONTAMINATION_SQL)
+def op6_decontaminate(spark, sf_dir):
+    from rulegauge.llm import decontamination
+    return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
