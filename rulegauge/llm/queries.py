@@ -133,3 +133,11 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)"""
 def op6_decontaminate(spark, sf_dir):
     from rulegauge.llm import decontamination
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# ---- 4: quality rules --------------------------------------------------------------------------------
+
+@query("op4_quality")
+def op4_quality(spark, sf_dir):
+    from rulegauge.llm import quality
+    return quality.report(table(spark, sf_dir, "documents"))
