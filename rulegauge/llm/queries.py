@@ -141,3 +141,11 @@ def op6_decontaminate(spark, sf_dir):
 def op4_quality(spark, sf_dir):
     from rulegauge.llm import quality
     return quality.report(table(spark, sf_dir, "documents"))
+
+
+# ---- 1: personal data --------------------------------------------------------------------------------
+
+@query("op1_pii")
+def op1_pii(spark, sf_dir):
+    from rulegauge.llm import pii
+    return pii.report(table(spark, sf_dir, "documents"))
