@@ -34,7 +34,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = work_path(spark, name)
     with _short_lived_shuffles(spark):
         df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.stored_at = path
+    return back
+
+
+def drop_stored(*frames: DataFrame) -> None:
+    """Delete what ``stored`` wrote for these frames. Only for tables that nothing reads any more."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def scalar(df: DataFrame):

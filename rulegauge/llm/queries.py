@@ -149,3 +149,57 @@ def op4_quality(spark, sf_dir):
 def op1_pii(spark, sf_dir):
     from rulegauge.llm import pii
     return pii.report(table(spark, sf_dir, "documents"))
+
+
+# ---- 9: substring removal by words -------------------------------------------------------------------
+
+WORDS_SQL = r"""
+WITH d AS (SELECT doc_id, COALESCE(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+p AS (
+  SELECT doc_id, i, list_slice(w, i, i + 12) AS win
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+m AS (SELECT md5(array_to_string(win, ' ')) AS h, doc_id, i FROM p),
+f AS (SELECT h, MIN(doc_id) AS least FROM m GROUP BY h),
+g AS (SELECT DISTINCT m.doc_id, unnest(range(m.i, m.i + 13)) AS x FROM m JOIN f USING (h) WHERE m.doc_id > f.least),
+r AS (SELECT doc_id, list(x) AS gone FROM g GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, COALESCE(len(gone), 0)::BIGINT AS n_removed,
+       sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE
+         list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(gone, i)), lambda i: w[i]) END, ' '))
+         AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id)"""
+
+
+@query("op9_suffix_tree", WORDS_SQL)
+def op9_suffix_tree(spark, sf_dir):
+    from rulegauge.llm import suffix_tree
+    return suffix_tree.removed(table(spark, sf_dir, "documents")).drop("kept")
+
+
+# ---- 10: substring removal by bytes ------------------------------------------------------------------
+
+BYTES_SQL = r"""
+WITH d AS (SELECT doc_id, lower(hex(encode(COALESCE(text, '')))) AS x FROM documents),
+p AS (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 199)) AS i FROM d WHERE len(x) >= 400),
+m AS (SELECT doc_id, i, md5(substr(x, (2 * i + 1)::BIGINT, 400)) AS h FROM p),
+f AS (SELECT h FROM m GROUP BY h HAVING COUNT(*) > 1),
+k AS (SELECT doc_id, i FROM m WHERE h IN (SELECT h FROM f)),
+o AS (SELECT *, MAX(i + 200) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM k),
+s AS (SELECT *, SUM(CASE WHEN e IS NULL OR i > e THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM o),
+r AS (SELECT doc_id, run, MIN(i) AS a, MAX(i + 200) AS b FROM s GROUP BY doc_id, run),
+l AS (
+  SELECT doc_id, a, b, LEAD(a) OVER (PARTITION BY doc_id ORDER BY a) AS nxt,
+         ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY a) AS k FROM r),
+t AS (
+  SELECT doc_id, SUM(b - a)::BIGINT AS n_removed, COUNT(*) AS n_spans, MIN(a) AS head,
+         list(struct_pack(b := b, nxt := nxt) ORDER BY a) AS gaps FROM l GROUP BY doc_id)
+SELECT d.doc_id, (len(x) // 2)::BIGINT AS n_bytes, COALESCE(n_removed, 0)::BIGINT AS n_removed,
+       COALESCE(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN gaps IS NULL THEN x ELSE substr(x, 1, (2 * head)::BIGINT) || array_to_string(list_transform(gaps,
+         lambda g: substr(x, (2 * g.b + 1)::BIGINT, (2 * (COALESCE(g.nxt, len(x) // 2) - g.b))::BIGINT)), '') END)) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)"""
+
+
+@query("op10_suffix_array", BYTES_SQL)
+def op10_suffix_array(spark, sf_dir):
+    from rulegauge.llm import suffix_array
+    return suffix_array.removed(table(spark, sf_dir, "documents")).drop("kept")
