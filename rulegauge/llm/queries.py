@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rulegauge.session import apply_defaults, work_path
 
@@ -203,3 +205,38 @@ FROM d LEFT JOIN t USING (doc_id)"""
 def op10_suffix_array(spark, sf_dir):
     from rulegauge.llm import suffix_array
     return suffix_array.removed(table(spark, sf_dir, "documents")).drop("kept")
+
+
+# ---- 7: language-model scores ------------------------------------------------------------------------
+
+@query("op7_lm_score")
+def op7_lm_score(spark, sf_dir):
+    from rulegauge.llm import lm
+    docs = table(spark, sf_dir, "documents")
+    return lm.scored(docs, lm.train(docs, table(spark, sf_dir, "labels")))
+
+
+# ---- 8: token counts under edits ---------------------------------------------------------------------
+
+@query("op8_token_counts")
+def op8_token_counts(spark, sf_dir):
+    """Each document loses 20 characters after its first quarter, takes its source and language in at the half, and has
+    5 characters after three quarters replaced by its own beginning."""
+    from rulegauge.llm import token_counts
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    n = F.coalesce(F.length("text"), F.lit(0))
+
+    def edit(share, remove, insert):
+        return F.struct(F.floor(n * share).cast("int").alias("at"), F.lit(remove).alias("remove"), insert.alias("insert"))
+    edits = F.array(edit(0.25, 20, F.lit("")), edit(0.5, 0, F.concat_ws(" ", F.lit(""), "source", "lang", F.lit(""))),
+                    edit(0.75, 5, F.coalesce(F.substring("text", 1, 12), F.lit(""))))
+    counted = token_counts.recounted(token_counts.with_trees(docs.select("doc_id", "text", edits.alias("edits"))))
+    return counted.select("doc_id", F.col("counts.before").alias("n_tokens"), F.col("counts.after").alias("n_tokens_after"),
+                          F.col("counts.encoded").alias("n_chars_encoded"), F.col("counts.length").alias("n_chars_after"))
+
+
+# ---- the pipeline ------------------------------------------------------------------------------------
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
