@@ -9,6 +9,7 @@ from rulegauge.llm.common import numbered, parts, scalar, stored, word_count
 from rulegauge.operators.ordered import dense_index
 
 EXPECTED = "decimal(20,12)"
+_OWN = ("_row", "_copies", "copy")
 
 
 def source_targets(sized: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), factor: int = 3) -> DataFrame:
@@ -89,9 +90,13 @@ def mix_report(docs: DataFrame, **how) -> DataFrame:
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """The mixture: each document as often as it is drawn, its columns kept, with the number of the ``copy`` (from 1)."""
+    """The mixture: each document as often as it is drawn, with the number of the ``copy`` (from 1).
+
+    All columns are kept, but ones named ``copy``, ``_row`` or ``_copies`` give way.
+    """
     rows = stored(numbered(docs.drop("_row")), "mixed")
     sized = rows.select("doc_id", "source", word_count(F.col("text")).alias("size"), "_row")
-    drawn = stored(sampled(sized, **how).filter("copies > 0").select("_row", "copies"), "drawn")
-    return (rows.join(drawn, "_row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-            .select(*[F.col(c) for c in docs.columns if c not in ("_row", "copy")], "copy"))
+    drawn = sampled(sized, **how).filter("copies > 0").select("_row", F.col("copies").cast("int").alias("_copies"))
+    kept = [F.col(c) for c in docs.columns if c not in _OWN]
+    return rows.drop("_copies", "copy").join(stored(drawn, "drawn"), "_row").select(
+        *kept, F.explode(F.sequence(F.lit(1), "_copies")).alias("copy"))

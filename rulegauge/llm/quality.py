@@ -127,7 +127,8 @@ def _shares(counts: Column) -> Column:
 
 
 def references(profiles: DataFrame, *, min_words: int = 50) -> DataFrame:
-    """``_name, class_ref, word_ref, texts`` per language: mean shares over all its texts that pass the base rules and have ``min_words``.
+    """``_name, _texts, _class_ref, _word_ref`` per language: mean shares over its texts that pass the base rules and
+    have ``min_words``.
 
     Every text weighs the same. Shares are summed as whole millionths, so the order of summing does not matter.
     """
@@ -137,8 +138,8 @@ def references(profiles: DataFrame, *, min_words: int = 50) -> DataFrame:
     for name, n in (("classes", _CLASSES - 1), ("common", widest)):
         good = good.withColumn(f"_{name}", _shares(F.col(f"_profile.{name}")))
         sums.append(F.array(*[F.coalesce(F.sum(F.get(f"_{name}", F.lit(i))), F.lit(0)) for i in range(n)]).alias(name))
-    return good.groupBy("lang").agg(*sums).select(F.col("lang").alias("_name"), "texts", F.col("classes").alias("class_ref"),
-                                                  F.col("common").alias("word_ref"))
+    return good.groupBy("lang").agg(*sums).select(F.col("lang").alias("_name"), F.col("texts").alias("_texts"),
+                                                  F.col("classes").alias("_class_ref"), F.col("common").alias("_word_ref"))
 
 
 def js_distance(counts: Column, reference: Column) -> Column:
@@ -152,22 +153,27 @@ def js_distance(counts: Column, reference: Column) -> Column:
     return F.when((a > 0) & (b > 0), F.sqrt(F.greatest(divergence, F.lit(0.0))))
 
 
-def judged(profiles: DataFrame, refs: DataFrame, *, min_words: int = 50, min_common: int = 100, min_texts: int = 20,
-           class_limit: float = 0.32, word_limit: float = 0.36) -> DataFrame:
-    """``profiles`` with ``base_failed, class_distance, word_distance, kept``.
+_OWN = ("_lang", "_profile", "_name", "_texts", "_class_ref", "_word_ref")
+
+
+def verdict(*, min_words: int = 50, min_common: int = 100, min_texts: int = 20, class_limit: float = 0.32,
+            word_limit: float = 0.36) -> dict[str, Column]:
+    """``base_failed, class_distance, word_distance, kept`` over the columns of a profile and its language's references.
 
     A text is judged by its characters only if it has ``min_words`` words, by its common words only if it has
-    ``min_common``, and by either only if its language has ``min_texts`` texts in the reference; too short texts and too rare languages are not held against a document. ``kept`` is false if a base rule fails or
-    a distance is above its limit. NULL languages form a language of their own.
+    ``min_common``, and by either only if its language has ``min_texts`` texts in the reference; too short texts and
+    too rare languages are not held against a document. ``kept`` is false if a base rule fails or a distance is above
+    its limit. NULL languages form a language of their own.
     """
-    joined = profiles.join(refs, F.col("lang").eqNullSafe(F.col("_name")), "left")
-    known, n = F.col("texts") >= min_texts, F.col("_profile.n_words")
-    classes = F.when(known & (n >= min_words), js_distance(F.col("_profile.classes"), F.col("class_ref")))
-    words = F.when(known & (n >= min_common), js_distance(F.col("_profile.common"), F.col("word_ref")))
-    far = (F.coalesce("class_distance", F.lit(0.0)) > class_limit) | (F.coalesce("word_distance", F.lit(0.0)) > word_limit)
-    return (joined.withColumn("base_failed", _base_failed()).withColumn("class_distance", classes)
-            .withColumn("word_distance", words).withColumn("kept", ~F.col("base_failed") & ~far)
-            .drop("_name", "texts", "class_ref", "word_ref"))
+    known, n = F.col("_texts") >= min_texts, F.col("_profile.n_words")
+    classes = F.when(known & (n >= min_words), js_distance(F.col("_profile.classes"), F.col("_class_ref")))
+    words = F.when(known & (n >= min_common), js_distance(F.col("_profile.common"), F.col("_word_ref")))
+    far = (F.coalesce(classes, F.lit(0.0)) > class_limit) | (F.coalesce(words, F.lit(0.0)) > word_limit)
+    return {"base_failed": _base_failed(), "kept": ~_base_failed() & ~far, "class_distance": classes, "word_distance": words}
+
+
+def _with_references(profiles: DataFrame, refs: DataFrame) -> DataFrame:
+    return profiles.join(refs, F.col("lang").eqNullSafe(F.col("_name")), "left")
 
 
 def report(docs: DataFrame, **limits) -> DataFrame:
@@ -175,13 +181,13 @@ def report(docs: DataFrame, **limits) -> DataFrame:
     gives no rows; columns other than doc_id, text and lang are not looked at."""
     profiles = stored(profiled(docs.select("doc_id", "text", "lang"), keep_text=False), "profiles")
     refs = stored(references(profiles), "references")
-    return judged(profiles, refs, **limits).select(
-        "doc_id", *[F.col(f"_profile.{c}").alias(c) for c in _COUNTS], "base_failed", "kept", "class_distance", "word_distance")
+    counts = [F.col(f"_profile.{c}").alias(c) for c in _COUNTS]
+    return _with_references(profiles, refs).select("doc_id", *counts, *[x.alias(name) for name, x in verdict(**limits).items()])
 
 
 def keep_good(docs: DataFrame, **limits) -> DataFrame:
-    """The documents that are kept, all columns with them. Texts are measured twice and never shuffled."""
-    narrow = docs.select("text", "lang")
-    refs = stored(references(profiled(narrow, keep_text=False)), "references")
-    plain = [c for c in docs.columns if not c.startswith("_") and c not in ("texts", "kept", "base_failed", "class_ref", "word_ref", "class_distance", "word_distance")]
-    return judged(profiled(docs.select(*plain), keep_text=True), refs, **limits).filter("kept").select(*plain)
+    """The documents that are kept, all columns with them, but columns named as in ``_OWN`` give way. Texts are measured
+    twice and never shuffled."""
+    docs = docs.drop(*_OWN)
+    refs = stored(references(profiled(docs.select("text", "lang"), keep_text=False)), "references")
+    return _with_references(profiled(docs, keep_text=True), refs).filter(verdict(**limits)["kept"]).select(*docs.columns)
