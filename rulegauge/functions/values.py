@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import math
 
 import pandas as pd
 from pyspark.sql import Column
@@ -79,20 +78,30 @@ def list_keys(v: Column) -> Column:
 
 # ---- paths ----------------------------------------------------------------------------
 
+_UNQUOTABLE = r"[\"'\\\[\]]"
+
+
 def json_path(path: Column) -> Column:
-    """Dotted path text to a JSON path; keys may hold any character but a quote or a dot."""
+    """Dotted path text to a JSON path, for keys without quotes, brackets and backslashes."""
     return F.concat(F.lit('$["'), F.replace(path, F.lit("."), F.lit('"]["')), F.lit('"]'))
 
 
+def _field(v: Column, key: Column) -> Column:
+    """Value of a key, found by comparing and not by a path built from it: any text is a key."""
+    return F.try_element_at(F.try_variant_get(v, F.lit("$"), "map<string,variant>"), key)
+
+
 def lookup(v: Column, path: Column) -> Column:
     """Walk a dotted path; NULL where a step is missing; an empty path is the object itself."""
-    return F.when(F.coalesce(path, F.lit("")) == "", v).otherwise(
-        F.try_variant_get(v, json_path(path), "variant"))
+    walked = F.aggregate(F.split(path, r"\."), v, lambda at, key: _field(at, key))
+    return (F.when(F.coalesce(path, F.lit("")) == "", v).when(path.rlike(_UNQUOTABLE), walked)
+            .otherwise(F.try_variant_get(v, json_path(path), "variant")))
 
 
 def flat_key(v: Column, key: Column) -> Column:
     """Value of one top-level key, dots in the key taken literally."""
-    return F.try_variant_get(v, F.concat(F.lit('$["'), key, F.lit('"]')), "variant")
+    return F.when(key.rlike(_UNQUOTABLE), _field(v, key)).otherwise(
+        F.try_variant_get(v, F.concat(F.lit('$["'), key, F.lit('"]')), "variant"))
 
 
 def split_value(v: Column) -> Column:
@@ -126,7 +135,7 @@ def float_text(x: Column) -> Column:
     """Shortest decimal text of a DOUBLE: 85.0, 0.0001, 12345678.9, 1e+20, 1.5e-07."""
     raw = x.cast("string")
     size = F.abs(x)
-    wide = F.regexp_replace(F.regexp_replace(raw.cast("decimal(38,15)").cast("string"), r"0+$", ""), r"\.$", ".0")
+    wide = F.regexp_replace(F.regexp_replace(raw.cast("decimal(38,20)").cast("string"), r"0+$", ""), r"\.$", ".0")
     mantissa = F.regexp_replace(F.split_part(raw, F.lit("E"), F.lit(1)), r"\.0$", "")
     exponent = F.split_part(raw, F.lit("E"), F.lit(2))
     digits = F.regexp_replace(exponent, "^-", "")
@@ -193,10 +202,3 @@ def _lower_control_escapes(text: Column) -> Column:
         # an odd backslash starts an escape; an escaped backslash before "u" does not
         fixed = F.regexp_replace(fixed, rf"(?<!\\)((?:\\\\)*)\\u{code:04X}", rf"$1\\u{code:04x}")
     return F.when(text.rlike(r"\\u00[01][A-F]"), fixed).otherwise(text)
-
-
-def nearest_rank(q: float) -> float:
-    """Fraction for ``percentile_disc`` from a percentage."""
-    if not 0 <= q <= 100 or math.isnan(q):
-        raise ValueError(f"percentage must lie in [0, 100], got {q}")
-    return q / 100.0

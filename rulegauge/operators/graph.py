@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rulegauge.functions import predicates as P
 from rulegauge.functions import values as V
 from rulegauge.session import materialize
+from rulegauge.sources.rulesets import OPEN_FROM, OPEN_TO
 
 # The node kind each edge type must point at.
 EDGE_TARGETS = {
@@ -193,10 +194,7 @@ def validation_result(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 # ---- contradictions -------------------------------------------------------------------------------
 
-_TOP = 16  # validity is compared in 2^16 units counted from 1970
-
-
-def _blocks(first: Column, last: Column) -> Column:
+def _blocks(first: Column, last: Column, top: int) -> Column:
     """The fewest aligned power-of-two blocks that cover ``first..last``: array of (level, number)."""
     shape = "struct<s:bigint,e:bigint,out:array<struct<l:int,b:bigint>>>"
     start = F.struct(first.cast("bigint").alias("s"), last.cast("bigint").alias("e"),
@@ -210,7 +208,7 @@ def _blocks(first: Column, last: Column) -> Column:
         grown = F.concat(acc["out"], one.cast("array<struct<l:int,b:bigint>>"), two.cast("array<struct<l:int,b:bigint>>"))
         return F.struct(F.when(live, F.floor((s + 1) / 2)).otherwise(1).cast("bigint").alias("s"),
                         F.when(live, F.floor((e - 1) / 2)).otherwise(0).cast("bigint").alias("e"), grown.alias("out"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(_TOP)), start, step, lambda acc: acc["out"])
+    return F.aggregate(F.sequence(F.lit(0), F.lit(top)), start, step, lambda acc: acc["out"])
 
 
 def contradictions(rules: DataFrame, *, unit_seconds: int = 86_400) -> DataFrame:
@@ -221,8 +219,8 @@ def contradictions(rules: DataFrame, *, unit_seconds: int = 86_400) -> DataFrame
 
     Two periods overlap exactly when the start of one lies in the other. Periods are cut into nested power-of-two
     blocks, points are looked up under the blocks around them, and upper bounds are reduced to the tightest per block
-    before they meet lower bounds. So no pairs are formed, and the work is linear in the rules up to the fixed number
-    of levels.
+    before they meet lower bounds. So no pairs are formed, and the work is linear in the rules up to the number
+    of levels, the logarithm of the span between the first and the last date of the rules in units.
     """
     kind, duty = F.col("operator"), F.col("duty")
     low = F.when(kind.isin("must_be_at_least", "must_be_above", "must_equal"), duty["number"]).when(
@@ -230,23 +228,32 @@ def contradictions(rules: DataFrame, *, unit_seconds: int = 86_400) -> DataFrame
     high = F.when(kind.isin("must_not_exceed", "must_be_below", "must_equal"), duty["number"]).when(
         kind == "must_be_within", duty["high"])
     unit = unit_seconds * V.MICROS
-    last_unit = 2**_TOP - 1
 
-    def place(us):
-        return F.greatest(F.lit(0), F.least(F.lit(last_unit), F.floor(us / unit))).cast("bigint")
+    def units(us):
+        return (us - F.pmod(us, F.lit(unit))) / F.lit(unit)
 
     # columns of their own, so that nothing below works them out again per level
-    rules = rules.withColumns({"_first": place(F.col("from_us")), "_end": place(F.col("to_us")), "_low": low, "_high": high})
+    rules = rules.withColumns({"_first": units(F.col("from_us")).cast("bigint"), "_end": units(F.col("to_us")).cast("bigint"),
+                               "_low": low, "_high": high})
+    # the levels follow the data's own dates; an end without a date lies just outside of them
+    dated = (F.col("from_us") > OPEN_FROM, F.col("to_us") < OPEN_TO)
+    ends = rules.agg(F.min(F.when(dated[0], F.col("_first"))), F.max(F.when(dated[1], F.col("_end"))),
+                     F.min(F.when(dated[1], F.col("_end"))), F.max(F.when(dated[0], F.col("_first")))).first()
+    known = [x for x in ends if x is not None] or [0]
+    base, span = min(known) - 1, max(known) - min(known) + 3
+    top = max(1, span.bit_length())
+    rules = rules.withColumns({"_first": F.when(dated[0], F.col("_first") - base).otherwise(0).cast("bigint"),
+                               "_end": F.when(dated[1], F.col("_end") - base).otherwise(span).cast("bigint")})
     first, last = F.col("_first"), F.col("_end")
     def entry(kind, level, block):
         return F.named_struct(F.lit("kind"), F.lit(kind), F.lit("l"), level, F.lit("b"), block)
 
     def spans(kind):
-        return F.transform(_blocks(first, last), lambda x: entry(kind, x["l"], x["b"]))
+        return F.transform(_blocks(first, last, top), lambda x: entry(kind, x["l"], x["b"]))
 
     def around(kind):
         """The blocks around the first unit, one per level."""
-        return F.transform(F.sequence(F.lit(0), F.lit(_TOP)), lambda lv: entry(
+        return F.transform(F.sequence(F.lit(0), F.lit(top)), lambda lv: entry(
             kind, lv, F.floor(first / F.pow(F.lit(2.0), lv)).cast("bigint")))
 
     # a stored period is found by a start inside it; a stored start is found by a period around it

@@ -78,7 +78,7 @@ def build_chain(verdicts: DataFrame, *, ledger: str = "tenant_id", order: list[s
         text.select(*columns, "sequence_number", "_tip", F.col("_rank").cast("bigint").alias("_rank"),
                     F.floor((F.col("_rank") - 1) / segment_rows).cast("int").alias("_segment"),
                     F.substr("_text", F.lit(1), cut - 1).alias("_head"),
-                    F.substr("_text", cut).alias("_tail")), "segments")
+                    F.substr("_text", cut).alias("_tail")), "segments", by="_segment")
     rounds = (staged.agg(F.max("_segment")).first()[0] or 0) + 1
     target = work_path(spark, "chain")
     kind = staged.schema[ledger].dataType.simpleString()
@@ -155,7 +155,7 @@ def chain_linkage(ledger_rows: DataFrame, *, ledger: str = "tenant_id", tile: in
     """Adds ``expected_previous_hash`` and ``chain_link_valid`` from the stored hashes only."""
     linked = with_previous(ledger_rows, ledger=ledger, tile=tile)
     expected = F.col("prev_entry_hash")
-    valid = (F.col("sequence_number") == 1) | (expected == F.col("previous_hash"))
+    valid = F.col("sequence_number").eqNullSafe(1) | (expected.isNotNull() & expected.eqNullSafe(F.col("previous_hash")))
     return (linked.withColumn("expected_previous_hash", expected).withColumn("chain_link_valid", valid)
             .drop("prev_sequence_number", "prev_entry_hash", "prev_timestamp_iso"))
 
@@ -169,10 +169,10 @@ def checked(ledger_rows: DataFrame, *, ledger: str = "tenant_id", version_key: s
     expected_hash = F.coalesce(F.col("prev_entry_hash"), F.lit(GENESIS))
     now, before = V.parse_iso(F.col("timestamp_iso")), V.parse_iso(F.col("prev_timestamp_iso"))
     return (linked.withColumn("expected_sequence", expected_seq)
-            .withColumn("seq_gap", F.col("sequence_number") != expected_seq)
-            .withColumn("link_broken", F.col("previous_hash") != expected_hash)
-            .withColumn("hash_broken", F.col("_recomputed") != F.col("entry_hash"))
-            .withColumn("time_back", F.coalesce(now < before, F.lit(False)))
+            .withColumn("seq_gap", ~F.col("sequence_number").eqNullSafe(expected_seq))
+            .withColumn("link_broken", ~F.col("previous_hash").eqNullSafe(expected_hash))
+            .withColumn("hash_broken", F.col("entry_hash").isNull() | ~F.col("_recomputed").eqNullSafe(F.col("entry_hash")))
+            .withColumn("time_back", now.isNull() | F.coalesce(now < before, F.lit(False)))
             .drop("_recomputed", "prev_sequence_number", "prev_entry_hash", "prev_timestamp_iso"))
 
 
@@ -192,7 +192,7 @@ def chain_issues(ledger_rows: DataFrame, *, ledger: str = "tenant_id", version_k
             seq.cast("string"))),
         issue(F.col("link_broken"), "HASH_MISMATCH", seq, F.lit("previous_hash does not match the entry before")),
         issue(F.col("hash_broken"), "ENTRY_HASH_MISMATCH", seq, F.lit("recomputed hash differs from the stored hash")),
-        issue(F.col("time_back"), "TIMESTAMP_ORDER", seq, F.lit("timestamp lies before the entry before"))))
+        issue(F.col("time_back"), "TIMESTAMP_ORDER", seq, F.lit("timestamp is unreadable or lies before the entry before"))))
     return (found.select(ledger, F.explode(rows).alias("i"))
             .select(ledger, "i.sequence_number", "i.issue_type", F.lit("CRITICAL").alias("severity"), "i.description"))
 

@@ -108,19 +108,20 @@ def trailing(probe: DataFrame, history: DataFrame | None, *, keys: list[str], po
     edges = both.filter(F.col("_id").isNotNull()).select(
         *tile_keys, "_id", "_start", "_tile", "_at", "_width", *edge)
 
-    def fold(name):
+    def fold(name, column=None):
+        column = F.col(name) if column is None else column
         if name == "n" or name.endswith("_n") or name.endswith("_sum"):
-            return F.sum(name)
-        return F.min(name) if name == "first_pos" or name.endswith("_min") else F.max(name)
+            return F.sum(column)
+        return F.min(column) if name == "first_pos" or name.endswith("_min") else F.max(column)
 
     if tiles > 1:
-        # one row per tile that holds anything; whole tiles strictly between the two edges
+        # whole tiles strictly between the two edges: each tile sends its totals to the few tiles whose windows reach it
         totals = ends.groupBy(*tile_keys, "_width", "_tile").agg(*[e.alias(n) for n, e in measures()])
-        by_tile = Window.partitionBy(*tile_keys).orderBy("_tile")
-        wide, narrow = by_tile.rangeBetween(-(tiles - 1), -1), by_tile.rangeBetween(-(tiles - 2), -1)
-        between = totals.select(
-            *tile_keys, "_tile", *[fold(n).over(wide).alias("_w_" + n) for n in names],
-            *[(fold(n).over(narrow) if tiles > 2 else F.lit(None)).alias("_s_" + n) for n in names])
+        sent = (totals.filter("n > 0").withColumn("_ahead", F.explode(F.sequence(F.lit(1), F.lit(tiles - 1))))
+                .withColumn("_tile", F.col("_tile") + F.col("_ahead")))
+        near = F.col("_ahead") <= tiles - 2
+        between = sent.groupBy(*tile_keys, "_tile").agg(
+            *[fold(n).alias("_w_" + n) for n in names], *[fold(n, F.when(near, F.col(n))).alias("_s_" + n) for n in names])
         first_tile = F.floor((F.col("_at") - F.col(span)) / F.col("_width")).cast("bigint")
         joined = edges.join(between, [*tile_keys, "_tile"], "left")
         reach = F.col("_tile") - first_tile

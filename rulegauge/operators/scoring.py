@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rulegauge.functions.values import nearest_rank
 
 
 def duplicate_cases(cases: DataFrame) -> DataFrame:
@@ -69,6 +68,8 @@ def percentiles(samples: DataFrame, column: str, *, by: list[str] | None = None,
     Equal values are counted first with map-side combining. The running count over the distinct values is
     taken in two steps, inside value ranges and across them, so that no group is sorted in one task.
     """
+    if not all(0 <= q <= 100 for q in qs):
+        raise ValueError("percentages lie between 0 and 100")
     by = by or []
     counted = samples.filter(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("_x")).agg(
         F.count(F.lit(1)).alias("_n"))
@@ -87,7 +88,7 @@ def percentiles(samples: DataFrame, column: str, *, by: list[str] | None = None,
     reached = F.col("_run") + F.col("_before")
     return placed.groupBy(*by).agg(*[
         F.min(F.when(reached >= F.greatest(F.lit(1), F.ceil(F.col("_total") * q / 100)), F.col("_x"))).alias(f"p{q}_ms")
-        for q in qs if nearest_rank(q) >= 0])
+        for q in qs])
 
 
 def latency_summary(samples: DataFrame, column: str, *, by: list[str]) -> DataFrame:

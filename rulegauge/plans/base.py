@@ -11,7 +11,7 @@ from rulegauge.functions import values as V
 from rulegauge.operators import ledger as L
 from rulegauge.operators import routing as R
 from rulegauge.operators import rules as E
-from rulegauge.session import apply_defaults, literal_frame, materialize, spread
+from rulegauge.session import apply_defaults, literal_frame, materialize
 from rulegauge.sources.rulesets import rules_frame
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,7 +43,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def events_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "events"), "event_id")
+    return table(spark, sf_dir, "events")
 
 
 # ---- records ------------------------------------------------------------------------------------

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from rulegauge.operators import extraction as X
 from rulegauge.operators import graph as G
 from rulegauge.plans import base as B
-from rulegauge.session import spread
 from rulegauge.sources.rulesets import RULE_FIELDS, prepare_rules
 
 # ---- a rule graph at table scale: customers, orders, line items, parts, nations, with planted faults -----------
@@ -32,7 +31,7 @@ _GRAPH_SQL = f"""
 
 def trade_graph(spark, sf_dir):
     t = {n: B.table(spark, sf_dir, n) for n in ("customer", "orders", "part", "nation", "supplier")}
-    lines = spread(B.table(spark, sf_dir, "lineitem"), "l_orderkey")
+    lines = B.table(spark, sf_dir, "lineitem")
 
     def name(prefix, *cols):
         return F.concat(F.lit(prefix), F.concat_ws("-", *[F.col(c).cast("string") for c in cols]))
@@ -201,7 +200,7 @@ _CHUNK_SQL = f"""WITH RECURSIVE c(doc_id, text, n, start, stop) AS (
 @B.query("doc_chunks", f"""{_CHUNK_SQL}
   SELECT doc_id, n AS chunk_index, start, stop - start AS n_chars, sha256(substr(text, start + 1, stop - start)) AS hash FROM c WHERE n >= 0""")
 def _chunks(spark, sf_dir):
-    docs = spread(B.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    docs = B.table(spark, sf_dir, "documents").select("doc_id", "text")
     return X.chunk(docs, size=_SIZE, overlap=_OVERLAP).select(
         "doc_id", "chunk_index", F.col("start").cast("bigint").alias("start"), F.length("chunk_text").cast("bigint").alias("n_chars"),
         F.sha2("chunk_text", 256).alias("hash"))
@@ -210,7 +209,7 @@ def _chunks(spark, sf_dir):
 @B.query("doc_chunk_counts", f"""{_CHUNK_SQL}
   SELECT lang, count(*) AS n_chunks, CAST(sum(stop - start) AS BIGINT) AS n_chars FROM c JOIN documents USING (doc_id) WHERE n >= 0 GROUP BY 1""")
 def _chunk_counts(spark, sf_dir):
-    docs = spread(B.table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id")
+    docs = B.table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     return X.chunk(docs).groupBy("lang").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(F.length("chunk_text")).alias("n_chars"))
 
 
@@ -233,7 +232,7 @@ _CAND_SQL = """
 
 
 def _responses(spark, sf_dir):
-    lines = spread(B.table(spark, sf_dir, "lineitem"), "l_orderkey")
+    lines = B.table(spark, sf_dir, "lineitem")
     part = F.col("l_partkey")
     c = part % 7
     subject = F.concat(F.when(F.col("l_suppkey") % 2 == 0, "Tank ").otherwise("TANK "), F.col("l_linenumber").cast("string"))

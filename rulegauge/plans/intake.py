@@ -197,13 +197,6 @@ def _page(spark, sf_dir):
         "tenant_id", "sequence_number", "telemetry_id", "verdict")
 
 
-@B.query("doc_html_text")
-def _html(spark, sf_dir):
-    pages = B.table(spark, sf_dir, "pages")
-    return pages.select("page_id", X.html_text(F.col("html")).alias("text")).select(
-        "page_id", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_hash"))
-
-
 @B.query("eval_cases_dups", """
   SELECT 'o' || l_orderkey || '-' || l_linenumber AS case_id, count(*) AS n_rows FROM lineitem
   GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1""")

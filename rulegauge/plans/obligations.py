@@ -142,21 +142,15 @@ _LINES_SQL = """
 @B.query("verdict_lineitem", _LINES_SQL)
 def _lineitem(spark, sf_dir):
     """High-volume telemetry: four readings per line item, four obligations, verdict counts per status."""
-    from rulegauge.session import spread
-    lines = spread(B.table(spark, sf_dir, "lineitem"), "l_orderkey")
+    lines = B.table(spark, sf_dir, "lineitem")
     payload = F.format_string('{"discount":%s,"quantity":%s,"tax":%s,"returnflag":"%s"}', F.col("l_discount").cast("string"),
                               F.col("l_quantity").cast("string"), F.col("l_tax").cast("string"), F.col("l_returnflag"))
-    # equal rows have equal verdicts: decide each distinct reading once and keep its count
-    records = (lines.groupBy("l_discount", "l_quantity", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
-               .agg(F.count(F.lit(1)).alias("n"))
-               .select(F.concat_ws("|", payload, "l_linestatus", F.unix_micros(F.col("l_shipdate").cast("timestamp"))
-                                   .cast("string")).alias("measurement_id"),
-                       F.col("l_shipdate").cast("timestamp").alias("ts"),
-                       F.concat(F.lit("status."), F.col("l_linestatus")).alias("jurisdiction"),
-                       F.try_parse_json(payload).alias("measurement"), "l_linestatus", "n"))
-    got = E.verdict_all(records, _line_rules(spark), carry=["l_linestatus", "n"])
+    records = lines.select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("measurement_id"), F.col("l_shipdate").cast("timestamp").alias("ts"),
+        F.concat(F.lit("status."), F.col("l_linestatus")).alias("jurisdiction"), F.try_parse_json(payload).alias("measurement"), "l_linestatus")
+    got = E.verdict_all(records, _line_rules(spark), carry=["l_linestatus"])
     return got.groupBy(F.col("l_linestatus").alias("line_status"), "verdict").agg(
-        F.sum("n").alias("n_records"), F.sum(F.col("n") * F.col("n_breached")).alias("n_breaches"))
+        F.count(F.lit(1)).alias("n_records"), F.sum("n_breached").alias("n_breaches"))
 
 
 # ---- proposals and guards ---------------------------------------------------------------------------
@@ -305,7 +299,7 @@ def _raw_flags(spark, sf_dir):
 
 
 @B.query("divergence_list", f"""WITH {_P_SQL} SELECT measurement_id, CASE
-    WHEN c IN (5, 6, 7, 8, 9, 10, 11, 15, 16) THEN 'No formalizable assertions to verify.'
+    WHEN c IN (5, 6, 7, 8, 9, 10, 11, 15, 16) THEN 'There was nothing to check.'
     WHEN c = 12 THEN 'Verdict ' || CASE WHEN met THEN 'FLAG' ELSE 'CLEAR' END || ' does not follow from the satisfied flags.'
     WHEN c = 13 THEN '[ob.load.cap] must cannot be checked' WHEN c = 2 THEN '[ob.load.cap] observed_differs: load'
     WHEN c = 3 THEN '[ob.load.cap] value_differs: load' WHEN c = 14 THEN '[ob.load.cap] metric_not_measured: speed' ELSE '' END AS divergences FROM w""")

@@ -66,12 +66,12 @@ def work_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, path) if "://" not in base else f"{base.rstrip('/')}/{path}"
 
 
-def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Cut lineage: write to the shared folder once, read back from there."""
+def materialize(df: DataFrame, name: str = "stage", by: str | None = None) -> DataFrame:
+    """Cut lineage: write to the shared folder once, read back from there. ``by``: a folder per value of that column."""
     spark = df.sparkSession
     path = work_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def literal_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -80,9 +80,3 @@ def literal_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFr
     columns = [pa.array(list(values), to_arrow_type(field.dataType)) for values, field in
                zip(zip(*rows) if rows else [[] for _ in shape], shape)]
     return spark.createDataFrame(pa.table(columns, names=shape.names), shape)
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores when the input comes in fewer pieces than there are cores; a no-op for larger inputs."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

@@ -15,6 +15,8 @@ RULE_FIELDS = {
     "value_seconds": "double", "fresh_seconds": "bigint", "jurisdiction": "string", "effective_date": "string",
     "sunset_date": "string", "risk_tier": "string", "version": "string",
 }
+# bounds in microseconds of a rule without a first or last date
+OPEN_FROM, OPEN_TO = -(2**62), 2**62
 NODE_KINDS = {
     "subjects": "Subject", "rules": "Rule", "obligations": "Obligation", "definitions": "Definition",
     "exemptions": "Exemption", "precedents": "Precedent", "jurisdictions": "Jurisdiction",
@@ -45,9 +47,9 @@ def prepare_rules(rules: DataFrame) -> DataFrame:
     return (ready
             .withColumn("tokens", tokens)
             .withColumn("from_us", F.coalesce(V.micros(V.parse_iso(F.col("effective_date"))),
-                                              F.lit(-(2**62)).cast("bigint")))
+                                              F.lit(OPEN_FROM).cast("bigint")))
             .withColumn("to_us", F.coalesce(V.micros(V.parse_iso(F.col("sunset_date"))),
-                                            F.lit(2**62).cast("bigint")))
+                                            F.lit(OPEN_TO).cast("bigint")))
             .withColumn("tier", P.tier_rank(F.col("risk_tier")))
             .withColumn("operand", P.rule_operand(F.col("_v"), F.col("low"), F.col("high")))
             .withColumn("value_seconds_text", V.float_text(F.col("value_seconds")))
@@ -93,8 +95,8 @@ def flat_rules(documents: DataFrame) -> DataFrame:
 
 def flat_registry(documents: DataFrame) -> DataFrame:
     """subject → rule_id entries; ``ord`` is the entry's place, the last spelling of a subject wins."""
-    doc = documents.select("source", F.try_parse_json("text").alias("doc"))
-    tags = doc.select("source", F.try_variant_get("doc", F.lit("$.tag_registry"), "map<string,string>").alias("m"))
+    # a VARIANT sorts its keys; the text keeps the order of the document
+    tags = documents.select("source", F.from_json(F.get_json_object("text", "$.tag_registry"), "map<string,string>").alias("m"))
     return tags.select("source", F.posexplode("m").alias("ord", "subject", "rule_id"))
 
 

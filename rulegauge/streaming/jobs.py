@@ -51,8 +51,10 @@ def latest_updates(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(*keys, "v.*")
 
 
-def read_parquet_stream(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.readStream.schema(schema).parquet(path)
+def read_parquet_stream(spark: SparkSession, path: str, schema, *, files_per_trigger: int | None = None) -> DataFrame:
+    """``files_per_trigger`` bounds a micro-batch. It needs files that follow each other in time, else rows come late."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(path)
 
 
 def stateless(records: DataFrame, registry: DataFrame, rules: DataFrame) -> DataFrame:
@@ -72,7 +74,7 @@ def _run(records: DataFrame, keys: list[str], processor, schema: str, mode: str
 def trailing_windows(records: DataFrame, *, seconds: int, path: str) -> DataFrame:
     rows = _micros(records).withColumn("val", V.number_or_null(V.lookup(F.col("measurement"), F.lit(path))))
     rows = rows.filter("us IS NOT NULL").select(*SUBJECT, "measurement_id", "us", "val")
-    schema = "measurement_id string, count bigint, sum_value double, avg_value double, tenant_id string, subject string"
+    schema = "measurement_id string, count bigint, sum_value double, avg_value double, late boolean, to_replay boolean, tenant_id string, subject string"
     return _run(rows, SUBJECT, S.TrailingWindow(SUBJECT, seconds), schema)
 
 
@@ -83,8 +85,9 @@ def since_last(records: DataFrame) -> DataFrame:
 
 
 def debounce(records: DataFrame, *, seconds: int) -> DataFrame:
+    """A late record has no verdict here: it is kept, marked ``late``, for the replay path."""
     gap = F.col("since_last")
-    verdict = F.when(gap.isNull() | F.isnan(gap) | (gap > seconds), "CLEAR").otherwise("DISCRETIONARY")
+    verdict = F.when(F.col("late"), F.lit(None).cast("string")).when(gap.isNull() | F.isnan(gap) | (gap > seconds), "CLEAR").otherwise("DISCRETIONARY")
     return since_last(records).withColumn("verdict", verdict)
 
 
@@ -122,8 +125,11 @@ def lateness(records: DataFrame, *, allowed_seconds: int) -> DataFrame:
     return _run(rows, SUBJECT, S.Lateness(SUBJECT, allowed_seconds), schema)
 
 
-def daily_counts(verdicts: DataFrame, *, delay: str = "1 day") -> DataFrame:
-    """Tumbling day counts per verdict, for update mode."""
-    return (verdicts.withWatermark("ts", delay).groupBy(F.window("ts", "1 day"), "verdict")
+def daily_counts(verdicts: DataFrame) -> DataFrame:
+    """Tumbling day counts per verdict, for update mode.
+
+    Without a watermark: a row counts on its day however late it comes. State is one number per day and verdict.
+    """
+    return (verdicts.groupBy(F.window("ts", "1 day"), "verdict")
             .agg(F.count(F.lit(1)).alias("n_entries"))
             .select(F.col("window.start").alias("day"), "verdict", "n_entries"))

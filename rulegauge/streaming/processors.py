@@ -14,7 +14,7 @@ MICROS = 1_000_000
 
 
 def _whole(rows: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
-    """The key's rows of this micro-batch in order; a micro-batch is bounded by the trigger."""
+    """The key's rows of this micro-batch in order. All of them are held at once: bound the micro-batch by its trigger."""
     parts = [p for p in rows if len(p)]
     return pd.concat(parts, ignore_index=True).sort_values(order, ignore_index=True) if parts else pd.DataFrame()
 
@@ -22,8 +22,9 @@ def _whole(rows: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
 class TrailingWindow(StatefulProcessor):
     """Count, sum and mean over ``(t - seconds, t]`` per key.
 
-    State maps a tile of time to the records in it, so a batch reads and writes only the tiles it touches, and
-    tiles older than the window and the allowed lateness are dropped.
+    State maps a tile of time to the records in it; tiles older than the window and the allowed lateness are dropped.
+    ``late`` marks a record older than one of an earlier batch: answers given since then did not know it.
+    ``to_replay`` marks a record whose window reaches into dropped tiles: its own answer may lack records.
     """
 
     def __init__(self, key_names: list[str], seconds: int, tiles: int = 8, keep_seconds: int = 86_400):
@@ -33,6 +34,7 @@ class TrailingWindow(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.tiles = handle.getMapState("tiles", "tile bigint", "us array<bigint>, val array<double>")
+        self.bounds = handle.getValueState("bounds", "newest bigint, kept_from bigint")
 
     def handleInputRows(self, key, rows, timerValues):
         batch = _whole(rows, ["us", "measurement_id"])
@@ -58,12 +60,19 @@ class TrailingWindow(StatefulProcessor):
             mask = us // self.width == tile
             old_us, old_val = stored.get(tile, ([], []))
             self.tiles.updateValue((tile,), ([*old_us, *us[mask].tolist()], [*old_val, *val[mask].tolist()]))
-        horizon = (int(us.max()) - self.keep) // self.width
-        for tile in stored:
+        newest, kept_from = self.bounds.get() if self.bounds.exists() else (None, None)
+        late = np.zeros(len(us), bool) if newest is None else us < newest
+        lost = np.zeros(len(us), bool) if kept_from is None else us - self.span + 1 < kept_from
+        newest = int(us.max()) if newest is None else max(newest, int(us.max()))
+        horizon = (newest - self.keep) // self.width
+        for tile in {*stored, *(int(u) // self.width for u in us)}:
             if tile < horizon:
                 self.tiles.removeKey((tile,))
+                kept_from = max(horizon * self.width, kept_from or horizon * self.width)
+        self.bounds.update((newest, kept_from))
         out = pd.DataFrame({"measurement_id": batch["measurement_id"], "count": hi - lo, "sum_value": total,
-                            "avg_value": np.divide(total, n, out=np.full(len(us), np.nan), where=n > 0)})
+                            "avg_value": np.divide(total, n, out=np.full(len(us), np.nan), where=n > 0),
+                            "late": late, "to_replay": lost})
         for name, part in zip(self.key_names, key):
             out[name] = part
         yield out
@@ -175,6 +184,10 @@ class Silence(StatefulProcessor):
             return
         us = batch["us"].to_numpy(np.int64)
         held, told = self.last.get() if self.last.exists() else (None, True)
+        # a record older than the newest one ends no silence that is still open and starts none
+        us = us if held is None else us[us > held]
+        if not len(us):
+            return
         # a silence already told by the timer is not told again
         chain = us if told else np.concatenate([[held], us])
         chain = np.sort(chain)

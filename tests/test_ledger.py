@@ -75,3 +75,19 @@ def test_export_formats(spark, verdicts):
         assert files and all(f.checksum.startswith("sha256:") for f in files)
     with pytest.raises(ValueError):
         L.export(rows, work_path(spark, "exp"), "xml")
+
+
+def test_missing_fields_are_findings(verdicts):
+    rows = L.build_chain(verdicts)
+    head = rows.filter("tenant_id = 'hot'").agg(F.max("sequence_number")).first()[0]
+    at = (F.col("tenant_id") == "hot") & (F.col("sequence_number") == head)
+
+    def issues(column, value):
+        changed = rows.withColumn(column, F.when(at, F.lit(value).cast(rows.schema[column].dataType)).otherwise(F.col(column)))
+        return {(r.sequence_number, r.issue_type) for r in L.chain_issues(changed).filter("tenant_id = 'hot'").collect()}
+    assert issues("entry_hash", None) == {(head, "ENTRY_HASH_MISMATCH")}
+    assert (head, "HASH_MISMATCH") in issues("previous_hash", None)
+    assert (head, "TIMESTAMP_ORDER") in issues("timestamp_iso", "yesterday")
+    linked = L.chain_linkage(rows.withColumn("previous_hash", F.when(at, F.lit(None).cast("string")).otherwise(F.col("previous_hash"))))
+    assert [r.chain_link_valid for r in linked.filter(at).collect()] == [False]
+    assert linked.filter("chain_link_valid is null").count() == 0

@@ -1,7 +1,6 @@
 """Smaller pieces against hand-worked cases and brute force."""
 
 import random
-from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,7 +13,8 @@ from rulegauge.operators import graph as G
 from rulegauge.operators import routing as R
 from rulegauge.operators import rules as U
 from rulegauge.operators import scoring as M
-from rulegauge.session import literal_frame, spread
+from rulegauge.session import literal_frame
+from rulegauge.sources import rulesets as S
 from rulegauge.sources.rulesets import rules_frame
 
 
@@ -165,17 +165,42 @@ def test_chunk_arguments(spark):
             X.chunk(docs, **bad)
 
 
-def test_html_text(spark):
-    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html", X.html_text("html").alias("t")).collect()
+def test_document_text(spark):
+    docs = literal_frame(spark, [("a.txt", "x"), ("b.MD", "y"), ("c.pdf", "z")], "path string, content string")
+    assert [(r.text, r.problem) for r in X.document_text(docs).collect()] == [("x", None), ("y", None), (None, "unsupported: pdf")]
 
-    class Walk(HTMLParser):
-        def handle_data(self, data):
-            self.seen.append(data)
-    for row in pages:
-        w = Walk()
-        w.seen = []
-        w.feed(row.html)
-        assert row.t == "\n".join(w.seen)
+
+def test_lookup_takes_any_text_as_a_key(spark):
+    doc = '{"a\\"b": 1, "x[0]": {"k\'": 2}, "p": {"q": 3}}'
+    paths = ['a"b', "x[0].k'", "p.q", 'no"pe', "x[0", "p.q.r", '"]["']
+    df = literal_frame(spark, [(p, doc) for p in paths], "p string, d string").withColumn("v", F.try_parse_json("d"))
+    got = [r.t for r in df.select(F.to_json(V.lookup(F.col("v"), F.col("p"))).alias("t")).collect()]
+    assert got == ["1", "2", "3", None, None, None, None]
+    keys = [r.t for r in df.select(F.to_json(V.flat_key(F.col("v"), F.col("p"))).alias("t")).collect()]
+    assert keys == ["1", None, None, None, None, None, None]
+
+
+def test_registry_keeps_document_order(spark):
+    doc = literal_frame(spark, [("s", '{"tag_registry": {"pump": "r1", "Zed": "r9", "Pump": "r2"}}')], "source string, text string")
+    got = [(r.ord, r.subject, r.rule_id) for r in S.flat_registry(doc).orderBy("ord").collect()]
+    assert got == [(0, "pump", "r1"), (1, "Zed", "r9"), (2, "Pump", "r2")]
+
+
+def test_percentages_are_checked(spark):
+    with pytest.raises(ValueError):
+        M.percentiles(literal_frame(spark, [("g", 1.0)], "g string, x double"), "x", qs=(101,))
+
+
+@pytest.mark.parametrize("first,second,unit,clash", [
+    (("1950-01-01", "1955-01-01"), ("1960-01-01", "1965-01-01"), 86_400, False),
+    (("1950-01-01", "1961-01-01"), ("1960-01-01", "1965-01-01"), 86_400, True),
+    (("2024-01-01", "2024-01-31"), ("2024-06-01", "2024-06-30"), 3_600, False),
+    (("2160-01-01", "2170-01-01"), ("2150-01-01", "2159-12-31"), 86_400, False),
+    (("2160-01-01", None), (None, "2170-01-01"), 86_400, True), ((None, "1920-01-01"), ("1920-01-02", None), 86_400, False)])
+def test_contradictions_in_any_century_and_unit(spark, first, second, unit, clash):
+    rules = rules_frame(spark, [dict(rule_id="floor", metric="m", operator="must_be_at_least", value="100", effective_date=first[0], sunset_date=first[1]),
+                                dict(rule_id="cap", metric="m", operator="must_not_exceed", value="50", effective_date=second[0], sunset_date=second[1])])
+    assert [r.rule_id for r in G.contradictions(rules, unit_seconds=unit).collect()] == (["floor"] if clash else [])
 
 
 def test_contradictions_against_brute_force(spark):
@@ -255,8 +280,3 @@ def test_partition_count_does_not_matter(spark):
         seen.append(sorted(map(tuple, QUERIES["win_sum"](spark, "/root/testdata/sf0.001").collect()), key=str))
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert seen[0] == seen[1]
-
-
-def test_spread_leaves_large_inputs_alone(spark):
-    wide = spark.range(0, 100, 1, 16)
-    assert spread(wide, "id") is wide
