@@ -98,5 +98,5 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     sized = rows.select("doc_id", "source", word_count(F.col("text")).alias("size"), "_row")
     drawn = sampled(sized, **how).filter("copies > 0").select("_row", F.col("copies").cast("int").alias("_copies"))
     kept = [F.col(c) for c in docs.columns if c not in _OWN]
-    return rows.drop("_copies", "copy").join(stored(drawn, "drawn"), "_row").select(
+    return rows.drop("_copies", "copy").join(stored(drawn, "drawn").hint("merge"), "_row").select(
         *kept, F.explode(F.sequence(F.lit(1), "_copies")).alias("copy"))

@@ -201,4 +201,5 @@ def keep_one(docs: DataFrame, *, width: int = 4, seed: int = 42, budget: int = 4
     by_print = stored(prints.groupBy("_print").agg(F.min(first).alias("first")), "first")
     best = roots.join(by_print, "_print").groupBy("root").agg(F.min("first").alias("first"))
     kept = stored(best.select(F.col("first._row").alias("_row")), "kept")
-    return rows.join(kept, "_row", "left_semi").select(*[c for c in docs.columns if c != "_row"])
+    # as many ids as documents stay: the join is the same at every size, not a broadcast while they are few
+    return rows.join(kept.hint("merge"), "_row", "left_semi").select(*[c for c in docs.columns if c != "_row"])
