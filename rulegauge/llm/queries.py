@@ -174,7 +174,7 @@ FROM d LEFT JOIN r USING (doc_id)"""
 @query("op9_suffix_tree", WORDS_SQL)
 def op9_suffix_tree(spark, sf_dir):
     from rulegauge.llm import suffix_tree
-    return suffix_tree.removed(table(spark, sf_dir, "documents")).drop("kept")
+    return suffix_tree.removed(table(spark, sf_dir, "documents"), texts=False)
 
 
 # ---- 10: substring removal by bytes ------------------------------------------------------------------
@@ -204,7 +204,7 @@ FROM d LEFT JOIN t USING (doc_id)"""
 @query("op10_suffix_array", BYTES_SQL)
 def op10_suffix_array(spark, sf_dir):
     from rulegauge.llm import suffix_array
-    return suffix_array.removed(table(spark, sf_dir, "documents")).drop("kept")
+    return suffix_array.removed(table(spark, sf_dir, "documents"), texts=False)
 
 
 # ---- 7: language-model scores ------------------------------------------------------------------------

@@ -153,11 +153,11 @@ def repeated_spans(docs: DataFrame, *, units: Callable[[bytes], np.ndarray], wid
                     anchor, first, after = stretches(unit, width, gram)
                     held = np.isin(anchor, hits.values.to_numpy(zero_copy_only=False).view(np.uint64))
                     first, after = first[held], after[held]
-                    digests = [xxhash.xxh3_128_intdigest(unit[a:b - 1 + width].tobytes()) for a, b in zip(first.tolist(), after.tolist())]
-                    for column, value in zip(columns, (
-                            anchor[held].view(np.int64), np.array([d >> 64 for d in digests], np.uint64).view(np.int64),
-                            np.array([d & (1 << 64) - 1 for d in digests], np.uint64).view(np.int64),
-                            np.full(len(first), row), np.full(len(first), doc), first, after)):
+                    data, size = memoryview(unit).cast("B"), unit.itemsize
+                    bounds = zip((first * size).tolist(), ((after - 1 + width) * size).tolist())
+                    digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(data[a:b]) for a, b in bounds]), np.int64)
+                    for column, value in zip(columns, (anchor[held].view(np.int64), digests[::2], digests[1::2],
+                                                       np.full(len(first), row), np.full(len(first), doc), first, after)):
                         column.append(value)
                 yield pa.record_batch([pa.array(np.concatenate(c).astype(np.int64)) for c in columns], names=_STRETCH)
     _STRETCH = ["anchor", "c1", "c2", "_row", "_doc", "first", "after"]

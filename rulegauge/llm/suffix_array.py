@@ -55,8 +55,8 @@ def covered(spans: list[dict] | None, width: int, n: int) -> np.ndarray:
     return np.cumsum(change[:n]) > 0
 
 
-def removed(docs: DataFrame, *, width: int = 200, gram: int = 100, limit: int = 20_000) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` of every document.
+def removed(docs: DataFrame, *, width: int = 200, gram: int = 100, limit: int = 20_000, texts: bool = True) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and, with ``texts``, ``kept`` of every document.
 
     Each byte inside a string of ``width`` bytes that also starts anywhere else, in the same document or another, is
     removed; strings are judged on the input. ``kept`` are the remaining bytes. NULL and empty texts have no bytes; equal rows are
@@ -75,7 +75,7 @@ def removed(docs: DataFrame, *, width: int = 200, gram: int = 100, limit: int =
                     rest = np.frombuffer(text, np.uint8)[~gone].tobytes()
                     starts = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(gone) else 0
                     out.append((len(text), int(gone.sum()), starts, hashlib.sha256(rest).hexdigest()))
-                    kept.append(rest)
+                    kept.append(rest if texts else None)
                 sizes, removed_, starts, shas = zip(*out) if out else [()] * 4
                 yield pa.record_batch([part.column("doc_id"), *[pa.array(x, pa.int64()) for x in (sizes, removed_, starts)],
                                        pa.array(shas, pa.string()), pa.array(kept, pa.binary())],
@@ -83,4 +83,4 @@ def removed(docs: DataFrame, *, width: int = 200, gram: int = 100, limit: int =
     shape = rows.select("doc_id").schema
     for name, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string"), ("kept", "binary")):
         shape = shape.add(name, kind)
-    return rows.join(spans, "_row", "left").select("doc_id", "text", "spans").mapInArrow(cut, shape)
+    return rows.join(spans, "_row", "left").select("doc_id", "text", "spans").mapInArrow(cut, shape).drop(*[] if texts else ["kept"])

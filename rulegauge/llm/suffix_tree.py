@@ -41,8 +41,8 @@ def deep_nodes(units: list[np.ndarray], group: np.ndarray, least: np.ndarray, de
     return out
 
 
-def removed(docs: DataFrame, *, width: int = 13, gram: int = 5, limit: int = 20_000) -> DataFrame:
-    """``doc_id, n_words, n_removed, kept_sha256, kept`` of every document.
+def removed(docs: DataFrame, *, width: int = 13, gram: int = 5, limit: int = 20_000, texts: bool = True) -> DataFrame:
+    """``doc_id, n_words, n_removed, kept_sha256`` and, with ``texts``, ``kept`` of every document.
 
     Each word inside a window of ``width`` words that also starts in a document with a smaller id is removed; windows
     are judged on the input. ``kept`` are the remaining words, joined by one space. NULL and empty texts have no words. A NULL id is larger than any;
@@ -60,12 +60,12 @@ def removed(docs: DataFrame, *, width: int = 13, gram: int = 5, limit: int = 20_
                     words = text.split()
                     gone = covered(hits, width, len(words))
                     kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g] if hits else words)
-                    out.append((len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode()))
-                sizes, removed_, shas, texts = zip(*out) if out else [()] * 4
+                    out.append((len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode() if texts else None))
+                sizes, removed_, shas, kept_texts = zip(*out) if out else [()] * 4
                 yield pa.record_batch([part.column("doc_id"), *[pa.array(x, pa.int64()) for x in (sizes, removed_)],
-                                       *[pa.array(x, pa.string()) for x in (shas, texts)]],
+                                       *[pa.array(x, pa.string()) for x in (shas, kept_texts)]],
                                       names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
     shape = rows.select("doc_id").schema
     for name, kind in (("n_words", "long"), ("n_removed", "long"), ("kept_sha256", "string"), ("kept", "string")):
         shape = shape.add(name, kind)
-    return rows.join(spans, "_row", "left").select("doc_id", "text", "spans").mapInArrow(cut, shape)
+    return rows.join(spans, "_row", "left").select("doc_id", "text", "spans").mapInArrow(cut, shape).drop(*[] if texts else ["kept"])
