@@ -164,9 +164,9 @@ def _entries(spark: SparkSession, segments: DataFrame) -> DataFrame:
     reached = jumps.filter("at = 0").select("file", "at")
     steps, most = 1, scalar(pieces.agg(F.max("place")))[0] or 1
     while steps < most:
-        step = reached.join(jumps, ["file", "at"]).filter("to is not null").select("file", F.col("to").alias("at"))
+        step = reached.join(jumps.hint("merge"), ["file", "at"]).filter("to is not null").select("file", F.col("to").alias("at"))
         reached = stored(reached.union(step), "reached")
-        ahead = jumps.select("file", F.col("at").alias("to"), F.col("to").alias("_to"))
+        ahead = jumps.hint("merge").select("file", F.col("at").alias("to"), F.col("to").alias("_to"))
         jumps = stored(jumps.join(ahead, ["file", "to"]).select("file", "at", F.col("_to").alias("to")), "jumps")
         steps *= 2
     # the piece of a reached offset: the last piece whose base is not beyond it
