@@ -45,12 +45,18 @@ def vocabulary(docs: DataFrame, size: int) -> list[bytes]:
     return [bytes(r[0]) for r in best.orderBy(F.desc("n"), "word").collect()]
 
 
-def _pairs(text: bytes, ids: dict[bytes, int], kinds: int) -> np.ndarray:
+class _Codes(dict):
+    """Codes of words; a word outside the vocabulary is looked at once. Made anew for each slice of rows."""
+
+    def __missing__(self, word: bytes) -> int:
+        code = self[word] = _looks(word)
+        return code
+
+
+def _pairs(text: bytes, codes: _Codes, kinds: int) -> np.ndarray:
     """Code of each word with the word before it."""
     words = text.split()
-    found = np.fromiter((ids.get(w, -1) for w in words), np.int64, len(words))
-    for i in np.flatnonzero(found < 0).tolist():
-        found[i] = _looks(words[i])
+    found = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
     return np.concatenate([[0], found[:-1]]) * kinds + found if len(words) else found
 
 
@@ -89,12 +95,14 @@ def train(docs: DataFrame, labels: DataFrame, *, size: int = 1019, mix: float =
     models = Models(vocabulary(docs, size))
     ids, kinds = models.ids, models.kinds
     good = labels.filter("quality = 1").select("doc_id").distinct().withColumn("good", F.lit(True))
-    marked = docs.select("doc_id", "text").join(good, "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+    # labels grow with the documents: the join is the same at every size, not a broadcast while they are few
+    marked = docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
 
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for part in batches([batch]):
-                all_codes = [_pairs(t, ids, kinds) for t in texts_of(part.column(0))]
+                known = _Codes(ids)
+                all_codes = [_pairs(t, known, kinds) for t in texts_of(part.column(0))]
                 good_ = np.repeat(part.column(1).to_numpy(zero_copy_only=False).astype(bool), [len(c) for c in all_codes])
                 codes, place = np.unique(np.concatenate(all_codes), return_inverse=True)
                 both = np.bincount(place, minlength=len(codes))
@@ -118,9 +126,9 @@ def scored(docs: DataFrame, models: Models) -> DataFrame:
         ids, kinds, target, background = sent.value
         for batch in rows:
             for part in batches([batch]):
-                out = []
+                out, known = [], _Codes(ids)
                 for text in texts_of(part.column("text")):
-                    codes = _pairs(text, ids, kinds)
+                    codes = _pairs(text, known, kinds)
                     n = len(codes)
                     t, b = (float(x[codes].sum(dtype=np.float64)) / n if n else None for x in (target, background))
                     out.append((n, t, b, t - b if n else None))
