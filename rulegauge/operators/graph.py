@@ -182,7 +182,11 @@ def validate(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def validation_result(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row of totals; clean unless something CRITICAL or HIGH was found."""
+    """One row of totals; clean unless something CRITICAL or HIGH was found.
+
+    The checks read both tables several times, so these are written once, as narrow as they need them.
+    """
+    nodes, edges = materialize(nodes, "nodes"), materialize(edges, "edges")
     issues = validate(nodes, edges).agg(
         F.count(F.lit(1)).alias("total_issues"),
         F.count_if(F.col("severity").isin("CRITICAL", "HIGH")).alias("blocking_issues"))
@@ -214,6 +218,8 @@ def _blocks(first: Column, last: Column, top: int) -> Column:
 def contradictions(rules: DataFrame, *, unit_seconds: int = 86_400) -> DataFrame:
     """Obligations on one metric and place whose bounds exclude each other while both are valid.
 
+    A rule for everywhere (``*``) meets the rules of all places. The place of a row is that of its lower bound.
+
     ``rules`` are prepared rules. One row per lower-bound obligation that clashes, with the tightest opposing
     upper bound as witness. Validity is compared in units of ``unit_seconds`` (whole days).
 
@@ -265,11 +271,18 @@ def contradictions(rules: DataFrame, *, unit_seconds: int = 86_400) -> DataFrame
                         stored.alias("stored"), asked.alias("asked"))
     key = ["metric", "token", "kind", "l", "b"]
     tight = F.struct("high", "high_closed", F.col("rule_id").alias("other"))
-    table = (base.filter("high IS NOT NULL").select("metric", "token", tight.alias("t"), F.explode("stored").alias("x"))
+    # a bound is found under its own place and, for questions from everywhere, under a mark for any place
+    anywhere = F.lit("\u0000any")
+    table = (base.filter("high IS NOT NULL").withColumn("token", F.explode(F.array(F.col("token"), anywhere)))
+             .select("metric", "token", tight.alias("t"), F.explode("stored").alias("x"))
              .select("metric", "token", "x.*", "t").groupBy(*key).agg(F.min("t").alias("t")))
-    asks = base.filter("low IS NOT NULL").select("metric", "token", "rule_id", "low", "low_open", F.explode("asked").alias("x"))
-    met = asks.select("metric", "token", "rule_id", "low", "low_open", "x.*").join(table, key)
-    best = met.groupBy("metric", "token", "rule_id", "low", "low_open").agg(F.min("t").alias("t"))
+    place = F.col("token")
+    where = F.when(place == "*", F.array(anywhere)).otherwise(F.array(place, F.lit("*")))
+    asks = base.filter("low IS NOT NULL").select("metric", place.alias("place"), F.explode(where).alias("token"), "rule_id", "low",
+                                                 "low_open", "asked")
+    asks = asks.withColumn("x", F.explode("asked"))
+    met = asks.select("metric", "place", "token", "rule_id", "low", "low_open", "x.*").join(table, key)
+    best = met.groupBy("metric", F.col("place").alias("token"), "rule_id", "low", "low_open").agg(F.min("t").alias("t"))
     clash = (F.col("low") > F.col("t.high")) | (
         (F.col("low") == F.col("t.high")) & (F.col("low_open") | ~F.col("t.high_closed")))
     return best.filter(clash).select(

@@ -1,7 +1,9 @@
-"""Ordered operators that never put one key into one task.
+"""Ordered operators that do not put all rows of one key into one task.
 
 Every helper cuts the rows of a key into tiles along the order (time or position), works inside the
-tiles in parallel, and carries between tiles through a table with one row per tile.
+tiles in parallel, and carries between tiles through a table with one row per tile. ``trailing`` sends tile totals to
+the few tiles whose windows reach them; ``previous_row`` and ``as_of`` carry the last row over empty tiles by a window over that
+small table, so a key has as many rows in one task as it has tiles.
 """
 
 from __future__ import annotations

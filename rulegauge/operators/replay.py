@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rulegauge.operators import routing as R
 from rulegauge.operators import rules as E
+from rulegauge.session import materialize
 
 
 def replay_range(entries: DataFrame, lo: int, hi: int) -> DataFrame:
@@ -16,11 +17,12 @@ def replay_range(entries: DataFrame, lo: int, hi: int) -> DataFrame:
 def fetch(entries: DataFrame, history: DataFrame) -> DataFrame:
     """Adds ``record``: the latest history row with the entry's payload hash in its tenant (NULL if none).
 
-    The history is reduced to one row per hash with map-side combining before the join, so repeated payloads
-    do not multiply.
+    Only history rows whose hash an entry names are looked at. They are reduced to one row per hash with map-side
+    combining before the join, so repeated payloads do not multiply.
     """
     row = F.struct("telemetry_ts", "telemetry_id", "subject", "payload")
-    latest = history.groupBy("tenant_id", F.col("measurement_hash").alias("telemetry_hash")).agg(
+    named = entries.select("tenant_id", F.col("telemetry_hash").alias("measurement_hash"))
+    latest = history.join(named, ["tenant_id", "measurement_hash"], "left_semi").groupBy("tenant_id", F.col("measurement_hash").alias("telemetry_hash")).agg(
         F.max_by(row, F.struct("telemetry_ts", "telemetry_id")).alias("record"))
     return entries.join(latest, ["tenant_id", "telemetry_hash"], "left")
 
@@ -37,11 +39,14 @@ def replay(entries: DataFrame, history: DataFrame, registry: DataFrame, rules: D
     """Per entry of the range: ``outcome`` (skipped, matched, mismatched), its reason and the new verdict.
 
     ``history`` holds ``tenant_id, subject, telemetry_id, telemetry_ts, payload, measurement_hash``. Each
-    entry is decided as of its record's own time over the whole history.
+    entry is decided as of its record's own time over all that its subject sent before.
     """
-    chosen = skip_reason(fetch(replay_range(entries, lo, hi), history)).withColumn(
-        "_key", F.concat_ws("#", "tenant_id", "sequence_number"))
-    past = history.select("tenant_id", "subject", F.col("telemetry_id").alias("measurement_id"),
+    chosen = materialize(skip_reason(fetch(replay_range(entries, lo, hi), history)).withColumn(
+        "_key", F.concat_ws("#", "tenant_id", "sequence_number")), "chosen")
+    # decisions look back only: of the history the range's subjects are needed, up to their last entry
+    until = chosen.filter("skip_reason IS NULL").groupBy("tenant_id", F.col("record.subject").alias("subject")).agg(
+        F.max("record.telemetry_ts").alias("_until"))
+    past = history.join(until, ["tenant_id", "subject"]).filter(F.col("telemetry_ts") <= F.col("_until")).select("tenant_id", "subject", F.col("telemetry_id").alias("measurement_id"),
                           F.col("telemetry_ts").alias("ts"), F.col("payload").alias("measurement"))
     live = chosen.filter("skip_reason IS NULL").select(
         "_key", "tenant_id", F.col("rule_id").alias("recorded_rule"), F.col("verdict").alias("recorded_verdict"),

@@ -141,12 +141,15 @@ _LINES_SQL = """
 
 @B.query("verdict_lineitem", _LINES_SQL)
 def _lineitem(spark, sf_dir):
-    """High-volume telemetry: four readings per line item, four obligations, verdict counts per status."""
+    """High-volume telemetry: four readings per line item, four obligations, verdict counts per status.
+
+    Order and line number repeat in the data, so each line item is decided under a row number of its own.
+    """
     lines = B.table(spark, sf_dir, "lineitem")
     payload = F.format_string('{"discount":%s,"quantity":%s,"tax":%s,"returnflag":"%s"}', F.col("l_discount").cast("string"),
                               F.col("l_quantity").cast("string"), F.col("l_tax").cast("string"), F.col("l_returnflag"))
     records = lines.select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("measurement_id"), F.col("l_shipdate").cast("timestamp").alias("ts"),
+        F.monotonically_increasing_id().alias("measurement_id"), F.col("l_shipdate").cast("timestamp").alias("ts"),
         F.concat(F.lit("status."), F.col("l_linestatus")).alias("jurisdiction"), F.try_parse_json(payload).alias("measurement"), "l_linestatus")
     got = E.verdict_all(records, _line_rules(spark), carry=["l_linestatus"])
     return got.groupBy(F.col("l_linestatus").alias("line_status"), "verdict").agg(

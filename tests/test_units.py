@@ -203,6 +203,14 @@ def test_contradictions_in_any_century_and_unit(spark, first, second, unit, clas
     assert [r.rule_id for r in G.contradictions(rules, unit_seconds=unit).collect()] == (["floor"] if clash else [])
 
 
+@pytest.mark.parametrize("one,two,clash", [('"global"', '"ca.alberta"', True), ('"ca.alberta"', '"global"', True), ('"global"', '"*"', True),
+                                           ('"ca.alberta"', '"us.federal"', False)])
+def test_contradictions_with_rules_for_everywhere(spark, one, two, clash):
+    rules = rules_frame(spark, [dict(rule_id="floor", metric="m", operator="must_be_at_least", value="100", jurisdiction=one),
+                                dict(rule_id="cap", metric="m", operator="must_not_exceed", value="50", jurisdiction=two)])
+    assert [(r.rule_id, r.witness_id) for r in G.contradictions(rules).collect()] == ([("floor", "cap")] if clash else [])
+
+
 def test_contradictions_against_brute_force(spark):
     rng = random.Random(11)
     kinds = ["must_be_at_least", "must_be_above", "must_not_exceed", "must_be_below", "must_equal", "must_be_within"]
