@@ -11,16 +11,17 @@ from rulegauge.llm.common import scalar, stored
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``edges`` (a, b): the root is the smallest node of the component.
 
-    Rounds of two steps: every node sends its larger neighbours, then its smaller ones, to the smallest it knows.
-    The rounds end with stars around the roots, after about as many as the logarithm of the longest path. Smallest neighbours are aggregates
-    with map-side combining and meet the edges by joins whose crowded keys Spark can split; no group is collected.
-    NULL nodes and loops are ignored.
+    Rounds of two steps: every node sends its larger neighbours, then its smaller ones, to the smallest it knows. They
+    end with stars around the roots, after about as many rounds as the logarithm of the longest path. Smallest
+    neighbours are aggregates with map-side combining and meet the edges by joins whose crowded keys Spark can split;
+    no group is collected. NULL nodes and loops are ignored.
     """
     pairs = stored(_distinct(edges.select("a", "b")), "edges")
     while True:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = stored(_distinct(both.filter("b > a").join(stored(least, "least"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))), "large")
+        larger = both.filter("b > a").join(stored(least, "least"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = stored(_distinct(larger), "large")
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = stored(down.groupBy("a").agg(F.min("b").alias("m")), "low")
         small = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulegauge.llm.common import batches, drop_stored, lists, numbered, parts, stored, texts_of
+from rulegauge.llm.common import batches, drop_stored, numbered, parts, stored, texts_of
 
 _STEP = 0x9E3779B97F4A7C15
 _LOW, _HIGH = np.uint64(0xFFFFFFFF), np.uint64(0xFFFFFFFF00000000)
