@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rulegauge.functions import values as V
-from rulegauge.operators import extraction as X
 from rulegauge.operators import ledger as L
 from rulegauge.operators import scoring as M
 from rulegauge.plans import base as B
