@@ -62,7 +62,7 @@ def main() -> None:
         if os.path.isdir(WARM_DIR):
             run(name, WARM_DIR)  # class loading and code generation on the smallest scale
         timings[name] = round(run(name, data), 3)
-        if name in ROWS and os.path.isdir(SMALLER_DIR):
+        if name in ROWS and not name.startswith("ledger") and os.path.isdir(SMALLER_DIR):
             smaller[name] = round(run(name, SMALLER_DIR), 3)
     counts = {t: spark.read.parquet(f"{SF_DIR}/{t}.parquet").count() for t in set(ROWS.values())}
     rates = {n: round(counts[t] / timings[n]) for n, t in ROWS.items() if n in timings}
