@@ -380,6 +380,30 @@ def test_language_models(spark, docs, nothing):
     assert lm.scored(df, flat).filter("abs(score) > 1e-6").count() == 0
 
 
+def test_language_models_tell_rare_words_apart(spark):
+    """2,000 words, each seen 20 times and good texts made of one half: a model of the most frequent words cannot tell."""
+    rng = random.Random(6)
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(2000)]
+    halves = []
+    for half in (words[:1000], words[1000:]):
+        bag = half * 20
+        rng.shuffle(bag)
+        halves.append([" ".join(bag[i:i + 50]) for i in range(0, len(bag), 50)])
+    common = " ".join(f"c{i}" for i in range(1100))
+    rows_ = [(i, t) for i, t in enumerate(halves[0] + halves[1])] + [(9000 + i, common) for i in range(30)]
+    df = spark.createDataFrame(rows_, "doc_id bigint, text string").repartition(5)
+    labels = spark.createDataFrame([(i, 1) for i in range(300)], "doc_id bigint, quality int")
+    models = lm.train(df, labels)
+    assert models.kinds == 2000 + 1100 + 5
+    got = {r.doc_id: r.score for r in lm.scored(df, models).collect()}
+    assert max(got[i] for i in range(400)) < min(got[i] for i in range(400, 800))
+    # a frame the models were not made of has the same scores, and one with words never seen has finite ones
+    other = {r.doc_id: r.score for r in lm.scored(df.filter("doc_id < 500"), models).collect()}
+    assert len(other) == 500 and all(abs(other[i] - got[i]) < 1e-9 for i in other)
+    new = lm.scored(spark.createDataFrame([(1, "never seen waaa never")], "doc_id bigint, text string"), models).first()
+    assert new.n_tokens == 4 and new.background_loss > 0
+
+
 def test_token_counts_follow_edits(spark, docs, nothing):
     count = token_counts.encoder(token_counts.TOKENIZER, token_counts.PATTERN)
     rng = random.Random(4)
