@@ -95,9 +95,20 @@ def write(pages: DataFrame, path: str, *, min_bytes: int = 0, date: str = "2024-
 # ---- reading -----------------------------------------------------------------------------------------
 
 def _segments(spark: SparkSession, path: str) -> DataFrame:
-    """Text between occurrences of the magic, with the piece (file, start of split) it was read in."""
-    return spark.read.option("lineSep", MAGIC).text(path).select(
+    """Text between occurrences of the magic, with the piece (file, start of split) it was read in.
+
+    Every scan of the frame must cut the files alike, whatever executors come or go and settings change in between. Splits
+    follow the settings of the session that made the relation: it is one of its own, with the parallelism of this moment.
+    """
+    own = spark.newSession()
+    for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+        own.conf.set(key, spark.conf.get(key))
+    cores = spark.conf.get("spark.sql.files.minPartitionNum", None) or spark.conf.get("spark.sql.leafNodeDefaultParallelism", None)
+    own.conf.set("spark.sql.files.minPartitionNum", cores or str(spark.sparkContext.defaultParallelism))
+    read_ = own.read.option("lineSep", MAGIC).text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    # an empty union, which the optimizer drops: all but the splits follows the caller's session
+    return spark.createDataFrame([], read_.schema).filter(F.lit(False)).union(read_)
 
 
 _LINKS = pa.schema([("file", pa.string()), ("block", pa.int64()), ("at", pa.int64()), ("leave", pa.int64()),
@@ -205,6 +216,8 @@ def _cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for f, block, value, p, entry in zip(*[c.to_pylist() for c in batch.columns]):
             if (f, block) != piece:
                 close(begun)
+                if p is None:
+                    raise ValueError(f"{f} was cut at {block} in one scan only: its records would be lost")
                 piece, size, expect, need, begun, file, place = (f, block), 0, entry, None, False, f, p
                 if block == 0:
                     size = len(value)
@@ -273,15 +286,16 @@ def read(spark: SparkSession, path: str, *, small: int = 200_000) -> DataFrame:
 
     Files may be of any size. A record that the end of its file cuts off is left out, and so is whatever is not
     reachable from the start of its file. Entries of pieces go to the tasks by broadcast up to ``small`` pieces (a row
-    of about 100 bytes each); beyond that pieces and entries meet by a join that brings each piece together again.
+    of about 100 bytes each); beyond that pieces and entries meet by a join that brings each piece together again. A piece
+    without an entry is an error.
     """
     segments = _segments(spark, path)
     entries = _entries(spark, segments)
     read_ = segments.select("file", "block", F.col("value").cast("binary").alias("value"))
     if scalar(entries.agg(F.count(F.lit(1))))[0] <= small:
-        met = read_.join(F.broadcast(entries), ["file", "block"])
+        met = read_.join(F.broadcast(entries), ["file", "block"], "left")
     else:
-        met = (read_.withColumn("_seq", F.monotonically_increasing_id()).join(entries, ["file", "block"])
+        met = (read_.withColumn("_seq", F.monotonically_increasing_id()).join(entries, ["file", "block"], "left")
                .repartition("file", "block").sortWithinPartitions("file", "block", "_seq"))
     cut = met.select("file", "block", "value", F.col("place").cast("long"), "entry").mapInArrow(
         _cut, "file string, place bigint, starts boolean, whole boolean, data binary")

@@ -325,6 +325,23 @@ def test_archives_survive_magic_inside_payloads(spark):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+@pytest.mark.parametrize("small", [200_000, 0])
+def test_archives_are_cut_alike_in_both_scans(spark, small):
+    """Between the scans the parallelism changes, as when executors are lost."""
+    path = tempfile.mkdtemp(prefix="warc-") + "/a"
+    warc.write(spark.createDataFrame([(i, "u", f"page {i} " * 200, "", "") for i in range(400)], PAGES).coalesce(1), path)
+    keys = ("spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")
+    spark.conf.set(keys[0], "0")
+    spark.conf.set(keys[1], "3")
+    try:
+        got = warc.read(spark, path, small=small)
+        spark.conf.set(keys[1], "7")
+        assert sorted(r.page_id for r in got.select("page_id").collect()) == list(range(400))
+    finally:
+        for key in keys:
+            spark.conf.unset(key)
+
+
 def test_archive_of_nothing_and_torn_archive(spark):
     path = tempfile.mkdtemp(prefix="warc-") + "/a"
     warc.write(spark.createDataFrame([], PAGES), path)
