@@ -156,19 +156,21 @@ def js_distance(counts: Column, reference: Column) -> Column:
 _OWN = ("_lang", "_profile", "_name", "_texts", "_class_ref", "_word_ref")
 
 
-def verdict(*, min_words: int = 50, min_common: int = 100, min_texts: int = 20, class_limit: float = 0.32,
-            word_limit: float = 0.36) -> dict[str, Column]:
+def verdict(*, min_words: int = 50, min_common: int = 50, min_texts: int = 20, class_limit: float = 0.32,
+            word_limit: float = 0.27, short_words: int = 100, short_slope: float = 0.0015) -> dict[str, Column]:
     """``base_failed, class_distance, word_distance, kept`` over the columns of a profile and its language's references.
 
     A text is judged by its characters only if it has ``min_words`` words, by its common words only if it has
     ``min_common``, and by either only if its language has ``min_texts`` texts in the reference; too short texts and
-    too rare languages are not held against a document. ``kept`` is false if a base rule fails or a distance is above
+    too rare languages are not held against a document. Shares of few words scatter: for each word that a text has less than
+    ``short_words``, its ``word_limit`` is wider by ``short_slope``. ``kept`` is false if a base rule fails or a distance is above
     its limit. NULL languages form a language of their own.
     """
     known, n = F.col("_texts") >= min_texts, F.col("_profile.n_words")
     classes = F.when(known & (n >= min_words), js_distance(F.col("_profile.classes"), F.col("_class_ref")))
     words = F.when(known & (n >= min_common), js_distance(F.col("_profile.common"), F.col("_word_ref")))
-    far = (F.coalesce(classes, F.lit(0.0)) > class_limit) | (F.coalesce(words, F.lit(0.0)) > word_limit)
+    allowed = F.lit(word_limit) + F.greatest(F.lit(short_words) - n, F.lit(0)) * F.lit(short_slope)
+    far = (F.coalesce(classes, F.lit(0.0)) > class_limit) | (F.coalesce(words, F.lit(0.0)) > allowed)
     return {"base_failed": _base_failed(), "kept": ~_base_failed() & ~far, "class_distance": classes, "word_distance": words}
 
 

@@ -243,6 +243,16 @@ def test_quality_distance_by_hand(spark):
             assert abs(getattr(got[r[0]], name) - np.sqrt(js)) < 1e-6
 
 
+def test_quality_drops_labelled_junk(spark):
+    """Of labelled texts that pass the base rules nearly all junk goes and nearly all good texts stay."""
+    at = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{at}/labels.parquet").select("doc_id", "quality")
+    judged = quality.report(spark.read.parquet(f"{at}/documents.parquet")).join(labels, "doc_id").filter("not base_failed")
+    got = {(r.quality, r.kept): r["count"] for r in judged.groupBy("quality", "kept").count().collect()}
+    assert got.get((0, True), 0) <= 0.15 * (got.get((0, True), 0) + got[0, False])
+    assert got.get((1, False), 0) <= 0.005 * got[1, True]
+
+
 PII = [(1, "card 4111111111111111 and 4111 1111 1111 1111, bad 4111111111111112"), (2, "+1 (017) 555-7713 (415) 555-0199 415-555-0199."),
        (3, "192.168.1.10, 999.1.1.1 and 10.0.0.1."), (4, "1984-02-29, 02/30/2001 02/28/2001 31.12.1999 2024-12-01"), (5, "123-45-6789 000-12-3456"),
        (6, "DE89370400440532013000 GB82 WEST 1234 5698 7654 32 DE88370400440532013000"), (7, "Bob.S42@example.com, bob.s42@example.com!! a@b.co"),
