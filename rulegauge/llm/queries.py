@@ -235,6 +235,49 @@ def op8_token_counts(spark, sf_dir):
                           F.col("counts.encoded").alias("n_chars_encoded"), F.col("counts.length").alias("n_chars_after"))
 
 
+# ---- 13: spelling variants ---------------------------------------------------------------------------
+
+SPELLING_SQL = r"""
+WITH RECURSIVE u AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i::BIGINT, list_transform(range(8), lambda k: k::BIGINT)),
+           lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[a-z\x{C0}-\x{FF}]{7,}')) AS run FROM documents),
+e AS (SELECT doc_id, run, COUNT(*) AS n FROM d GROUP BY doc_id, run),
+b AS (SELECT *, hex(encode(COALESCE(doc_id::VARCHAR, '') || ':' || run)) AS x FROM e),
+h AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(len(x) // 2),
+           lambda i: ('0x' || substr(x, (2 * i + 1)::BIGINT, 2))::BIGINT)), lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])),
+         4294967295::BIGINT) AS h FROM b, u),
+w AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % len(run)) || substr(run, h % len(run) + 2) ELSE run END AS word, n FROM h),
+v AS (SELECT word, SUM(n)::BIGINT AS n FROM w WHERE len(word) >= 7 GROUP BY word HAVING SUM(n) >= 2),
+m AS (SELECT word, n, unnest(range(1, len(word) + 1)) AS i FROM v),
+s AS (SELECT word, n, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS z FROM m),
+p AS (
+  SELECT x.word, y.word AS near, y.n AS near_n FROM s x JOIN s y ON x.i = y.i AND x.a = y.a AND x.z = y.z AND x.word <> y.word
+  UNION SELECT s.word, v.word, v.n FROM s JOIN v ON s.a || s.z = v.word
+  UNION SELECT v.word, s.word, s.n FROM s JOIN v ON s.a || s.z = v.word),
+g AS (
+  SELECT word, COUNT(*) AS n_near, MAX(near_n) AS best_n FROM p GROUP BY word),
+k AS (SELECT p.word, MIN(p.near) AS best FROM p JOIN g ON p.word = g.word AND p.near_n = g.best_n GROUP BY p.word),
+f AS (
+  SELECT v.word, v.n, COALESCE(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * v.n THEN best END AS form,
+         CASE WHEN best_n >= 10 * v.n THEN best_n END AS form_n
+  FROM v LEFT JOIN g USING (word) LEFT JOIN k USING (word)),
+r AS (
+  SELECT word, word AS root FROM f WHERE form IS NULL
+  UNION ALL SELECT f.word, r.root FROM f JOIN r ON f.form = r.word)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN r USING (word)"""
+
+
+@query("op13_spelling", SPELLING_SQL)
+def op13_spelling(spark, sf_dir):
+    from rulegauge.llm import spelling
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 # ---- the pipeline ------------------------------------------------------------------------------------
 
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
