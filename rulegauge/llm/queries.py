@@ -235,6 +235,45 @@ def op8_token_counts(spark, sf_dir):
                           F.col("counts.encoded").alias("n_chars_encoded"), F.col("counts.length").alias("n_chars_after"))
 
 
+# ---- 11: collocations --------------------------------------------------------------------------------
+
+COLLOCATIONS_SQL = r"""
+WITH d AS (
+  SELECT COALESCE(lang, 'und') AS lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+o AS (SELECT lang, SUM(len(w))::BIGINT AS n FROM w GROUP BY lang),
+s AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+g AS (
+  SELECT lang, k, list_slice(w, i, i + k - 1) AS p FROM s, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE i + k - 1 <= len(w)),
+f AS (SELECT lang, k, p, COUNT(*)::BIGINT AS a FROM g GROUP BY lang, k, p HAVING COUNT(*) >= 30),
+x AS (
+  SELECT lang, q, MAX(a) AS above FROM (
+    SELECT lang, a, list_slice(p, b, e) AS q
+    FROM f, (SELECT unnest(range(1, 4)) AS b), (SELECT unnest(range(2, 5)) AS e)
+    WHERE k > 2 AND e <= k AND e > b AND e - b + 1 < k) GROUP BY lang, q),
+c AS (
+  SELECT f.lang, f.p, f.k, f.a FROM f LEFT JOIN x ON f.lang = x.lang AND f.p = x.q
+  WHERE f.k > 1 AND (above IS NULL OR 100::HUGEINT * above < 80::HUGEINT * f.a)),
+y AS (
+  SELECT lang, p, a, cut, list_slice(p, 1, cut) AS u, list_slice(p, cut + 1, k) AS v
+  FROM c, (SELECT unnest([1, 2, 3]) AS cut) WHERE cut < k),
+t AS (
+  SELECT y.lang, y.p, y.a, cut, l.a AS l, r.a AS r, (2000000::HUGEINT * y.a) // (l.a::HUGEINT + r.a) AS score
+  FROM y JOIN f l ON l.lang = y.lang AND l.p = y.u JOIN f r ON r.lang = y.lang AND r.p = y.v),
+b AS (
+  SELECT lang, array_to_string(p, ' ') AS phrase, a, l, r, score::BIGINT AS score FROM (
+    SELECT *, ROW_NUMBER() OVER (PARTITION BY lang, p ORDER BY score, cut) AS place FROM t) WHERE place = 1),
+z AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b)
+SELECT lang, rank, phrase, a, l, r, o.n, score FROM z JOIN o USING (lang) WHERE rank <= 2000"""
+
+
+@query("op11_collocations", COLLOCATIONS_SQL)
+def op11_collocations(spark, sf_dir):
+    from rulegauge.llm import collocations
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 # ---- 13: spelling variants ---------------------------------------------------------------------------
 
 SPELLING_SQL = r"""
