@@ -274,6 +274,14 @@ def op11_collocations(spark, sf_dir):
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+# ---- 12: main text of pages --------------------------------------------------------------------------
+
+@query("op12_html_text")
+def op12_html_text(spark, sf_dir):
+    from rulegauge.llm import wrappers
+    return wrappers.main_text(table(spark, sf_dir, "pages"))
+
+
 # ---- 13: spelling variants ---------------------------------------------------------------------------
 
 SPELLING_SQL = r"""
