@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulegauge.llm.common import batches, numbered, scalar, stored
+from rulegauge.llm.common import batches, scalar, stored
 
 # Elements by their role in HTML.
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -72,6 +72,24 @@ class Node:
             parent.children.append(self)
 
 
+def _said(attributes: str) -> tuple[list[str], str]:
+    """The classes and ids of an element, and what its names say."""
+    names: list[str] = []
+    said: set[str] = set()
+    if not attributes:
+        return names, ""
+    for name, *value in _ATTR.findall(attributes):
+        name, value = name.lower(), value[0] or value[1] or value[2]
+        if name in ("class", "id"):
+            names += value.split()
+        if name in ("class", "id", "role", "itemtype"):
+            said |= {x.lower() for x in _NAMES.findall(value)}
+    cues = said & _CUES
+    if cues == {"header"}:
+        return names, "" if said & _OWN else "header"
+    return names, "other" if cues or _HIDDEN.search(attributes) else ""
+
+
 class Page:
     """A parsed page: the tree of its block elements, and its blocks in page order with the part that is links."""
 
@@ -157,12 +175,14 @@ class Page:
                 anchors += 1
             if len(open_tags) >= OPEN and tag not in _RAW:
                 continue
-            if tag in _INLINE and not _HIDDEN.search(found[3]):
+            names, cue = _said(found[3][:-1])
+            if tag in _INLINE and not cue:
                 open_tags.append(tag)
                 nodes.append(None)
                 continue
             close()
-            node = self._opened(tag, found[3], node)
+            label = ".".join([tag, *sorted({re.sub(r"\d+", "0", x) for x in names})])
+            node = Node(tag, label, cue, node if node.depth < DEEPEST else node.parent)
             if tag in _RAW:
                 end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)|\Z", re.I).search(source, at)
                 node, at = node.parent, end.end()
@@ -171,26 +191,6 @@ class Page:
             nodes.append(node)
         close()
 
-    @staticmethod
-    def _opened(tag: str, attributes: str, parent: Node) -> Node:
-        names: list[str] = []
-        said: set[str] = set()
-        for name, *value in _ATTR.findall(attributes[:-1]):
-            name, value = name.lower(), value[0] or value[1] or value[2]
-            if name in ("class", "id"):
-                names += value.split()
-            if name in ("class", "id", "role", "itemtype"):
-                said |= {x.lower() for x in _NAMES.findall(value)}
-        cues = said & _CUES
-        if cues == {"header"}:
-            cue = "" if said & _OWN else "header"
-        else:
-            cue = "other" if cues or _HIDDEN.search(attributes) else ""
-        label = ".".join([tag, *sorted({re.sub(r"\d+", "0", x) for x in names})])
-        if parent.depth >= DEEPEST:
-            parent = parent.parent
-        return Node(tag, label, cue, parent)
-
 
 # ---- trees and wrappers ------------------------------------------------------------------------------
 # A tree is [label, number of pages, children]; a wrapper is one, a page's tree has the number 1.
