@@ -8,46 +8,120 @@ enters or leaves between are compacted to one path.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rulegauge.llm.common import batches, scalar, stored, texts_of
 
-#: What ends a piece becomes a line feed, a tab becomes a space.
-_CUTS = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")
+#: What ends a piece becomes a full stop, a tab becomes a space.
+_CUTS = bytes.maketrans(b",;:!?\n\x0b\x0c\r\t", b"." * 9 + b" ")
+#: Bits of the filter of frequent pairs: 8 MB, however large the corpus.
+FILTER_BITS = 26
+_ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
+
+
+def _numbered(rows: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[bytes, list[bytes], np.ndarray]]:
+    """Language, words and their numbers in running text; number 0 ends a piece. About ``most`` words at a time."""
+    held: dict[bytes, tuple[dict, list]] = {}
+
+    def taken() -> Iterator[tuple[bytes, list[bytes], np.ndarray]]:
+        for lang, (known, runs) in held.items():
+            if not runs:
+                continue
+            yield lang, list(known), np.concatenate(runs)
+        held.clear()
+    size = 0
+    for batch in rows:
+        for part in batches([batch]):
+            for text, lang in zip(texts_of(part.column("text")), texts_of(part.column("lang"))):
+                known, runs = held.setdefault(lang, ({b".": 0}, []))
+                text = text.lower().translate(_CUTS)
+                at = 0
+                while at < len(text):
+                    # long texts in slices that end where a piece ends
+                    end = text.find(b".", at + (4 << 20)) + 1 or len(text)
+                    words = (text[at:end] + b".").replace(b".", b" . ").split()
+                    runs.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words)))
+                    size, at = size + len(words), end
+                    if size >= most:
+                        yield from taken()
+                        known, runs = held.setdefault(lang, ({b".": 0}, []))
+                        size = 0
+    yield from taken()
+
+
+def _pair_codes(lang: bytes, words: list[bytes], numbers: np.ndarray) -> np.ndarray:
+    """A code of every two neighbours in running text, those across the end of a piece included."""
+    codes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))[numbers]
+    mixed = codes[:-1] * _ODD[0] + (codes[1:] ^ np.uint64(xxhash.xxh64_intdigest(lang, 1))) * _ODD[1]
+    mixed ^= mixed >> np.uint64(31)
+    return mixed * _ODD[2]
+
+
+def _pairs(most: int):
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, words, numbers in _numbered(rows, most):
+            inside = (numbers[:-1] > 0) & (numbers[1:] > 0)
+            codes, counts = np.unique(_pair_codes(lang, words, numbers)[inside], return_counts=True)
+            yield pa.record_batch([pa.array(codes.view(np.int64)), pa.array(counts.astype(np.int64))], names=["code", "n"])
+    return run
+
 
+def _blocks(key: tuple, table: pa.Table) -> pa.Table:
+    bits = np.zeros(1 << 16, bool)
+    bits[table.column("bit").to_numpy()] = True
+    return pa.table({"block": [key[0].as_py()], "bits": [np.packbits(bits).tobytes()]})
 
-def _suffixes(longest: int, most: int):
-    """Of every word its longest phrase within the piece, counted per language before anything is shuffled; what ends
-    early stands for a piece that ends there."""
+
+def frequent_pairs(docs: DataFrame, *, least: int, most: int) -> np.ndarray:
+    """A bit for every code of two neighbouring words that occur ``least`` times, in a filter of fixed size.
+
+    No phrase of ``least`` occurrences holds two neighbours whose bit is unset. Bits of other pairs may be set by chance:
+    they cost a few more rows and change no count. Once frequent pairs outnumber the bits the filter passes nearly all.
+    """
+    codes = docs.mapInArrow(_pairs(most), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    place = F.shiftrightunsigned("code", 64 - FILTER_BITS)
+    bits = codes.select(F.shiftrightunsigned(place, 16).alias("block"), place.bitwiseAND(0xFFFF).cast("int").alias("bit")).distinct()
+    packed = np.zeros((1 << FILTER_BITS - 16, 1 << 13), np.uint8)
+    for block, row in bits.groupBy("block").applyInArrow(_blocks, "block long, bits binary").collect():
+        packed[block] = np.frombuffer(row, np.uint8)
+    return packed.reshape(-1)
+
+
+def _suffixes(longest: int, most: int, shared):
+    """Of every word the longest phrase that starts there, counted per language before anything is shuffled. It ends with
+    the piece, or before a pair that is too rare; what is shorter than ``longest`` stands for such an end."""
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, Counter] = {}
-
-        def counted() -> pa.RecordBatch:
-            heads, lasts, counts = [], [], []
-            for lang, found in seen.items():
-                for gram in sorted(found):
-                    heads.append(lang + b"\t" + b" ".join(gram[:longest - 1]))
-                    lasts.append(gram[longest - 1] if len(gram) == longest else None)
-                    counts.append(found[gram])
-            seen.clear()
-            return pa.record_batch([pa.array(heads, pa.binary()).cast(pa.string()), pa.array(lasts, pa.binary()).cast(pa.string()),
-                                    pa.array(counts, pa.int64())], names=["head", "last", "n"])
-        for batch in rows:
-            for part in batches([batch]):
-                for text, lang in zip(texts_of(part.column("text")), texts_of(part.column("lang"))):
-                    found = seen.setdefault(lang, Counter())
-                    for piece in text.lower().translate(_CUTS).split(b"\n"):
-                        words = piece.split()
-                        found.update(zip(*[words[i:] for i in range(longest)]))
-                        found.update(tuple(words[i:]) for i in range(max(0, len(words) - longest + 1), len(words)))
-                if sum(map(len, seen.values())) >= most:
-                    yield counted()
-        yield counted()
+        bits = shared.value
+        for lang, words, numbers in _numbered(rows, most):
+            codes = _pair_codes(lang, words, numbers) >> np.uint64(64 - FILTER_BITS)
+            goes = (bits[codes >> np.uint64(3)] >> (np.uint64(7) - (codes & np.uint64(7))).astype(np.uint8) & 1).astype(bool)
+            goes &= (numbers[:-1] > 0) & (numbers[1:] > 0)
+            padded = np.concatenate([numbers, np.zeros(longest, np.int64)])
+            goes = np.concatenate([goes, np.zeros(longest, bool)])
+            grams = np.zeros((longest, len(numbers)), np.int64)
+            grams[0], alive = numbers, np.ones(len(numbers), bool)
+            for k in range(1, longest):
+                alive = alive & goes[k - 1:k - 1 + len(numbers)]
+                grams[k] = np.where(alive, padded[k:k + len(numbers)], 0)
+            grams = grams[:, numbers > 0]
+            order = np.lexsort(grams[::-1])
+            grams = grams[:, order]
+            first = np.ones(grams.shape[1], bool)
+            first[1:] = (grams[:, 1:] != grams[:, :-1]).any(axis=0)
+            starts = np.flatnonzero(first)
+            counts = np.diff(np.append(starts, len(first)))
+            for at in range(0, len(starts), 1 << 16):
+                some = grams[:, starts[at:at + (1 << 16)]].T.tolist()
+                heads = [lang + b"\t" + b" ".join([words[w] for w in gram[:longest - 1] if w]) for gram in some]
+                lasts = [words[gram[-1]] if gram[-1] else None for gram in some]
+                yield pa.record_batch([pa.array(heads, pa.binary()).cast(pa.string()), pa.array(lasts, pa.binary()).cast(pa.string()),
+                                       pa.array(counts[at:at + (1 << 16)].astype(np.int64))], names=["head", "last", "n"])
     return run
 
 
@@ -63,25 +137,28 @@ def _size(phrase: Column) -> Column:
     return F.length(words) - F.length(F.translate(words, " ", "")) + 1
 
 
-def graph(docs: DataFrame, *, longest: int = 4, least: int = 30, most: int = 400_000) -> DataFrame:
+def graph(docs: DataFrame, *, longest: int = 4, least: int = 30, most: int = 2_000_000) -> DataFrame:
     """``phrase, size, n``: all phrases of at most ``longest`` words with ``n >= least``, and all single words.
 
-    ``phrase`` holds the language (NULL: ``und``), a tab and the words. Edges (``longest`` words) and nodes (a word less)
-    come from one shuffle by node; each shorter size is the sum of the one above it over the first words, plus the pieces
-    that end there. ``most`` entries are counted in a task before they are sent on.
+    ``phrase`` holds the language (NULL: ``und``), a tab and the words. Edges have ``longest`` words, nodes a word less;
+    what leaves a node is the sum of its edges and of the pieces that end there. Each shorter size is the sum of the one
+    above it over the first words, plus the pieces that end there. An edge is spun only where each two neighbours may be
+    frequent (``frequent_pairs``); where they are not the piece counts as ended, so no count of frequent phrases changes
+    and rare text is not shuffled. ``most`` words are counted in a task before they are sent on.
     """
     read = docs.select("text", F.coalesce("lang", F.lit("und")).alias("lang"))
-    sent = read.mapInArrow(_suffixes(longest, most), "head string, last string, n long").repartition("head")
-    edges = (sent.groupBy("head", "last").agg(F.sum("n").alias("n")).filter((F.col("n") >= least) & F.col("last").isNotNull())
+    shared = docs.sparkSession.sparkContext.broadcast(frequent_pairs(read, least=least, most=most))
+    sent = stored(read.mapInArrow(_suffixes(longest, most, shared), "head string, last string, n long"), "grams")
+    edges = (sent.filter(F.col("last").isNotNull()).groupBy("head", "last").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
              .select(F.concat_ws(" ", "head", "last").alias("phrase"), F.lit(longest).alias("size"), "n"))
-    nodes = sent.groupBy("head").agg(F.sum("n").alias("n")).select(F.col("head").alias("phrase"), _size(F.col("head")).alias("size"), "n")
-    flow = stored(edges.unionByName(nodes), "flow")
-    kept = flow.filter((F.col("size") >= longest - 1) & (F.col("n") >= least))
-    level = flow.filter(F.col("size") < longest)
-    for size in range(longest - 2, 0, -1):
-        # what is shorter already is a piece's end
-        level = (level.groupBy(F.when(F.col("size") > size, _fewer(F.col("phrase"), size)).otherwise(F.col("phrase")).alias("phrase"),
-                               F.least("size", F.lit(size)).alias("size")).agg(F.sum("n").alias("n")))
+    nodes = stored(sent.groupBy("head").agg(F.sum("n").alias("n")).select(
+        F.col("head").alias("phrase"), _size(F.col("head")).alias("size"), "n"), "nodes")
+    kept, level = edges, nodes
+    for size in range(longest - 1, 0, -1):
+        if size < longest - 1:
+            # what is shorter already is a piece's end
+            level = (level.groupBy(F.when(F.col("size") > size, _fewer(F.col("phrase"), size)).otherwise(F.col("phrase")).alias("phrase"),
+                                   F.least("size", F.lit(size)).alias("size")).agg(F.sum("n").alias("n")))
         kept = kept.unionByName(level.filter((F.col("size") == size) & ((F.col("n") >= least) | F.lit(size == 1))))
     return stored(kept, "counts")
 
@@ -124,7 +201,7 @@ def phrases(located: DataFrame) -> DataFrame:
 
 
 def collocations(docs: DataFrame, *, longest: int = 4, least: int = 30, share: int = 80, top: int = 2000,
-                 most: int = 400_000) -> DataFrame:
+                 most: int = 2_000_000) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: the ``top`` phrases of 2 to ``longest`` words of each language.
 
     A phrase's score is that of its worst cut into two parts, ``floor(2000000 * a / (l + r))``, in exact arithmetic.

@@ -43,6 +43,8 @@ def words(docs: DataFrame, *, least_length: int = 7, least_n: int = 2, every: in
 
 def _reduced(word: Column, symbols: int) -> Column:
     """Every letter as one of ``symbols`` characters."""
+    if not 1 <= symbols <= 60:
+        raise ValueError("symbols must be 1 to 60")
     hashed = "".join(chr(65 + (ord(c) * 0x9E3779B1 % (1 << 32) >> 16) % symbols) for c in LETTERS)
     return F.translate(word, LETTERS, hashed)
 

@@ -222,23 +222,23 @@ def _fits(a: str, b: str) -> bool:
 
 
 def match(a: list, b: list, pairs: list | None = None) -> int:
-    """Simple tree matching: the size of the largest mapping that keeps parents and the order of siblings.
+    """Simple tree matching: the largest mapping that keeps parents and the order of siblings; roots are taken to fit.
 
-    ``pairs`` receives the mapped nodes. Roots are taken to fit.
+    The result is twice the number of mapped nodes, and one for each two with equal labels. ``pairs`` receives the nodes.
     """
     left, right = a[2], b[2]
     if pairs is not None:
         pairs.append((a, b))
+    own = 2 + (a[0] == b[0])
     if not left or not right:
-        return 1
+        return own
     rows, weight = [[0] * (len(right) + 1)], {}
     for i, x in enumerate(left):
         row = [0]
         for j, y in enumerate(right):
             best = max(rows[-1][j + 1], row[j])
             if _fits(x[0], y[0]):
-                # equal labels win over labels that only share a name
-                weight[i, j] = match(x, y) * 2 + (x[0] == y[0])
+                weight[i, j] = match(x, y)
                 best = max(best, rows[-1][j] + weight[i, j])
             row.append(best)
         rows.append(row)
@@ -255,7 +255,7 @@ def match(a: list, b: list, pairs: list | None = None) -> int:
                 j -= 1
         for x, y in reversed(mapped):
             match(x, y, pairs)
-    return 1 + rows[-1][-1] // 2
+    return own + rows[-1][-1]
 
 
 def merge(wrapper: list, tree: list) -> list:
@@ -451,28 +451,46 @@ def _sources(part: pa.RecordBatch, name: str) -> list[str]:
     return [x or "" for x in part.column(name).to_pylist()]
 
 
-def _shapes(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per page: host, tree, and a hash of all its text."""
+_SEEN = "_host string, tree string, shape long, print long, nodes array<int>, hashes array<long>, sizes array<int>, links array<int>"
+
+
+def _seen(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per page: host, tree, a hash of the tree and of all its text, and its different texts by node of the tree."""
     for batch in rows:
         for part in batches([batch]):
-            trees, prints = [], []
+            out: list[list] = [[] for _ in range(7)]
             for source in _sources(part, "html"):
                 page = Page(source)
-                trees.append(encoded(shape(page.root)[0]))
-                prints.append(_hash("\n".join(page.texts)))
-            yield pa.record_batch([part.column("_host"), pa.array(trees, pa.string()), pa.array(prints, pa.int64())],
-                                  names=["_host", "tree", "print"])
+                tree, place = shape(page.root)
+                order = slots(tree)
+                texts: dict[tuple[int, int], list] = {}
+                for owner, text, links in zip(page.owners, page.texts, page.links):
+                    one = texts.setdefault((order[id(place[owner])], _hash(text)), [0, 0])
+                    one[0] += len(text)
+                    one[1] += links
+                coded = encoded(tree)
+                values = (coded, _hash(coded), _hash("\n".join(page.texts)), [k[0] for k in texts], [k[1] for k in texts],
+                          [v[0] for v in texts.values()], [v[1] for v in texts.values()])
+                for column, value in zip(out, values):
+                    column.append(value)
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))
+            yield pa.record_batch([part.column("_host"), *[pa.array(c, k) for c, k in zip(out, kinds)]],
+                                  names=["_host", "tree", "shape", "print", "nodes", "hashes", "sizes", "links"])
+
+
+def seen_pages(hosts: DataFrame) -> DataFrame:
+    """What wrappers and templates need of each page of ``hosts`` (_host, html), written once: a tree and hashes, no text."""
+    return stored(hosts.select("_host", "html").mapInArrow(_seen, _SEEN), "seen")
 
 
-def induced(hosts: DataFrame, *, group: int = 50, share: float = 0.02) -> DataFrame:
-    """``_host, tree``: one wrapper per host of ``hosts`` (_host, html).
+def induced(seen: DataFrame, *, group: int = 50, share: float = 0.02) -> DataFrame:
+    """``_host, tree``: one wrapper per host of ``seen`` (see ``seen_pages``).
 
     Equal trees are counted first. Then trees of a host are merged in groups of about ``group``, dealt by their hash, and
     the merged ones again, until each host has one; a round never holds more than a group in a task.
     """
-    trees = hosts.select("_host", "html").mapInArrow(_shapes, "_host string, tree string, print long")
     # copies of a page say nothing about the template
-    distinct = trees.select("_host", "tree", "print").distinct().groupBy("_host", "tree").agg(F.count(F.lit(1)).alias("pages"))
+    distinct = seen.select("_host", "tree", "print").distinct().groupBy("_host", "tree").agg(F.count(F.lit(1)).alias("pages"))
     level = stored(distinct, "trees")
 
     def merged(key: tuple, table: pa.Table) -> pa.Table:
@@ -499,8 +517,8 @@ def induced(hosts: DataFrame, *, group: int = 50, share: float = 0.02) -> DataFr
             return level.select("_host", "tree")
 
 
-def _aligned(text: str, wrapper: str, cache: dict) -> dict[str, int]:
-    """The wrapper's number of each path of a page's tree."""
+def _aligned(text: str, wrapper: str, cache: dict) -> dict[int, int]:
+    """The wrapper's number of each node of a page's tree that has one."""
     found = cache.get((text, wrapper))
     if found is None:
         if len(cache) >= 512:
@@ -521,46 +539,34 @@ def _numbers(page: Page, wrapper: str, cache: dict) -> tuple[dict[Node, list], d
     return place, {at: found[number] for at, number in order.items() if number in found}
 
 
-def _observed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per page and aligned node: the hashes of its texts, each once, and how much of them is links."""
-    cache: dict = {}
+def _slots_of(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The wrapper's number of each node of a tree, -1 for none."""
     for batch in rows:
-        for part in batches([batch]):
-            out: list[list] = [[], [], [], [], [], []]
-            for host, source, wrapper in zip(_sources(part, "_host"), _sources(part, "html"), _sources(part, "tree")):
-                page = Page(source)
-                place, numbers = _numbers(page, wrapper, cache)
-                seen: dict[int, list] = {}
-                whole = _hash("\n".join(page.texts))
-                for owner, text, links in zip(page.owners, page.texts, page.links):
-                    slot = numbers.get(id(place[owner]))
-                    if slot is not None:
-                        one = seen.setdefault(slot, [set(), 0, 0])
-                        one[0].add(_hash(text))
-                        one[1] += len(text)
-                        one[2] += links
-                for slot, (hashes, size, links) in seen.items():
-                    for i, one in enumerate(sorted(hashes)):
-                        for column, value in zip(out, (host, whole, slot, one, 0 if i else size, 0 if i else links)):
-                            column.append(value)
-            kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds)], names=["_host", "print", "slot", "hash", "size", "links"])
-
-
-def templates(hosts: DataFrame, wrappers: DataFrame, *, most: float = 0.5, least: int = 3, links: float = 0.6) -> DataFrame:
+        found = []
+        for text, wrapper in zip(_sources(batch, "tree"), _sources(batch, "wrapper")):
+            known = _aligned(text, wrapper, {})
+            found.append([known.get(at, -1) for at in range(text.count("\n") + 1)])
+        yield pa.record_batch([batch.column("_host"), batch.column("shape"), pa.array(found, pa.list_(pa.int32()))], names=["_host", "shape", "slots"])
+
+
+def templates(seen: DataFrame, wrappers: DataFrame, *, most: float = 0.5, least: int = 3, links: float = 0.6) -> DataFrame:
     """``_host, tree, fixed, menus``: each host's wrapper, the texts that are template (node and hash) and the nodes of links.
 
-    A text is template at a node if ``least`` different pages of the host, and ``most`` of those that have the node, show it
-    there. Counts are aggregates with map-side combining; a host has at most ``1 / most`` such texts a node and text place.
+    Every different tree is aligned with the wrapper once. A text is template at a node if ``least`` different pages of the
+    host, and ``most`` of those that have the node, show it there. Counts are aggregates with map-side combining.
     """
-    seen = (hosts.select("_host", "html").join(wrappers, "_host").select("_host", "html", "tree")
-            .mapInArrow(_observed, "_host string, print long, slot int, hash long, size long, links long"))
-    seen = stored(seen, "slots")
-    shown = seen.select("_host", "slot", "hash", "print").distinct().groupBy("_host", "slot", "hash").agg(F.count(F.lit(1)).alias("n"))
-    present = seen.select("_host", "slot", "print").distinct().groupBy("_host", "slot").agg(F.count(F.lit(1)).alias("pages"))
+    trees = seen.select("_host", "shape", "tree").distinct().join(wrappers.withColumnRenamed("tree", "wrapper"), "_host")
+    aligned = stored(trees.select("_host", "shape", "tree", "wrapper").mapInArrow(_slots_of, "_host string, shape long, slots array<int>"), "aligned")
+    texts = (seen.select("_host", "shape", "print", F.explode(F.arrays_zip("nodes", "hashes", "sizes", "links")).alias("text"))
+             .join(aligned, ["_host", "shape"])
+             .select("_host", "print", F.element_at("slots", F.col("text.nodes") + 1).alias("slot"), "text.hashes", "text.sizes", "text.links")
+             .filter("slot >= 0"))
+    texts = stored(texts, "slots")
+    shown = texts.select("_host", "slot", "hashes", "print").distinct().groupBy("_host", "slot", "hashes").agg(F.count(F.lit(1)).alias("n"))
+    present = texts.select("_host", "slot", "print").distinct().groupBy("_host", "slot").agg(F.count(F.lit(1)).alias("pages"))
     often = shown.filter(F.col("n") >= least).join(present, ["_host", "slot"]).filter(F.col("n") >= most * F.col("pages"))
-    fixed = often.groupBy("_host").agg(F.array_sort(F.collect_list(F.struct("slot", "hash"))).alias("fixed"))
-    linked = (seen.groupBy("_host", "slot").agg(F.sum("size").alias("size"), F.sum("links").alias("links"))
+    fixed = often.groupBy("_host").agg(F.array_sort(F.collect_list(F.struct("slot", F.col("hashes").alias("hash")))).alias("fixed"))
+    linked = (texts.groupBy("_host", "slot").agg(F.sum("sizes").alias("size"), F.sum("links").alias("links"))
               .filter(F.col("links") >= links * F.col("size")))
     menus = linked.groupBy("_host").agg(F.array_sort(F.collect_list("slot")).alias("menus"))
     return wrappers.join(fixed, "_host", "left").join(menus, "_host", "left")
@@ -593,8 +599,8 @@ def main_text(pages: DataFrame, **how) -> DataFrame:
     Other columns are not looked at.
     """
     hosts = _hosts(pages.select("page_id", "url", "html"))
-    wrappers = induced(hosts)
-    known = stored(templates(hosts, wrappers, **how), "templates")
+    seen = seen_pages(hosts)
+    known = stored(templates(seen, induced(seen), **how), "templates")
     shape_of = pages.select("page_id", "url").schema.add("text", "string")
     out = hosts.join(known, "_host").select("page_id", "url", "_host", "html", "tree", "fixed", "menus").mapInArrow(_texts(["page_id", "url"]), shape_of)
     return out.withColumn("n_chars", F.length("text").cast("long"))

@@ -127,3 +127,66 @@ def mixture_targets(sizes, weights=(1, 2, 3), factor=3):
         if not above:
             return {s: float(factor * sizes[s]) if s in full else rest * weight[s] / shares for s in order}
         full |= above
+
+
+def phrase_counts(docs, longest=4):
+    """Occurrences of all phrases per language, of (text, lang)."""
+    found = {}
+    for text, lang in docs:
+        seen = found.setdefault("und" if lang is None else lang, Counter())
+        for piece in re.split(r"[.,;:!?\x0a-\x0d]", lower(text)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            for k in range(1, longest + 1):
+                seen.update(tuple(w[i:i + k]) for i in range(len(w) - k + 1))
+    return found
+
+
+def collocations(docs, least=30, top=2000, longest=4):
+    out = []
+    for lang, f in phrase_counts(docs, longest).items():
+        n = sum(c for p, c in f.items() if len(p) == 1)
+        often = {p: c for p, c in f.items() if len(p) > 1 and c >= least}
+        kept = []
+        for p, a in often.items():
+            inside = any(len(q) > len(p) and 100 * c >= 80 * a and any(q[i:i + len(p)] == p for i in range(len(q)))
+                         for q, c in often.items())
+            if inside:
+                continue
+            score, k = min((2000000 * a // (f[p[:k]] + f[p[k:]]), k) for k in range(1, len(p)))
+            kept.append((-score, -a, " ".join(p).encode(), " ".join(p), a, f[p[:k]], f[p[k:]], score))
+        for rank, (_, _, _, phrase, a, left, right, score) in enumerate(sorted(kept)[:top], 1):
+            out.append((lang, rank, phrase, a, left, right, n, score))
+    return out
+
+
+def spelling(docs, least_length=7):
+    """(word, form, root, n, n_near, form_n) per word of (doc_id, text)."""
+    import zlib
+    seen = Counter()
+    for doc, text in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = lower(run)
+            h = zlib.crc32(f"{'' if doc is None else doc}:{run}".encode())
+            if h % 31 == 0:
+                run = run[:h % len(run)] + run[h % len(run) + 1:]
+            seen[run] += 1
+    words = {w: n for w, n in seen.items() if len(w) >= least_length and n >= 2}
+
+    def near(a, b):
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b)) == 1
+        a, b = sorted((a, b), key=len)
+        return len(b) - len(a) == 1 and any(b[:i] + b[i + 1:] == a for i in range(len(b)))
+    out, forms = {}, {}
+    for w, n in words.items():
+        around = [x for x in words if x != w and abs(len(x) - len(w)) < 2 and near(x, w)]
+        best = min(around, key=lambda x: (-words[x], x), default=None)
+        forms[w] = best if best is not None and words[best] >= 10 * n else None
+        out[w] = (n, len(around))
+    rows = []
+    for w, (n, count) in out.items():
+        root = w
+        while forms[root] is not None:
+            root = forms[root]
+        rows.append((w, forms[w], root, n, count, None if forms[w] is None else words[forms[w]]))
+    return rows
