@@ -20,7 +20,7 @@ def window_stats(probe: DataFrame, history: DataFrame | None = None, *, seconds:
     ``seconds`` is one length or the name of a probe column holding one length per row. The aggregated number
     is the DOUBLE column ``value``, or what a dotted ``path`` finds in ``measurement``; text, booleans, nulls
     and objects there count as records but not as numbers. ``bounds`` is ``(]`` or ``[]``. A probe row without
-    time or with a NULL length gets no result row.
+    time or with a NULL length gets no result row. Results carry ``keys``: subjects may share ids.
     """
     keys = list(keys or SUBJECT)
     if bounds not in ("(]", "[]"):
@@ -52,12 +52,12 @@ def window_stats(probe: DataFrame, history: DataFrame | None = None, *, seconds:
         right = whole.join(left.select(*keys, "_span").distinct(), keys)
     got = trailing(left, right, keys=keys, pos="_us", span="_span", id_col=id_col, values=["val"],
                    closed=bounds == "[]", tiles=tiles)
-    return _named_stats(got, id_col)
+    return _named_stats(got, keys, id_col)
 
 
-def _named_stats(got: DataFrame, id_col: str) -> DataFrame:
+def _named_stats(got: DataFrame, keys: list[str], id_col: str) -> DataFrame:
     return got.select(
-        id_col, F.col("n").alias("count"), F.col("val_sum").alias("sum_value"),
+        *keys, id_col, F.col("n").alias("count"), F.col("val_sum").alias("sum_value"),
         (F.col("val_sum") / F.col("val_n")).alias("avg_value"), F.col("val_min").alias("min_value"),
         F.col("val_max").alias("max_value"), F.timestamp_micros("first_pos").alias("oldest_ts"),
         F.timestamp_micros("last_pos").alias("newest_ts"))
@@ -79,7 +79,7 @@ def rule_window_stats(probe: DataFrame, history: DataFrame, *, id_col: str = "me
     left = asks.select(*keys, "_span", "_path", id_col, V.micros(F.col("ts")).alias("_us"))
     got = trailing(left, right, keys=[*keys, "_path"], pos="_us", span="_span", id_col=id_col, values=["val"],
                    closed=closed, tiles=tiles)
-    return _named_stats(got, id_col)
+    return _named_stats(got, keys, id_col)
 
 
 def last_seen(probe: DataFrame, history: DataFrame | None = None, *, keys: list[str] | None = None,

@@ -1,7 +1,7 @@
 """Ordered operators that do not put all rows of one key into one task.
 
 Every helper cuts the rows of a key into tiles along the order (time or position), works inside the
-tiles in parallel, and carries between tiles through a table with one row per tile. ``trailing`` sends tile totals to
+tiles in parallel, and carries between tiles by one row per tile. ``trailing`` sends tile totals to
 the few tiles whose windows reach them; ``previous_row`` and ``as_of`` carry the last row over empty tiles by a window over that
 small table, so a key has as many rows in one task as it has tiles.
 """
@@ -60,8 +60,9 @@ def trailing(probe: DataFrame, history: DataFrame | None, *, keys: list[str], po
 
     ``closed`` takes ``[p - span, p]``. ``history=None`` means that the probe rows are their own history.
     ``span`` is a positive BIGINT column present on both sides; it belongs to the key. ``values`` are DOUBLE
-    columns of the history. Returns one row per ``id_col``: ``n``, ``first_pos``, ``last_pos`` and for each
-    value ``<v>_n``, ``<v>_sum``, ``<v>_min``, ``<v>_max``.
+    columns of the history. Returns one row per ``keys`` and ``id_col``: ``n``, ``first_pos``, ``last_pos`` and for
+    each value ``<v>_n``, ``<v>_sum``, ``<v>_min``, ``<v>_max``. Keys may share an id; a probe row that is there twice
+    has one answer.
 
     A span is covered by ``tiles`` tiles. Each window is a suffix of one tile, whole tiles, and a prefix of
     another: two running aggregates and one small per-tile table, so the work is linear in the rows and does
@@ -139,8 +140,16 @@ def trailing(probe: DataFrame, history: DataFrame | None, *, keys: list[str], po
                 return F.when(F.col(n).isNull() & middle[n].isNull(), F.lit(None)).otherwise(
                     F.coalesce(F.col(n), F.lit(0.0)) + F.coalesce(middle[n], F.lit(0.0)))
             return F.col(n) + F.coalesce(middle[n], F.lit(0))
-        edges = joined.select("_id", *[with_middle(n).alias(n) for n in names])
-    return edges.groupBy(F.col("_id").alias(id_col)).agg(*[fold(n).alias(n) for n in names])
+        edges = joined.select(*keys, "_id", "_start", *[with_middle(n).alias(n) for n in names])
+
+    def both_edges(name):
+        head, tail = F.max(F.when(F.col("_start"), F.col(name))), F.max(F.when(~F.col("_start"), F.col(name)))
+        if name == "n" or name.endswith("_n"):
+            return F.coalesce(head, F.lit(0)) + F.coalesce(tail, F.lit(0))
+        if name.endswith("_sum"):
+            return F.when(head.isNotNull() | tail.isNotNull(), F.coalesce(head, F.lit(0.0)) + F.coalesce(tail, F.lit(0.0)))
+        return fold(name)
+    return edges.groupBy(*keys, F.col("_id").alias(id_col)).agg(*[both_edges(n).alias(n) for n in names])
 
 
 def as_of(probe: DataFrame, history: DataFrame | None, *, keys: list[str], pos: str, id_col: str,
@@ -171,3 +180,12 @@ def as_of(probe: DataFrame, history: DataFrame | None, *, keys: list[str], pos:
     picked = F.coalesce(F.col("_near"), F.col("_tail"))
     return (marked.filter("_kind = 1").join(tails, [*keys, "_tile"], "left")
             .select("_row.*", picked["seen_pos"].alias("seen_pos"), *[picked[f"seen_{v}"].alias(f"seen_{v}") for v in values]))
+
+
+def attached(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """``left`` with the other columns of ``right``, which has one row per ``on``; NULL keys meet NULL keys."""
+    renamed = right.withColumnsRenamed({c: "_on_" + c for c in on})
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col("_on_" + c))
+    return left.join(renamed, same, "left").drop(*["_on_" + c for c in on])

@@ -113,11 +113,13 @@ def locate_cells(records: DataFrame, cells: DataFrame) -> DataFrame:
 def snapshot(records: DataFrame, rules: DataFrame, *, id_col: str = "measurement_id") -> DataFrame:
     """Per record: ``n_in`` (rules known), ``n_out`` (rules in force) and ``tier`` (strictest in force).
 
-    Works on the boundary cells, so a record meets at most two small rows whatever the number of rules.
+    Works on the boundary cells, so a record meets at most two small rows whatever the number of rules. Tenant and
+    subject, where ``records`` has them, are part of the result: subjects may share ids.
     """
+    own = [c for c in ("tenant_id", "subject") if c in records.columns and c != id_col]
     total = rules.agg(F.count(F.lit(1)).alias("n_in"))
-    cells = locate_cells(records.select(id_col, "ts", "jurisdiction"), scope_cells(rules))
-    found = cells.groupBy(id_col).agg(
+    cells = locate_cells(records.select(id_col, *own, "ts", "jurisdiction"), scope_cells(rules))
+    found = cells.groupBy(id_col, *own).agg(
         F.coalesce(F.sum("n_rules"), F.lit(0)).alias("n_out"),
         F.coalesce(F.min("tier"), F.lit(P.DEFAULT_TIER)).alias("tier"))
     return found.select("*", total.scalar().alias("n_in"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rulegauge.functions import predicates as P
 from rulegauge.functions import values as V
 from rulegauge.operators import history as H
+from rulegauge.operators.ordered import attached
 
 
 def evaluate_stateless(routed: DataFrame) -> DataFrame:
@@ -53,8 +54,7 @@ def evaluate(routed: DataFrame, history: DataFrame | None = None, *, include_sel
         return evaluate_stateless(routed)
     seen = None
     if needs[1] and include_self:
-        seen = H.last_seen(routed.select(*H.SUBJECT, id_col, "ts"), history, id_col=id_col).select(
-            id_col, F.col("last_ts").alias("_last"))
+        seen = _latest_seen(routed, history, id_col)
     elif needs[1]:
         routed = H.last_seen(routed, id_col=id_col).withColumnRenamed("last_ts", "_last")
     return _with_history(routed, history if needs[0] else None, seen, id_col)
@@ -69,27 +69,32 @@ def evaluate_as_of(routed: DataFrame, history: DataFrame, *, id_col: str, includ
     if not needs[1]:
         seen = None
     elif include_self:
-        seen = H.last_seen(routed.select(*H.SUBJECT, id_col, "ts"), history, id_col=id_col).select(
-            id_col, F.col("last_ts").alias("_last"))
+        seen = _latest_seen(routed, history, id_col)
     else:
-        before = H.last_seen(history.select(*H.SUBJECT, "measurement_id", "ts")).groupBy(
-            *H.SUBJECT, "measurement_id", "ts").agg(F.max("last_ts").alias("_last"))
+        # a record that the store holds twice is not its own predecessor
+        before = H.last_seen(history.select(*H.SUBJECT, "measurement_id", "ts").distinct())
         seen = routed.select(*H.SUBJECT, "measurement_id", "ts", id_col).join(
-            before, [*H.SUBJECT, "measurement_id", "ts"]).select(id_col, "_last")
+            before.withColumnRenamed("last_ts", "_last"), [*H.SUBJECT, "measurement_id", "ts"]).groupBy(
+            *H.SUBJECT, id_col).agg(F.max("_last").alias("_last"))
     return _with_history(routed, history if needs[0] else None, seen, id_col)
 
 
+def _latest_seen(routed: DataFrame, history: DataFrame, id_col: str) -> DataFrame:
+    found = H.last_seen(routed.select(*H.SUBJECT, id_col, "ts"), history, id_col=id_col)
+    return found.groupBy(*H.SUBJECT, id_col).agg(F.max("last_ts").alias("_last"))
+
+
 def _with_history(routed: DataFrame, history: DataFrame | None, seen: DataFrame | None, id_col: str) -> DataFrame:
     joined = routed
     if seen is not None:
-        joined = joined.join(seen, id_col, "left")
+        joined = attached(joined, seen, [*H.SUBJECT, id_col])
     elif "_last" not in joined.columns:
         joined = joined.withColumn("_last", F.lit(None).cast("timestamp"))
     if history is not None:
         windowed = routed.filter(F.col("operator").isin(*P.WINDOW_OPERATORS))
         stats = H.rule_window_stats(windowed, history, id_col=id_col).select(
-            id_col, F.col("count").alias("_n"), F.col("sum_value").alias("_sum"), F.col("avg_value").alias("_avg"))
-        joined = joined.join(stats, id_col, "left")
+            *H.SUBJECT, id_col, F.col("count").alias("_n"), F.col("sum_value").alias("_sum"), F.col("avg_value").alias("_avg"))
+        joined = attached(joined, stats, [*H.SUBJECT, id_col])
     else:
         joined = joined.withColumns({"_n": F.lit(None).cast("bigint"), "_sum": F.lit(None).cast("double"),
                                      "_avg": F.lit(None).cast("double")})
