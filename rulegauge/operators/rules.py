@@ -98,6 +98,14 @@ def _with_history(routed: DataFrame, history: DataFrame | None, seen: DataFrame
     else:
         joined = joined.withColumns({"_n": F.lit(None).cast("bigint"), "_sum": F.lit(None).cast("double"),
                                      "_avg": F.lit(None).cast("double")})
+    return decide(joined, [c for c in routed.columns if c != "_last"])
+
+
+def decide(joined: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of routed rows plus ``verdict`` and ``reasoning``, from what was looked up in the history.
+
+    Needs ``_last`` (the record before) and ``_n``, ``_sum``, ``_avg`` (the rule's window), wherever they come from.
+    """
     joined = joined.withColumn("_gap", H.elapsed_seconds(F.col("ts"), F.col("_last")))
     operator = F.col("operator")
     measured = (F.when(operator == "window_count", F.coalesce(F.col("_n"), F.lit(0)).cast("double"))
@@ -105,7 +113,7 @@ def _with_history(routed: DataFrame, history: DataFrame | None, seen: DataFrame
                 .when(operator == "since_last", F.col("_gap")))
     steps = P.with_rule_observation(joined.withColumn("_measured", measured)).withColumn(
         "_measured_text", V.float_text(F.col("_measured")))
-    return _finish(steps.withColumn("_d", full_decision()), [c for c in routed.columns if c != "_last"])
+    return _finish(steps.withColumn("_d", full_decision()), columns)
 
 
 def full_decision():

@@ -114,7 +114,7 @@ def _all(spark, sf_dir):
         "measurement_id", "n_mapped", "n_breached", "verdict")
 
 
-_STATEFUL = [
+STATEFUL = [
     dict(rule_id="st.click", metric="click_v", operator="must_average_within", value="[5, 30]", seconds=_W),
     dict(rule_id="st.view", metric="view_v", operator="must_not_exceed_in_window", value="60", seconds=_W),
     dict(rule_id="st.error", metric="error_v", operator="must_be_recorded_within", value="null", seconds=259_200),
@@ -123,7 +123,7 @@ _STATEFUL = [
 ]
 
 
-@B.query("verdict_all_stateful", f"""WITH r AS ({B.RECORD_SQL}),
+STATEFUL_SQL = f"""WITH r AS ({B.RECORD_SQL}),
   w AS (SELECT *, avg(v) OVER {_CLOSED} AS mean, max(v) OVER {_CLOSED} AS peak,
       epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id, subject ORDER BY ts, event_id)) AS gap FROM r),
   o AS (SELECT *, CASE subject WHEN 'click' THEN CASE WHEN mean BETWEEN 5 AND 30 THEN 'CLEAR' ELSE 'FLAG' END
@@ -132,12 +132,15 @@ _STATEFUL = [
       WHEN 'purchase' THEN CASE WHEN gap IS NULL OR gap > 432000000000 THEN 'NULL_STALE' WHEN v >= 10 THEN 'CLEAR' ELSE 'FLAG' END END AS own,
       k IN (13, 66, 77) AS banned FROM w)
   SELECT measurement_id, CASE WHEN subject = 'signup' THEN 1 ELSE 2 END::BIGINT AS n_mapped,
-      CASE WHEN banned OR own = 'FLAG' THEN 'FLAG' WHEN own = 'NULL_STALE' THEN own ELSE 'CLEAR' END AS verdict FROM o""")
+      CASE WHEN banned OR own = 'FLAG' THEN 'FLAG' WHEN own = 'NULL_STALE' THEN own ELSE 'CLEAR' END AS verdict FROM o"""
+
+
+@B.query("verdict_all_stateful", STATEFUL_SQL)
 def _stateful(spark, sf_dir):
     """Windows, recency and a freshness gate in one verdict per record, over the subjects' own histories."""
     records = B.metric_records(spark, sf_dir)
     history = records.select(*H.SUBJECT, "measurement_id", "ts", "measurement")
-    return E.verdict_all(records, rules_frame(spark, _STATEFUL), history=history).select("measurement_id", "n_mapped", "verdict")
+    return E.verdict_all(records, rules_frame(spark, STATEFUL), history=history).select("measurement_id", "n_mapped", "verdict")
 
 
 @B.query("verdict_counts", f"""WITH {_ALL_SQL}

@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from rulegauge.functions import values as V
 from rulegauge.plans import base as B
+from rulegauge.plans.obligations import STATEFUL, STATEFUL_SQL
 from rulegauge.session import work_path
+from rulegauge.sources.rulesets import rules_frame
 from rulegauge.streaming import jobs as J
+from rulegauge.streaming import verdicts as O
 
 
 _WEEKS = ("ts < TIMESTAMP '2024-01-12'", "ts >= TIMESTAMP '2024-01-12' AND ts < TIMESTAMP '2024-01-20'", "ts >= TIMESTAMP '2024-01-20'")
@@ -103,3 +106,58 @@ def _daily(spark, sf_dir):
     return got.select(V.micros(F.col("day")).alias("day_us"), "verdict", "n_entries")
 
 
+# ---- rules over history, online ---------------------------------------------------------------------------
+
+def _online(spark, rows, parts, decider, payload, name, initial=None):
+    """Feed ``rows`` (events) part by part through the online verdicts; returns the path of the answers."""
+    feed, out, past, state = (work_path(spark, f"{name}-{what}") for what in ("feed", "out", "history", "state"))
+    for part in parts:
+        rows.filter(part).write.mode("append").parquet(feed)
+        records = B.envelope_of(J.read_parquet_stream(spark, feed, rows.schema), payload)
+        O.run(records, decider, out, history=past, state=state, initial=initial)
+    return out
+
+
+@B.query("stream_verdicts", STATEFUL_SQL)
+def _verdicts(spark, sf_dir):
+    """All obligations online, state started from the first week's history: what ``verdict_all_stateful`` gives."""
+    from rulegauge.operators import envelope as E
+    from rulegauge.operators import history as H
+    events, rules = B.events_of(spark, sf_dir), rules_frame(spark, STATEFUL)
+    week = B.envelope_of(events.filter(_WEEKS[0]), B.metric_payload())
+    before = E.verdict_all(week, rules, history=week.select(*H.SUBJECT, "measurement_id", "ts", "measurement"))
+    out = _online(spark, events, _WEEKS[1:], O.AllObligations(rules), B.metric_payload(), "verdicts", week)
+    columns = ["measurement_id", "n_mapped", "verdict"]
+    return O.current(spark, out).select(*columns).unionByName(before.select(*columns))
+
+
+_ONLINE_RULES = [
+    dict(rule_id="o.click", metric="x", operator="window_sum", seconds=432_000, cmp_op="lt", value="50"),
+    dict(rule_id="o.view", operator="debounce", seconds=86_400),
+    dict(rule_id="o.error", operator="since_last", value_seconds=172_800.0),
+    dict(rule_id="o.purchase", metric="x", operator="gte", value="5", fresh_seconds=432_000),
+]
+
+
+@B.query("stream_corrections", f"""WITH r AS ({B.RECORD_SQL}),
+  g AS (SELECT *, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id, subject ORDER BY ts, event_id::VARCHAR)) AS gap,
+      sum(CASE WHEN m NOT IN (3, 5, 7, 9) THEN v END) OVER (PARTITION BY user_id, subject ORDER BY ts
+        RANGE BETWEEN to_microseconds({432_000 * 10**6 - 1}) PRECEDING AND CURRENT ROW) AS total FROM r)
+  SELECT measurement_id, CASE subject
+    WHEN 'click' THEN CASE WHEN total IS NULL THEN 'NULL_UNMAPPED' WHEN total < 50 THEN 'CLEAR' ELSE 'FLAG' END
+    WHEN 'view' THEN CASE WHEN gap IS NULL OR gap > 86400000000 THEN 'CLEAR' ELSE 'DISCRETIONARY' END
+    WHEN 'error' THEN CASE WHEN gap IS NULL THEN 'NULL_UNMAPPED' WHEN gap >= 172800000000 THEN 'CLEAR' ELSE 'FLAG' END
+    WHEN 'purchase' THEN CASE WHEN gap IS NULL OR gap > 432000000000 THEN 'NULL_STALE' WHEN m = 7 THEN 'NULL_UNMAPPED'
+      WHEN m = 9 THEN 'DISCRETIONARY' WHEN (CASE WHEN m = 5 THEN 1.0 ELSE v END) >= 5 THEN 'CLEAR' ELSE 'FLAG' END
+    ELSE 'NULL_UNMAPPED' END AS verdict FROM g""")
+def _corrections(spark, sf_dir):
+    """A tenth of the records comes late, by seconds, hours or days; the answers end as if none had."""
+    from rulegauge.session import literal_frame
+    events = B.events_of(spark, sf_dir)
+    delay = F.when(F.col("event_id") % 10 == 3, F.element_at(F.array(F.lit(30), F.lit(5 * 3600), F.lit(5 * 86_400)), (F.floor(F.col("event_id") / 10) % 3 + 1).cast("int"))).otherwise(0)
+    arrived = F.timestamp_seconds(F.unix_seconds(F.col("ts").cast("timestamp")) + delay)
+    registry = literal_frame(spark, [("click", "o.click", 0), ("view", "o.view", 1), ("error", "o.error", 2), ("purchase", "o.purchase", 3)], B.REGISTRY_SCHEMA)
+    rows = events.withColumn("arrived", arrived)
+    parts = [w.replace("ts", "arrived") for w in ("ts < TIMESTAMP '2024-01-09'", "ts >= TIMESTAMP '2024-01-09' AND ts < TIMESTAMP '2024-01-17'", "ts >= TIMESTAMP '2024-01-17'")]
+    out = _online(spark, rows, parts, O.OneRule(registry, rules_frame(spark, _ONLINE_RULES)), B.mixed_payload(), "corrections")
+    return O.current(spark, out).select("measurement_id", "verdict")
