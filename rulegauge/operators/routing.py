@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from rulegauge.functions import predicates as P
 from rulegauge.functions import values as V
+from rulegauge.operators.ordered import as_of, dense_index
+from rulegauge.session import materialize
 
 ANY = "\u0001any"
 
@@ -125,11 +127,68 @@ def snapshot(records: DataFrame, rules: DataFrame, *, id_col: str = "measurement
     return found.select("*", total.scalar().alias("n_in"))
 
 
+LEVELS = 40
+
+
+def rule_index(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(versions, nodes): an interval index over the rules, linear in their number but for a logarithm.
+
+    ``versions`` has the stretches of time between rule boundaries of each place token, numbered from 0: ``token, start_us,
+    version``. A rule holds in a run of versions; the run is cut into blocks of a power of two, and each block (``token,
+    level, block``) lists its rules once. What holds in a version is what its blocks list, from level 0 up.
+    """
+    tokens = rule_tokens(rules.select("rule_id", "ord", "tokens", "from_us", "to_us")).filter("from_us <= to_us")
+    bounds = (tokens.select("token", F.col("from_us").alias("start_us"))
+              .unionByName(tokens.select("token", (F.col("to_us") + 1).alias("start_us"))).distinct())
+    versions = dense_index(bounds, keys=["token"], order=["start_us"], name="version").withColumn("version", F.col("version") - 1)
+    versions = materialize(versions.select("token", "start_us", "version"), "versions")
+    first = versions.select("token", F.col("start_us").alias("from_us"), F.col("version").alias("_a"))
+    after = versions.select("token", (F.col("start_us") - 1).alias("to_us"), F.col("version").alias("_b"))
+    runs = tokens.join(first, ["token", "from_us"]).join(after, ["token", "to_us"])
+    level = F.explode(F.sequence(F.lit(0), F.lit(LEVELS)))
+    cut = runs.select("token", "ord", "rule_id", "_a", "_b", level.alias("level"))
+    # of a run [a, b) a level takes the block at either end that the level above cannot
+    low = F.expr("shiftright(_a + shiftleft(1L, level) - 1, level)")
+    high = F.expr("shiftright(_b, level)")
+    ends = F.when(low < high, F.filter(F.array(F.when(low % 2 == 1, low), F.when(high % 2 == 1, high - 1)), lambda x: x.isNotNull()))
+    blocks = cut.select("token", "level", F.explode(ends).alias("block"), F.struct("ord", "rule_id").alias("rule"))
+    return versions, materialize(blocks.groupBy("token", "level", "block").agg(F.collect_set("rule").alias("rules")), "blocks")
+
+
+def rule_versions(records: DataFrame, versions: DataFrame, *, id_col: str = "measurement_id") -> DataFrame:
+    """``id_col`` and ``stand``: the version of each of a record's places in force at its time. Rows without time are left out.
+
+    Records meet the version boundaries in order of time, tile by tile: no pair of record and rule is formed.
+    """
+    own = [c for c in ("tenant_id", "subject") if c in records.columns and c != id_col]
+    left = records.select(id_col, *own, V.micros(F.col("ts")).alias("_us"),
+                          F.explode(record_tokens(F.col("jurisdiction"))).alias("token")).filter("_us IS NOT NULL")
+    right = versions.select("token", F.col("start_us").alias("_us"), "version")
+    found = as_of(left, right, keys=["token"], pos="_us", id_col=id_col, tile_width=30 * 86_400 * V.MICROS, values=["version"])
+    held = F.array_sort(F.collect_list(F.when(F.col("seen_version").isNotNull(), F.struct("token", F.col("seen_version").alias("version")))))
+    return found.groupBy(id_col, *own).agg(held.alias("stand"))
+
+
+def version_rules(stands: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``stand, rule_ids``: the ids that hold in each different ``stand`` of ``stands``, in rule-set order."""
+    asked = stands.select("stand").distinct().select("stand", F.explode("stand").alias("_v"))
+    asked = asked.select("stand", F.col("_v.token").alias("token"), F.col("_v.version").alias("_version"),
+                         F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("level"))
+    asked = asked.withColumn("block", F.expr("shiftright(_version, level)"))
+    met = asked.join(nodes, ["token", "level", "block"]).groupBy("stand").agg(F.collect_list("rules").alias("_lists"))
+    ordered = F.array_sort(F.array_distinct(F.flatten("_lists")))
+    return met.select("stand", F.transform(ordered, lambda x: x["rule_id"]).alias("rule_ids"))
+
+
 def snapshot_rules(records: DataFrame, rules: DataFrame, *, id_col: str = "measurement_id") -> DataFrame:
-    """Per record the ids in force, in rule-set order. The array is bounded by the rule set."""
-    pairs = scope(records, rules.select("rule_id", "ord", "tokens", "from_us", "to_us"))
-    kept = F.transform(F.array_sort(F.collect_list(F.struct("ord", "rule_id"))), lambda x: x["rule_id"])
-    return pairs.groupBy(id_col).agg(kept.alias("rule_ids"))
+    """Per record the ids in force, in rule-set order; records in no rule's scope are left out.
+
+    Each different stand of the rules is listed once, and records carry its number: the work grows with the records plus
+    the rules, not with their product. The array is bounded by the rule set.
+    """
+    versions, nodes = rule_index(rules)
+    placed = materialize(rule_versions(records, versions, id_col=id_col), "stands")
+    return placed.join(version_rules(placed, nodes), "stand").drop("stand")
 
 
 def map_metrics(records: DataFrame, rules: DataFrame) -> DataFrame:

@@ -107,6 +107,37 @@ def _snapshot_rules(spark, sf_dir):
     return got.select("measurement_id", F.concat_ws(",", "rule_ids").alias("rules"))
 
 
+@B.query("scope_many_rules", """WITH p AS (SELECT p_partkey AS k, TIMESTAMP '1992-01-01' + to_days(CAST((p_partkey * 37) % 2600 AS INTEGER)) AS eff,
+    TIMESTAMP '1992-01-01' + to_days(CAST((p_partkey * 37) % 2600 + 5 + p_partkey % 400 AS INTEGER)) AS sunset, p_partkey % 5 AS place FROM part),
+  l AS (SELECT l_orderkey, l_linenumber, l_shipdate, CAST(l_orderkey % 4 AS INTEGER) AS place FROM lineitem),
+  s AS (SELECT DISTINCT l_shipdate, place FROM l),
+  h AS (SELECT l_shipdate, s.place, count(p.k) AS n, coalesce(sum(p.k), 0) AS total FROM s LEFT JOIN p
+    ON p.eff <= s.l_shipdate AND p.sunset >= s.l_shipdate AND (p.place = 4 OR p.place = s.place) GROUP BY 1, 2)
+  SELECT 'p' || l.place AS place, count(*) AS n_records, CAST(sum(n) AS BIGINT) AS n_in_force, CAST(sum(total) AS BIGINT) AS key_sum
+  FROM l JOIN h ON h.l_shipdate = l.l_shipdate AND h.place = l.place GROUP BY 1""")
+def _many(spark, sf_dir):
+    """Every part is a rule in force for a while at one of four places or everywhere; every line item is a record."""
+    from rulegauge.sources.rulesets import RULE_FIELDS, prepare_rules
+    key = F.col("p_partkey")
+    first = F.date_add(F.lit("1992-01-01").cast("date"), (key * 37 % 2600).cast("int"))
+    fields = {"rule_id": key.cast("string"), "ord": key.cast("int"), "effective_date": first.cast("string"),
+              "sunset_date": F.date_add(first, (5 + key % 400).cast("int")).cast("string"),
+              "jurisdiction": F.when(key % 5 == 4, F.lit('"*"')).otherwise(F.concat(F.lit('"p'), (key % 5).cast("string"), F.lit('"')))}
+    rules = prepare_rules(B.table(spark, sf_dir, "part").select(*[
+        fields.get(n, F.lit(None)).cast(t).alias(n) for n, t in RULE_FIELDS.items()]))
+    # order and line number repeat in the data
+    lines = B.table(spark, sf_dir, "lineitem").select(
+        F.monotonically_increasing_id().alias("measurement_id"), F.col("l_shipdate").cast("timestamp").alias("ts"),
+        F.concat(F.lit("p"), (F.col("l_orderkey") % 4).cast("string")).alias("jurisdiction"))
+    versions, nodes = R.rule_index(rules)
+    placed = R.materialize(R.rule_versions(lines, versions).join(lines.select("measurement_id", "jurisdiction"), "measurement_id"), "placed")
+    held = R.version_rules(placed, nodes).select("stand", F.size("rule_ids").alias("n"), F.aggregate(
+        "rule_ids", F.lit(0).cast("bigint"), lambda a, x: a + x.cast("bigint")).alias("total"))
+    return placed.join(held, "stand", "left").groupBy(F.col("jurisdiction").alias("place")).agg(
+        F.count(F.lit(1)).alias("n_records"), F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n_in_force"),
+        F.coalesce(F.sum("total"), F.lit(0)).alias("key_sum"))
+
+
 @B.query("map_metric", f"WITH {B.PAIRS_SQL} SELECT measurement_id, metric, rule_id FROM pairs")
 def _map(spark, sf_dir):
     return R.map_metrics(B.metric_records(spark, sf_dir), B.obligations(spark)).select("measurement_id", "metric", "rule_id")
