@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulegauge.functions import predicates as P
@@ -115,19 +116,106 @@ def heads_of(ledger_rows: DataFrame, *, ledger: str = "tenant_id") -> DataFrame:
         F.max_by("entry_hash", "sequence_number").alias("entry_hash"))
 
 
+class CommitLog:
+    """The commits of a stored table in order: ``_log/<version>`` holds the commit's name. A file is written aside and
+    renamed into place, which fails if the version is taken, so of two writers of one version one wins."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.jvm, self.path = spark, spark._jvm, path.rstrip("/")
+        self.fs = self.new_path().getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def new_path(self, *parts: str):
+        return self.jvm.org.apache.hadoop.fs.Path("/".join((self.path, *parts)))
+
+    def commits(self) -> list[str]:
+        if not self.fs.exists(self.new_path("_log")):
+            return []
+        rows = self.spark.read.text(f"{self.path}/_log").select("value", F.col("_metadata.file_name").alias("version")).collect()
+        return [r.value for r in sorted(rows, key=lambda r: r.version)]
+
+    def put(self, version: int, commit: str) -> bool:
+        """Whether ``commit`` has become this version."""
+        aside = self.new_path("_log", f".{commit}")
+        out = self.fs.create(aside, True)
+        out.write(commit.encode())
+        out.close()
+        hadoop = self.jvm.org.apache.hadoop.fs
+        context = hadoop.FileContext.getFileContext(self.fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        plain = self.spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0)
+        try:
+            context.rename(aside, self.new_path("_log", f"{version:012d}"), plain)
+        except Exception as taken:  # noqa: BLE001 - only "exists already" is expected here
+            if "FileAlreadyExists" not in str(taken):
+                raise
+            return False
+        return True
+
+    def drop(self, *parts: str) -> None:
+        self.fs.delete(self.new_path(*parts), True)
+
+    def unlogged(self) -> list[str]:
+        """Folders of entries that were written without a log."""
+        folder = self.new_path()
+        names = [f.getPath() for f in self.fs.listStatus(folder)] if self.fs.exists(folder) else []
+        return [p.toString() for p in names if not p.getName().startswith(("_", ".", "commit="))]
+
+
 def append_ledger(entries: DataFrame, path: str, *, ledger: str = "tenant_id") -> None:
-    """Append entries; refuses entries whose (ledger, sequence number) is already stored."""
+    """Append entries as one commit; refuses entries whose (ledger, sequence number) is already stored.
+
+    Each commit leaves its zone map: first and last number, count and head per ledger. An append compares maps and opens
+    only the commits whose range of numbers meets its own, so a clean append reads no stored entry. The commit counts
+    from the moment it has its version; a writer that comes too late for one looks at what the winner wrote and tries again.
+    """
     spark = entries.sparkSession
-    try:
-        stored = spark.read.parquet(path)
-    except Exception as missing:  # noqa: BLE001 - only "no such path" is expected here
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        stored = None
-    if stored is not None and not append_conflicts(entries, stored, ledger=ledger).isEmpty():
+    log, name = CommitLog(spark, path), uuid.uuid4().hex
+    data, zone = f"{path}/commit={name}", f"{path}/_zones/{name}"
+    entries.withColumn("day", F.to_date(F.substring("timestamp_iso", 1, 10))).write.partitionBy("day").parquet(data)
+    new = spark.read.schema(entries.schema.add("day", "date")).parquet(data)
+    new.groupBy(ledger).agg(
+        F.min("sequence_number").alias("first_number"), F.max("sequence_number").alias("last_number"), F.count(F.lit(1)).alias("n"),
+        F.max_by("entry_hash", "sequence_number").alias("head")).withColumn("commit", F.lit(name)).write.parquet(zone)
+    seen: set[str] = set()
+    older = log.unlogged()
+    if older:
+        _refuse(append_conflicts(new, spark.read.option("basePath", path).parquet(*older), ledger=ledger), log, name)
+    while True:
+        commits = log.commits()
+        fresh = [c for c in commits if c not in seen]
+        if fresh:
+            meeting = overlapping(spark.read.parquet(zone), zones(spark, path, fresh), ledger=ledger)
+            if meeting:
+                stored = spark.read.option("basePath", path).parquet(*[f"{path}/commit={c}" for c in meeting])
+                _refuse(append_conflicts(new, stored, ledger=ledger), log, name)
+            seen |= set(fresh)
+        if log.put(len(commits), name):
+            return
+
+
+def _refuse(conflicts: DataFrame, log: CommitLog, name: str) -> None:
+    if not conflicts.isEmpty():
+        log.drop(f"commit={name}")
+        log.drop("_zones", name)
         raise ValueError("append-only: an entry with this ledger and sequence number is already stored")
-    entries.withColumn("day", F.to_date(F.substring("timestamp_iso", 1, 10))).write.mode("append") \
-        .partitionBy("day").parquet(path)
+
+
+def zones(spark: SparkSession, path: str, commits: list[str] | None = None) -> DataFrame:
+    """The zone map of a stored ledger: a row per commit and ledger."""
+    chosen = CommitLog(spark, path).commits() if commits is None else commits
+    return spark.read.parquet(*[f"{path}/_zones/{c}" for c in chosen])
+
+
+def overlapping(new: DataFrame, stored: DataFrame, *, ledger: str = "tenant_id") -> list[str]:
+    """Names of the stored commits that share a range of numbers with the new one in some ledger."""
+    mine = new.select(ledger, F.col("first_number").alias("_first"), F.col("last_number").alias("_last"))
+    met = stored.join(mine, ledger).filter((F.col("first_number") <= F.col("_last")) & (F.col("_first") <= F.col("last_number")))
+    return sorted(r.commit for r in met.select("commit").distinct().collect())
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The committed entries of a stored ledger; what a writer left behind without a commit is not seen."""
+    folders = [f"{path}/commit={c}" for c in CommitLog(spark, path).commits()]
+    return spark.read.option("basePath", path).parquet(*folders).drop("commit")
 
 
 def append_conflicts(entries: DataFrame, stored: DataFrame, *, ledger: str = "tenant_id") -> DataFrame:

@@ -138,8 +138,19 @@ def _append(spark, sf_dir):
     ledger = B.ledger_table(spark, sf_dir).drop("timestamp")
     L.append_ledger(ledger.filter("timestamp_iso < '2024-01-15'"), path)
     L.append_ledger(ledger.filter("timestamp_iso >= '2024-01-15'"), path)
-    return spark.read.parquet(path).groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n_entries"),
-                                                             F.max("sequence_number").alias("head"))
+    return L.read_ledger(spark, path).groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n_entries"),
+                                                               F.max("sequence_number").alias("head"))
+
+
+@B.query("ledger_zones", f"""WITH {B.LEDGER_SQL}, h AS (SELECT *, timestamp_iso >= '2024-01-15' AS second FROM numbered)
+  SELECT tenant_id, second::INT AS part, min(seq) AS first_number, max(seq) AS last_number, count(*) AS n FROM h GROUP BY 1, 2""")
+def _zones(spark, sf_dir):
+    path = work_path(spark, "zoned")
+    ledger = B.ledger_table(spark, sf_dir).drop("timestamp")
+    L.append_ledger(ledger.filter("timestamp_iso < '2024-01-15'"), path)
+    first = L.CommitLog(spark, path).commits()[0]
+    L.append_ledger(ledger.filter("timestamp_iso >= '2024-01-15'"), path)
+    return L.zones(spark, path).select("tenant_id", (F.col("commit") != first).cast("int").alias("part"), "first_number", "last_number", "n")
 
 
 @B.query("ledger_constraints", f"""WITH {B.LEDGER_SQL}

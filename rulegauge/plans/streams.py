@@ -31,12 +31,11 @@ def _mixed(build):
     return lambda feed: build(B.envelope_of(feed, B.mixed_payload()))
 
 
-@B.query("stream_stateless", f"""WITH {B._SEEN_SQL}, s AS (SELECT *, CASE WHEN subject IN ('signup', 'purchase') THEN 'NULL_UNMAPPED' ELSE verdict END AS final FROM decided)
+@B.query("stream_stateless", f"""WITH {B._SEEN_SQL}, s AS (SELECT *, CASE subject WHEN 'signup' THEN 'NULL_UNMAPPED' WHEN 'purchase' THEN 'DISCRETIONARY' ELSE verdict END AS final FROM decided)
   SELECT measurement_id, final AS verdict FROM s""")
 def _stateless(spark, sf_dir):
-    """The ledger rules without the gated one, on a stream."""
+    """The ledger rules from the record alone; the gated one goes to a human (``stream_corrections`` decides such rules)."""
     registry, rules = B.ledger_rules(spark)
-    registry = registry.filter("rule_id <> 'r.purchase'")
     return _in_steps(spark, B.events_of(spark, sf_dir), _WEEKS[:1] + ("ts >= TIMESTAMP '2024-01-12'",), _mixed(
         lambda r: J.stateless(r, registry, rules).select("measurement_id", "verdict")), "stateless")
 
@@ -95,11 +94,10 @@ def _late(spark, sf_dir):
     return got.select("measurement_id", F.round("behind_seconds", 3).alias("behind_seconds"), "to_replay")
 
 
-@B.query("stream_daily", f"""WITH {B._SEEN_SQL}, s AS (SELECT *, CASE WHEN subject IN ('signup', 'purchase') THEN 'NULL_UNMAPPED' ELSE verdict END AS final FROM decided)
+@B.query("stream_daily", f"""WITH {B._SEEN_SQL}, s AS (SELECT *, CASE subject WHEN 'signup' THEN 'NULL_UNMAPPED' WHEN 'purchase' THEN 'DISCRETIONARY' ELSE verdict END AS final FROM decided)
   SELECT epoch_us(date_trunc('day', ts)) AS day_us, final AS verdict, count(*) AS n_entries FROM s GROUP BY 1, 2""")
 def _daily(spark, sf_dir):
     registry, rules = B.ledger_rules(spark)
-    registry = registry.filter("rule_id <> 'r.purchase'")
     out = _in_steps(spark, B.events_of(spark, sf_dir), _WEEKS, _mixed(
         lambda r: J.daily_counts(J.stateless(r, registry, rules).select("ts", "verdict"))), "daily", updates=True)
     got = J.latest_updates(spark, out, ["day", "verdict"])

@@ -91,3 +91,59 @@ def test_missing_fields_are_findings(verdicts):
     linked = L.chain_linkage(rows.withColumn("previous_hash", F.when(at, F.lit(None).cast("string")).otherwise(F.col("previous_hash"))))
     assert [r.chain_link_valid for r in linked.filter(at).collect()] == [False]
     assert linked.filter("chain_link_valid is null").count() == 0
+
+
+# ---- commits -----------------------------------------------------------------------------------------
+
+def test_clean_append_opens_no_stored_entry(spark, verdicts):
+    path = work_path(spark, "zone-test")
+    chain = L.build_chain(verdicts)
+    L.append_ledger(chain.filter("sequence_number <= 20"), path)
+    log = L.CommitLog(spark, path)
+    first = log.commits()[0]
+    # without the entries of the first commit an append beyond them still works, one that meets them does not
+    kept = log.new_path("_aside")
+    log.fs.rename(log.new_path(f"commit={first}"), kept)
+    L.append_ledger(chain.filter("sequence_number > 20"), path)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        L.append_ledger(chain.filter("sequence_number = 20"), path)
+    log.fs.rename(kept, log.new_path(f"commit={first}"))
+    assert L.read_ledger(spark, path).count() == chain.count()
+
+
+def test_of_two_racing_appends_one_wins(spark, verdicts, monkeypatch):
+    path = work_path(spark, "race-test")
+    chain = L.build_chain(verdicts)
+    L.append_ledger(chain.filter("sequence_number <= 5"), path)
+    put, done = L.CommitLog.put, []
+
+    def late(self, version, commit):
+        if not done:
+            done.append(commit)
+            L.append_ledger(chain.filter("sequence_number BETWEEN 6 AND 9"), path)
+        return put(self, version, commit)
+    monkeypatch.setattr(L.CommitLog, "put", late)
+    with pytest.raises(ValueError):
+        L.append_ledger(chain.filter("sequence_number BETWEEN 8 AND 12"), path)
+    assert L.read_ledger(spark, path).count() == chain.filter("sequence_number <= 9").count()
+    done.clear()
+
+    def other(self, version, commit):
+        if not done:
+            done.append(commit)
+            L.append_ledger(chain.filter("sequence_number BETWEEN 30 AND 31"), path)
+        return put(self, version, commit)
+    monkeypatch.setattr(L.CommitLog, "put", other)
+    # what the winner wrote does not meet it: it takes the next version
+    L.append_ledger(chain.filter("sequence_number BETWEEN 10 AND 12"), path)
+    assert len(L.CommitLog(spark, path).commits()) == 4
+
+
+def test_appends_to_a_ledger_without_a_log(spark, verdicts):
+    path = work_path(spark, "old-test")
+    chain = L.build_chain(verdicts)
+    chain.filter("sequence_number <= 5").withColumn("day", F.lit("2024-01-01")).write.partitionBy("day").parquet(path)
+    with pytest.raises(ValueError):
+        L.append_ledger(chain.filter("sequence_number = 5"), path)
+    L.append_ledger(chain.filter("sequence_number = 6"), path)
+    assert L.read_ledger(spark, path).count() > 0
