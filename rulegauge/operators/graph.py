@@ -217,32 +217,16 @@ def _blocks(first: Column, last: Column, top: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(top)), start, step, lambda acc: acc["out"])
 
 
-def contradictions(rules: DataFrame, *, unit_seconds: int = 86_400) -> DataFrame:
-    """Obligations on one metric and place whose bounds exclude each other while both are valid.
-
-    A rule for everywhere (``*``) meets the rules of all places. The place of a row is that of its lower bound.
-
-    ``rules`` are prepared rules. One row per lower-bound obligation that clashes, with the tightest opposing
-    upper bound as witness. Validity is compared in units of ``unit_seconds`` (whole days).
-
-    Two periods overlap exactly when the start of one lies in the other. Periods are cut into nested power-of-two
-    blocks, points are looked up under the blocks around them, and upper bounds are reduced to the tightest per block
-    before they meet lower bounds. So no pairs are formed, and the work is linear in the rules up to the number
-    of levels, the logarithm of the span between the first and the last date of the rules in units.
-    """
-    kind, duty = F.col("operator"), F.col("duty")
-    low = F.when(kind.isin("must_be_at_least", "must_be_above", "must_equal"), duty["number"]).when(
-        kind == "must_be_within", duty["low"])
-    high = F.when(kind.isin("must_not_exceed", "must_be_below", "must_equal"), duty["number"]).when(
-        kind == "must_be_within", duty["high"])
+def _timed(rules: DataFrame, unit_seconds: int) -> tuple[DataFrame, Column, Column]:
+    """``rules`` with their periods in units, the entries under which a period is stored, and those under which one that
+    overlaps it asks: arrays of (kind, level, block). One small job over the rules' dates."""
     unit = unit_seconds * V.MICROS
 
     def units(us):
         return (us - F.pmod(us, F.lit(unit))) / F.lit(unit)
 
     # columns of their own, so that nothing below works them out again per level
-    rules = rules.withColumns({"_first": units(F.col("from_us")).cast("bigint"), "_end": units(F.col("to_us")).cast("bigint"),
-                               "_low": low, "_high": high})
+    rules = rules.withColumns({"_first": units(F.col("from_us")).cast("bigint"), "_end": units(F.col("to_us")).cast("bigint")})
     # the levels follow the data's own dates; an end without a date lies just outside of them
     dated = (F.col("from_us") > OPEN_FROM, F.col("to_us") < OPEN_TO)
     ends = rules.agg(F.min(F.when(dated[0], F.col("_first"))), F.max(F.when(dated[1], F.col("_end"))),
@@ -267,7 +251,28 @@ def contradictions(rules: DataFrame, *, unit_seconds: int = 86_400) -> DataFrame
     # a stored period is found by a start inside it; a stored start is found by a period around it
     stored = F.concat(spans("span"), around("point"))
     asked = F.concat(around("span"), spans("point"))
+    return rules, stored, asked
+
+
+def contradictions(rules: DataFrame, *, unit_seconds: int = 86_400) -> DataFrame:
+    """Obligations on one metric and place whose bounds exclude each other while both are valid.
 
+    A rule for everywhere (``*``) meets the rules of all places. The place of a row is that of its lower bound.
+
+    ``rules`` are prepared rules. One row per lower-bound obligation that clashes, with the tightest opposing
+    upper bound as witness. Validity is compared in units of ``unit_seconds`` (whole days).
+
+    Two periods overlap exactly when the start of one lies in the other. Periods are cut into nested power-of-two
+    blocks, points are looked up under the blocks around them, and upper bounds are reduced to the tightest per block
+    before they meet lower bounds. So no pairs are formed, and the work is linear in the rules up to the number
+    of levels, the logarithm of the span between the first and the last date of the rules in units.
+    """
+    kind, duty = F.col("operator"), F.col("duty")
+    low = F.when(kind.isin("must_be_at_least", "must_be_above", "must_equal"), duty["number"]).when(
+        kind == "must_be_within", duty["low"])
+    high = F.when(kind.isin("must_not_exceed", "must_be_below", "must_equal"), duty["number"]).when(
+        kind == "must_be_within", duty["high"])
+    rules, stored, asked = _timed(rules.withColumns({"_low": low, "_high": high}), unit_seconds)
     base = rules.select("rule_id", "metric", F.explode("tokens").alias("token"), F.col("_low").alias("low"),
                         F.col("_high").alias("high"), (kind == "must_be_above").alias("low_open"), (kind != "must_be_below").alias("high_closed"),
                         stored.alias("stored"), asked.alias("asked"))
@@ -291,6 +296,31 @@ def contradictions(rules: DataFrame, *, unit_seconds: int = 86_400) -> DataFrame
         "metric", "token", "rule_id", "low", F.col("t.high").alias("high"), F.col("t.other").alias("witness_id"))
 
 
+def value_clashes(rules: DataFrame, *, unit_seconds: int = 86_400) -> DataFrame:
+    """Values that one obligation demands and another forbids, on one metric and place, while both are valid.
+
+    One row per ``must_equal`` whose value a ``must_not_equal`` or ``must_not_be_one_of`` excludes, with the first such rule as
+    witness. The forbidden values are an inverted index (metric, place, value, block of time) that keeps the first rule per
+    entry, so no pairs are formed; values are compared as the checks compare them, text and lists included.
+    """
+    kind, duty = F.col("operator"), F.col("duty")
+    forbidden = F.when(kind == "must_not_equal", F.array(duty["key"])).when(kind == "must_not_be_one_of", duty["keys"])
+    rules, stored, asked = _timed(rules.withColumns({
+        "_demanded": F.when(kind == "must_equal", duty["key"]), "_forbidden": forbidden}), unit_seconds)
+    base = rules.select("rule_id", "metric", F.explode("tokens").alias("token"), "_demanded", "_forbidden",
+                        stored.alias("stored"), asked.alias("asked"))
+    key = ["metric", "token", "value", "kind", "l", "b"]
+    anywhere = F.lit("\u0000any")
+    table = (base.filter("_forbidden IS NOT NULL").withColumn("value", F.explode("_forbidden"))
+             .withColumn("token", F.explode(F.array(F.col("token"), anywhere))).withColumn("x", F.explode("stored"))
+             .select("metric", "token", "value", "x.*", "rule_id").groupBy(*key).agg(F.min("rule_id").alias("other")))
+    where = F.when(F.col("token") == "*", F.array(anywhere)).otherwise(F.array("token", F.lit("*")))
+    asks = (base.filter("_demanded IS NOT NULL").select("metric", F.col("token").alias("place"), F.explode(where).alias("token"), "rule_id",
+                                                        F.col("_demanded").alias("value"), "asked").withColumn("x", F.explode("asked")))
+    met = asks.select("metric", "place", "token", "value", "rule_id", "x.*").join(table, key)
+    return met.groupBy("metric", F.col("place").alias("token"), "rule_id", "value").agg(F.min("other").alias("witness_id"))
+
+
 # ---- cycles -----------------------------------------------------------------------------------------
 
 def precedent_cycles(edges: DataFrame, *, types: tuple = ("amended_by", "interpreted_by")) -> DataFrame:

@@ -154,6 +154,33 @@ def _contradictions(spark, sf_dir):
     return G.contradictions(_bound_rules(spark, sf_dir))
 
 
+# demanded and forbidden values of one metric per brand
+_VALUE_SQL = """v AS (SELECT 'p' || p_partkey AS id, p_brand AS metric, CASE WHEN p_partkey % 6 = 5 THEN '*' ELSE 'n' || p_partkey % 2 END AS token,
+      p_partkey % 3 AS form, p_size % 7 AS v, DATE '2020-01-01' + CAST(p_partkey * 37 % 900 AS INTEGER) AS s,
+      CASE WHEN p_partkey % 7 <> 0 THEN DATE '2020-01-01' + CAST(p_partkey * 37 % 900 + p_partkey % 200 AS INTEGER) ELSE DATE '2100-01-01' END AS e FROM part)"""
+
+
+@B.query("kg_value_clashes", f"""WITH {_VALUE_SQL}
+  SELECT a.metric, a.token, a.id AS rule_id, min(b.id) AS witness_id FROM v a JOIN v b ON a.metric = b.metric AND a.form = 0 AND b.form <> 0
+    AND (a.token = b.token OR a.token = '*' OR b.token = '*') AND a.s <= b.e AND b.s <= a.e
+    AND (a.v = b.v OR (b.form = 2 AND a.v = b.v + 1)) GROUP BY 1, 2, 3""")
+def _value_clashes(spark, sf_dir):
+    key, v = F.col("p_partkey"), F.col("p_size") % 7
+    day = (key * 37 % 900).cast("int")
+    base = F.lit("2020-01-01").cast("date")
+    text = F.concat(F.lit('"v'), v.cast("string"), F.lit('"'))
+    more = F.concat(F.lit("["), text, F.lit(',"v'), (v + 1).cast("string"), F.lit('"]'))
+    fields = {"rule_id": F.concat(F.lit("p"), key.cast("string")), "ord": F.lit(1), "metric": F.col("p_brand"),
+              "operator": F.element_at(F.array(F.lit("must_equal"), F.lit("must_not_equal"), F.lit("must_not_be_one_of")), (key % 3 + 1).cast("int")),
+              "value": F.when(key % 3 == 2, more).otherwise(text),
+              "jurisdiction": F.when(key % 6 == 5, F.lit('"*"')).otherwise(F.concat(F.lit('"n'), (key % 2).cast("string"), F.lit('"'))),
+              "effective_date": F.date_add(base, day).cast("string"),
+              "sunset_date": F.when(key % 7 != 0, F.date_add(base, day + (key % 200).cast("int")).cast("string"))}
+    rules = prepare_rules(B.table(spark, sf_dir, "part").select(*[
+        fields.get(n, F.lit(None)).cast(t).alias(n) for n, t in RULE_FIELDS.items()]))
+    return G.value_clashes(rules).select("metric", "token", "rule_id", "witness_id")
+
+
 # precedent edges among parts: rings of five in every fiftieth block, otherwise towards the half key
 _RING_SQL = """SELECT p_partkey AS a, CASE WHEN p_partkey % 50 < 4 THEN p_partkey + 1 WHEN p_partkey % 50 = 4 THEN p_partkey - 4
     ELSE p_partkey // 2 END AS b FROM part"""

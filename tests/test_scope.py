@@ -63,3 +63,16 @@ def test_unknown_edge_type_is_a_finding(spark):
     edges = literal_frame(spark, [("consists_of", "a", "b"), ("bogus_edge", "a", "b")], "type string, from_id string, to_id string")
     found = G.edge_target_types(nodes, edges).collect()
     assert len(found) == 1 and "bogus_edge" in str(found[0])
+
+
+def test_values_demanded_and_forbidden(spark):
+    def clash(*spec):
+        rules = [dict(rule_id=i, metric="m", operator=kind, value=v, **more) for i, kind, v, more in spec]
+        return [(r.rule_id, r.witness_id) for r in G.value_clashes(rules_frame(spark, rules)).collect()]
+    equal, other = ("eq", "must_equal", "5", {}), ("ne", "must_not_equal", "5", {})
+    assert clash(equal, other) == [("eq", "ne")]
+    assert clash(equal, ("ne", "must_not_equal", "6", {})) == []
+    assert clash(("eq", "must_equal", '"a"', {}), ("z", "must_not_be_one_of", '["b", "a"]', {}), ("y", "must_not_equal", '"a"', {})) == [("eq", "y")]
+    assert clash(("eq", "must_equal", "5", dict(sunset_date="2021-01-01")), ("ne", "must_not_equal", "5", dict(effective_date="2021-01-03"))) == []
+    assert clash(("eq", "must_equal", "5", dict(jurisdiction='"us"')), ("ne", "must_not_equal", "5", dict(jurisdiction='"ca"'))) == []
+    assert clash(("eq", "must_equal", "5", dict(jurisdiction='"*"')), ("ne", "must_not_equal", "5", dict(jurisdiction='"ca"'))) == [("eq", "ne")]
