@@ -137,7 +137,7 @@ def _size(phrase: Column) -> Column:
     return F.length(words) - F.length(F.translate(words, " ", "")) + 1
 
 
-def graph(docs: DataFrame, *, longest: int = 4, least: int = 30, most: int = 2_000_000) -> DataFrame:
+def graph(docs: DataFrame, *, longest: int = 4, least: int = 30, most: int = 1_000_000) -> DataFrame:
     """``phrase, size, n``: all phrases of at most ``longest`` words with ``n >= least``, and all single words.
 
     ``phrase`` holds the language (NULL: ``und``), a tab and the words. Edges have ``longest`` words, nodes a word less;
@@ -201,7 +201,7 @@ def phrases(located: DataFrame) -> DataFrame:
 
 
 def collocations(docs: DataFrame, *, longest: int = 4, least: int = 30, share: int = 80, top: int = 2000,
-                 most: int = 2_000_000) -> DataFrame:
+                 most: int = 1_000_000) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: the ``top`` phrases of 2 to ``longest`` words of each language.
 
     A phrase's score is that of its worst cut into two parts, ``floor(2000000 * a / (l + r))``, in exact arithmetic.
