@@ -134,7 +134,7 @@ def _nodes_edges(spark, sf_dir):
          CAST(max(epoch_us(ts)) AS BIGINT) AS newest_us FROM r GROUP BY tenant_id""")
 def _append(spark, sf_dir):
     path = work_path(spark, "history")
-    S.append_history(B.mixed_records(spark, sf_dir), path)
+    S.append_history(B.mixed_records(spark, sf_dir), path, by=("day",))
     return S.read_history(spark, path).groupBy("tenant_id").agg(
         F.count(F.lit(1)).alias("n_rows"), F.countDistinct("day").alias("n_days"),
         F.max(V.micros(F.col("telemetry_ts"))).alias("newest_us"))
@@ -153,15 +153,9 @@ def _settings(spark, sf_dir):
                TIMESTAMP '2024-01-25 06:00:00' - to_days(CAST(CASE WHEN user_id % 4 = 0 THEN 10 ELSE user_id % 20 + 1 END AS INTEGER)) AS expired
         FROM r) GROUP BY tenant_id""")
 def _retention(spark, sf_dir):
-    """Partitions over their tenant's age are dropped; the count is theirs, the rest is what the table still holds."""
-    path = work_path(spark, "retention")
-    records = B.mixed_records(spark, sf_dir)
-    S.append_history(records.filter("ts < TIMESTAMP '2024-01-12'"), path)
-    S.append_history(records.filter("ts >= TIMESTAMP '2024-01-12'"), path)
-    S.drop_expired(spark, path, _settings(spark, sf_dir), "2024-01-25 06:00:00", default_days=10)
-    kept = S.read_history(spark, path).groupBy("tenant_id").agg(F.count(F.lit(1)).alias("kept"))
-    gone = S.manifest(spark, path).filter("dropped").groupBy("tenant_id").agg(F.sum("n").alias("dropped"))
-    return kept.join(gone, "tenant_id", "full").na.fill(0)
+    marked = S.retention_cut(B.history_table(spark, sf_dir), _settings(spark, sf_dir), "2024-01-25 06:00:00", default_days=10)
+    return marked.groupBy("tenant_id").agg(F.count_if(~F.col("expired")).alias("kept"),
+                                           F.count_if(F.col("expired")).alias("dropped"))
 
 
 @B.query("hist_summary", f"""WITH r AS ({B.RECORD_SQL})

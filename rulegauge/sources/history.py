@@ -31,11 +31,14 @@ STORED = ("tenant_id string, subject string, telemetry_id string, telemetry_ts t
 _PART = "folder string, tenant_id string, day date, n bigint, dropped boolean, commit string"
 
 
-def append_history(records: DataFrame, path: str, *, received: str | None = None) -> None:
-    """Append as one commit; repeated telemetry ids are kept. Rows are clustered by tenant and day so that files stay few."""
+def append_history(records: DataFrame, path: str, *, received: str | None = None, by: tuple = ("tenant_id", "day")) -> None:
+    """Append as one commit; repeated telemetry ids are kept. Rows are clustered by tenant and day so that files stay few.
+
+    ``by=("day",)`` suits many small tenants; ``drop_expired`` leaves such commits alone.
+    """
     spark, name = records.sparkSession, uuid.uuid4().hex
     rows = history_rows(records, received=received)
-    (rows.repartitionByRange("tenant_id", "day", "telemetry_ts").write.partitionBy("tenant_id", "day").parquet(f"{path}/commit={name}"))
+    (rows.repartitionByRange("tenant_id", "day", "telemetry_ts").write.partitionBy(*by).parquet(f"{path}/commit={name}"))
     # the folder below the table's, as it is named on disk
     file = F.expr("url_decode(replace(_metadata.file_path, '+', '%2B'))")
     folder = F.concat(F.lit(f"commit={name}/"), F.regexp_extract(file, f"/commit={name}/(.*)/[^/]*$", 1))
@@ -68,7 +71,7 @@ def live_parts(entries: DataFrame) -> DataFrame:
 
 def read_history(spark: SparkSession, path: str, *, version: int | None = None) -> DataFrame:
     """The table, or an earlier version of it; ``tenant_id`` and ``day`` prune partitions."""
-    folders = [f"{path}/{r.folder}" for r in live_parts(manifest(spark, path, version=version)).select("folder").collect()]
+    folders = [f"{path}/{r.folder}" for r in live_parts(manifest(spark, path, version=version)).select("folder").distinct().collect()]
     rows = spark.read.schema(STORED).option("basePath", path).parquet(*folders) if folders else spark.createDataFrame([], STORED)
     return rows.withColumn("payload", F.try_parse_json("measurement"))
 
@@ -80,7 +83,7 @@ def drop_expired(spark: SparkSession, path: str, settings: DataFrame, now: str,
     their files until ``vacuum``.
     """
     parts = retention_cut(live_parts(manifest(spark, path)).withColumn("telemetry_ts", F.col("day").cast("timestamp")), settings, now,
-                          default_days=default_days).filter("expired")
+                          default_days=default_days).filter(F.col("expired") & F.col("folder").contains("/tenant_id="))
     gone = parts.select("folder", "tenant_id", "day", "n", F.lit(True).alias("dropped"))
     count = gone.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     if count:
