@@ -190,3 +190,27 @@ def spelling(docs, least_length=7):
             root = forms[root]
         rows.append((w, forms[w], root, n, count, None if forms[w] is None else words[forms[w]]))
     return rows
+
+
+def one_of_near_copies(docs, width=5, similarity=0.8):
+    """Ids that stay: the smallest of each group connected by pairs of that Jaccard similarity of word shingles."""
+    sets = []
+    for doc_id, text in sorted(docs):
+        w = (text or "").encode().lower().split()
+        sets.append((doc_id, frozenset(tuple(w[i:i + width]) for i in range(max(1, len(w) - width + 1)))))
+    root = {i: i for i, _ in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+    holders = {}
+    for i, s in sets:
+        met = {j for x in s for j in holders.get(x, ())}
+        for j, other in sets:
+            if j in met and len(s & other) >= similarity * len(s | other):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    return sorted(i for i, _ in sets if root[i] == i)

@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import brute
 import corpus_pipeline
 
-from rulegauge.llm import pii, quality
+from rulegauge.llm import pii, quality, simhash
 from rulegauge.llm.common import stored
 
 SF = "/root/testdata/sf0.001"
@@ -44,8 +44,30 @@ def test_quality_stage(stages):
 
 
 def test_duplicates_stage(stages):
-    groups = brute.components([(r.doc_id, r.text) for r in rows(stages[1])])
-    assert [r.doc_id for r in rows(stages[2])] == sorted({c for _, _, c in groups})
+    kept = brute.one_of_near_copies([(r.doc_id, r.text) for r in rows(stages[1])])
+    assert [r.doc_id for r in rows(stages[2])] == kept
+
+
+def test_near_copies_of_all_kinds(spark):
+    words = [f"word{i * i % 977}" for i in range(400)]
+
+    def without(k, every):
+        return " ".join(w for i, w in enumerate(words) if i % every != k or i < 20)
+    texts = [" ".join(words), " ".join(words).upper(), "  ".join(words) + "\n", without(3, 50), without(7, 60), without(3, 5),
+             " ".join(words[:200]), None, "", " \t", "one two", "one  two", "one three", "word " * 30_000, "word " * 29_000, "unlike all others here"]
+    shape = "_row string, doc_id bigint, text string, root string, node int"
+    df = spark.createDataFrame([("x", i, t, "r", 0) for i, t in enumerate(texts)] + [("x", 3, texts[3], "r", 0), ("x", None, texts[15], "r", 1)], shape)
+    got = simhash.keep_one(df)
+    assert got.columns == df.columns
+    assert sorted(r.doc_id for r in got.collect()) == brute.one_of_near_copies(list(enumerate(texts))) == [0, 5, 6, 7, 10, 12, 13, 15]
+    assert simhash.keep_one(df.limit(0)).count() == 0
+
+
+def test_chains_of_near_copies(spark):
+    """Each text is near the one before only: the group is one, however long."""
+    words = [f"w{i}" for i in range(600)]
+    df = spark.createDataFrame([(100 - k, " ".join(words[4 * k:4 * k + 200])) for k in range(60)], "doc_id bigint, text string")
+    assert [r.doc_id for r in simhash.keep_one(df).collect()] == [41]
 
 
 def test_decontamination_stage(spark, stages):
