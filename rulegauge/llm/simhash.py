@@ -1,6 +1,6 @@
 """SimHash near-duplicates: fingerprints, and all pairs within a few bits by a self-join of a binary trie.
 
-``simhash_components`` links fingerprints of 64 bits; ``near_copies`` and ``keep_one`` link texts by the similarity of their
+``simhash_components`` links fingerprints of 64 bits; ``near_copies`` and ``keep_one_similar`` link texts by the similarity of their
 shingle sets, for which several short fingerprints name the candidates.
 """
 
@@ -204,6 +204,19 @@ def simhash_components(docs: DataFrame, *, width: int = 4, seed: int = 42, budge
         "doc_id", F.lower(F.lpad(F.hex("_print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame, *, width: int = 4, seed: int = 42, budget: int = 4, depth: int = 6) -> DataFrame:
+    """The document with the smallest id of every component, all columns kept; equal ids: the first row as stored."""
+    rows = stored(numbered(docs.drop("_row")), "docs")
+    prints = stored(fingerprints(rows.select("_row", "doc_id", "text"), width=width, seed=seed), "prints")
+    roots = stored(classes(prints, budget=budget, depth=depth), "roots")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("_row"))
+    by_print = stored(prints.groupBy("_print").agg(F.min(first).alias("first")), "first")
+    best = roots.join(by_print, "_print").groupBy("root").agg(F.min("first").alias("first"))
+    kept = stored(best.select(F.col("first._row").alias("_row")), "kept")
+    # as many ids as documents stay: the join is the same at every size, not a broadcast while they are few
+    return rows.join(kept.hint("merge"), "_row", "left_semi").select(*[c for c in docs.columns if c != "_row"])
+
+
 # ---- near copies by similarity -----------------------------------------------------------------------
 
 #: 64-bit words of a signature. Its 32-bit parts are the short fingerprints; where they are walked, the three pieces of
@@ -344,7 +357,7 @@ def near_copies(texts: DataFrame, signed: DataFrame, *, width: int = 5, seed: in
     return components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(proven))
 
 
-def keep_one(docs: DataFrame, *, width: int = 5, seed: int = 42, similarity: float = 0.8) -> DataFrame:
+def keep_one_similar(docs: DataFrame, *, width: int = 5, seed: int = 42, similarity: float = 0.8) -> DataFrame:
     """The document with the smallest id of every group of near copies, all columns kept; equal ids: the first row as stored.
 
     Groups are connected by pairs of texts whose sets of ``width``-word shingles (A-Z lower-cased) have a Jaccard similarity of

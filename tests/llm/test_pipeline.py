@@ -57,17 +57,17 @@ def test_near_copies_of_all_kinds(spark):
              " ".join(words[:200]), None, "", " \t", "one two", "one  two", "one three", "word " * 30_000, "word " * 29_000, "unlike all others here"]
     shape = "_row string, doc_id bigint, text string, root string, node int"
     df = spark.createDataFrame([("x", i, t, "r", 0) for i, t in enumerate(texts)] + [("x", 3, texts[3], "r", 0), ("x", None, texts[15], "r", 1)], shape)
-    got = simhash.keep_one(df)
+    got = simhash.keep_one_similar(df)
     assert got.columns == df.columns
     assert sorted(r.doc_id for r in got.collect()) == brute.one_of_near_copies(list(enumerate(texts))) == [0, 5, 6, 7, 10, 12, 13, 15]
-    assert simhash.keep_one(df.limit(0)).count() == 0
+    assert simhash.keep_one_similar(df.limit(0)).count() == 0
 
 
 def test_chains_of_near_copies(spark):
     """Each text is near the one before only: the group is one, however long."""
     words = [f"w{i}" for i in range(600)]
     df = spark.createDataFrame([(100 - k, " ".join(words[4 * k:4 * k + 200])) for k in range(60)], "doc_id bigint, text string")
-    assert [r.doc_id for r in simhash.keep_one(df).collect()] == [41]
+    assert [r.doc_id for r in simhash.keep_one_similar(df).collect()] == [41]
 
 
 def test_decontamination_stage(spark, stages):
