@@ -2,11 +2,13 @@
 
 A target model (documents labelled good) and a background model (all documents) have the same order, vocabulary and
 smoothing, and are brought to the same number of tokens. A document's score is the mean over its tokens of target loss
-minus background loss, in bits: the lower, the nearer to the target.
+minus background loss, in bits: the lower, the nearer to the target. A text that the models were made of would know itself;
+``leave_out`` takes its own counts out of both models before it is scored, so that training texts and new ones compare.
 
 All words and all pairs of words are counted. Texts are worked on in slices; a slice names each of its words and pairs
 once, in a row per bucket of their 64-bit hashes. A bucket's task sums the counts of all slices and answers each slice in
-its own order; a slice turns the answers into losses. No table of the corpus is broadcast or collected, and a frequent pair
+its own order; a slice turns the answers into losses. A slice asks only buckets it has words or pairs for, so there are never more
+rows than distinct pairs in slices, however many buckets a corpus has. No table of the corpus is broadcast or collected, and a frequent pair
 weighs no more than the slices it occurs in. Equality of words and pairs rests on the hashes.
 """
 
@@ -156,13 +158,13 @@ def _asked(slices: DataFrame, buckets: int, *, counted: bool = True, asks: bool
                 sides = []
                 for own, of in ((keys, (word, before)), (pair_keys, (at,))):
                     counts = np.stack([np.bincount(x[y], minlength=len(own)) * counted for x in of for y in (target, slice(None))]).astype(np.int32)
-                    cuts = np.searchsorted((own >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1))
-                    sides.append((own, counts, cuts))
+                    sides.append((own, counts, (own >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)))
+                filled = np.union1d(*[at for *_, at in sides])
+                cuts = [np.stack([np.searchsorted(at, filled, side) for side in ("left", "right")], axis=1).tolist() for *_, at in sides]
                 out = []
-                for b in range(buckets):
-                    if any(cuts[b] < cuts[b + 1] for _, _, cuts in sides):
-                        found = [x for own, counts, cuts in sides for x in (_pack_sorted(own[cuts[b]:cuts[b + 1]]), _pack(counts[:, cuts[b]:cuts[b + 1]]))]
-                        out.append((b, me, asks, *found))
+                for b, *spans in zip(filled.tolist(), *cuts):
+                    found = [x for (own, counts, _), (s, e) in zip(sides, spans) for x in (_pack_sorted(own[s:e]), _pack(counts[:, s:e]))]
+                    out.append((b, me, asks, *found))
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
     return slices.select("slice", "keys", "tokens", "lengths", "good").mapInArrow(run, _ASKED)
 
@@ -204,14 +206,19 @@ class Models:
         self.mix, self.floor = mix, floor
 
 
-def _losses(words: np.ndarray, pairs: np.ndarray, ends: np.ndarray, total: float, even: float, kinds: int, mix: float, floor: float) -> np.ndarray:
-    """Loss in bits of each pair: ``words`` are counts as a word and as the word before, ``ends`` the places of both words of a pair."""
-    scale = even / max(1, total)
-    single = (words[0] * scale + floor) / (total * scale + floor * kinds)
-    before = words[1][ends[0]]
-    seen = np.divide(pairs, before, out=np.zeros(len(pairs)), where=before > 0)
+def _losses(word: np.ndarray, before: np.ndarray, pair: np.ndarray, total, even, kinds: int, mix: float, floor: float) -> np.ndarray:
+    """Loss in bits of a word after another: counts of it, of the one before and of both, where ``total`` tokens stand for ``even``."""
+    scale = even / np.maximum(1, total)
+    single = (word * scale + floor) / (total * scale + floor * kinds)
+    seen = np.divide(pair, before, out=np.zeros(len(pair)), where=before > 0)
     share = np.where(before > 0, mix, 0.0)
-    return -np.log2(share * seen + (1 - share) * single[ends[1]])
+    return -np.log2(share * seen + (1 - share) * single)
+
+
+def _own(doc: np.ndarray, of: np.ndarray, kinds: int) -> np.ndarray:
+    """How often the text of each token holds what ``of`` numbers there."""
+    _, at, n = np.unique(doc * kinds + of, return_inverse=True, return_counts=True)
+    return n[at]
 
 
 def train(docs: DataFrame, labels: DataFrame, *, size: int | None = None, mix: float = 0.7, floor: float = 0.5) -> Models:
@@ -231,33 +238,47 @@ def train(docs: DataFrame, labels: DataFrame, *, size: int | None = None, mix: f
     return Models(docs, slices, _answers(_asked(slices, buckets)), buckets, known, mix, floor)
 
 
-def scored(docs: DataFrame, models: Models) -> DataFrame:
+def scored(docs: DataFrame, models: Models, *, leave_out: bool = False) -> DataFrame:
     """``doc_id, n_tokens, target_loss, background_loss, score``: mean losses per word in bits and their difference.
 
     Texts without words, NULL among them, have no losses and no score; repeated rows are scored each; an empty table gives no rows; other
     columns are not looked at. The frame the models were made of is scored from what was gathered then; any other asks the models' buckets.
+
+    With ``leave_out`` each row of the frame the models were made of meets models without that row: its tokens, words and pairs are
+    taken from the counts (of the target only where it is a target document), the vocabulary stays. Repeated rows and copies know
+    each other. Other frames are in no count and are scored as without it.
     """
     slices, answers = models.slices, models.answers
     if docs is not models.docs:
         slices = _slices(docs.select("doc_id", "text", F.lit(False).alias("good")), models.known)
         answers = _answers(_asked(models.slices, models.buckets, asks=False).unionByName(_asked(slices, models.buckets, counted=False)))
     kinds, totals, mix, floor = models.kinds, models.totals, models.mix, models.floor
+    leave_out = leave_out and docs is models.docs
     shape = docs.select("doc_id").schema.add("n_tokens", "long").add("target_loss", "double").add("background_loss", "double").add("score", "double")
 
     def score(of: tuple, texts: pa.Table, found: pa.Table) -> pa.Table:
         ids = texts.column("docs").combine_chunks().flatten()
-        *_, ends, at, lengths = _grams(*[texts.column(c)[0].as_py() for c in ("keys", "tokens", "lengths")])
+        keys, before, word, _, ends, at, lengths = _grams(*[texts.column(c)[0].as_py() for c in ("keys", "tokens", "lengths")])
         found = found.sort_by("bucket")
         words, pairs = (np.concatenate([np.zeros((n, 0), np.int64), *[_unpack(x, np.int64).reshape(n, -1) for x in found.column(c).to_pylist()]], axis=1)
                         for c, n in (("word_counts", 4), ("pair_counts", 2)))
-        doc, n = np.repeat(np.arange(len(lengths)), lengths), lengths.astype(np.int64)
-        means = []
+        doc, n, means = np.repeat(np.arange(len(lengths)), lengths), lengths.astype(np.int64), []
+        if leave_out:
+            own = [_own(doc, x, k) for x, k in ((word, len(keys)), (before, len(keys)), (at, pairs.shape[1]))]
+            inside = (_unpack(texts.column("good")[0].as_py(), np.uint8).astype(np.int64), np.ones_like(n))
+            left = [totals[i] - inside[i] * n for i in (0, 1)]
+            even = np.maximum(1, np.minimum(*left))
         for i in (0, 1):
-            loss = _losses(words[i::2], pairs[i], ends, totals[i], min(totals) or 1, kinds, mix, floor)
-            means.append(np.bincount(doc, weights=loss[at], minlength=len(n)) / np.maximum(n, 1))
+            if leave_out:
+                mine = inside[i][doc]
+                counts = [x - mine * o for x, o in zip((words[i][word], words[2 + i][before], pairs[i][at]), own)]
+                loss = _losses(*counts, left[i][doc], even[doc], kinds, mix, floor)
+            else:
+                loss = _losses(words[i][ends[1]], words[2 + i][ends[0]], pairs[i], totals[i], min(totals) or 1, kinds, mix, floor)[at]
+            means.append(np.bincount(doc, weights=loss, minlength=len(n)) / np.maximum(n, 1))
         empty = n == 0
         columns = [pa.array(x, mask=empty) for x in (*means, means[0] - means[1])]
         return pa.table([ids, pa.array(n), *columns], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-    texts = slices.select("slice", "docs", "keys", "tokens", "lengths")
+    texts = slices.select("slice", "docs", "keys", "tokens", "lengths", "good")
     found = answers.filter("slice is not null").select("slice", "bucket", "word_counts", "pair_counts")
     return texts.groupBy("slice").cogroup(found.groupBy("slice")).applyInArrow(score, shape)

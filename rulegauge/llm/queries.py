@@ -213,7 +213,7 @@ def op10_suffix_array(spark, sf_dir):
 def op7_lm_score(spark, sf_dir):
     from rulegauge.llm import lm
     docs = table(spark, sf_dir, "documents")
-    return lm.scored(docs, lm.train(docs, table(spark, sf_dir, "labels")))
+    return lm.scored(docs, lm.train(docs, table(spark, sf_dir, "labels")), leave_out=True)
 
 
 # ---- 8: token counts under edits ---------------------------------------------------------------------
