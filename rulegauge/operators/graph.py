@@ -321,6 +321,32 @@ def value_clashes(rules: DataFrame, *, unit_seconds: int = 86_400) -> DataFrame:
     return met.groupBy("metric", F.col("place").alias("token"), "rule_id", "value").agg(F.min("other").alias("witness_id"))
 
 
+def demand_clashes(rules: DataFrame, *, unit_seconds: int = 86_400) -> DataFrame:
+    """Values of one metric and place that ``must_equal`` demands while another ``must_equal`` demands something else.
+
+    One row per demand that another one, valid at some time of its own, contradicts. Of all such demands the witness is the one
+    with the smallest value (ties: smallest id), or, where that is the same value, the one with the largest (ties: largest id). Blocks of
+    time keep the smallest and the largest demand only, so there are no pairs, however many rules one metric has. Values are compared as the checks
+    compare them; demands without a value do not take part.
+    """
+    rules, stored, asked = _timed(rules.filter(F.col("operator") == "must_equal").withColumn("_demanded", F.col("duty")["key"]), unit_seconds)
+    base = rules.filter("_demanded IS NOT NULL").select(
+        "rule_id", "metric", F.explode("tokens").alias("token"), F.struct(F.col("_demanded").alias("value"), F.col("rule_id").alias("id")).alias("own"),
+        stored.alias("stored"), asked.alias("asked"))
+    key = ["metric", "token", "kind", "l", "b"]
+    anywhere = F.lit("\u0000any")
+    table = (base.withColumn("token", F.explode(F.array(F.col("token"), anywhere))).withColumn("x", F.explode("stored"))
+             .select("metric", "token", "x.*", "own").groupBy(*key).agg(F.min("own").alias("low"), F.max("own").alias("high")))
+    where = F.when(F.col("token") == "*", F.array(anywhere)).otherwise(F.array("token", F.lit("*")))
+    asks = (base.select("metric", F.col("token").alias("place"), F.explode(where).alias("token"), "own", "asked")
+            .withColumn("x", F.explode("asked")))
+    met = asks.select("metric", "place", "token", "own", "x.*").join(table, key).groupBy("metric", F.col("place").alias("token"), "own").agg(
+        F.min("low").alias("low"), F.max("high").alias("high"))
+    other = F.when(F.col("low.value") != F.col("own.value"), F.col("low")).when(F.col("high.value") != F.col("own.value"), F.col("high"))
+    return met.withColumn("other", other).filter("other IS NOT NULL").select(
+        "metric", "token", F.col("own.id").alias("rule_id"), F.col("own.value").alias("value"), F.col("other.id").alias("witness_id"))
+
+
 # ---- cycles -----------------------------------------------------------------------------------------
 
 def precedent_cycles(edges: DataFrame, *, types: tuple = ("amended_by", "interpreted_by")) -> DataFrame:

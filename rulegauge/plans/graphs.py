@@ -165,6 +165,18 @@ _VALUE_SQL = """v AS (SELECT 'p' || p_partkey AS id, p_brand AS metric, CASE WHE
     AND (a.token = b.token OR a.token = '*' OR b.token = '*') AND a.s <= b.e AND b.s <= a.e
     AND (a.v = b.v OR (b.form = 2 AND a.v = b.v + 1)) GROUP BY 1, 2, 3""")
 def _value_clashes(spark, sf_dir):
+    return G.value_clashes(_value_rules(spark, sf_dir)).select("metric", "token", "rule_id", "witness_id")
+
+
+@B.query("kg_demand_clashes", f"""WITH {_VALUE_SQL}, d AS (SELECT * FROM v WHERE form = 0),
+  m AS (SELECT a.metric, a.token, a.id, a.v, min((b.v, b.id)) AS low, max((b.v, b.id)) AS high FROM d a JOIN d b ON a.metric = b.metric
+    AND (a.token = b.token OR a.token = '*' OR b.token = '*') AND a.s <= b.e AND b.s <= a.e GROUP BY 1, 2, 3, 4)
+  SELECT metric, token, id AS rule_id, CASE WHEN low[1] <> v THEN low[2] ELSE high[2] END AS witness_id FROM m WHERE low[1] <> v OR high[1] <> v""")
+def _demand_clashes(spark, sf_dir):
+    return G.demand_clashes(_value_rules(spark, sf_dir)).select("metric", "token", "rule_id", "witness_id")
+
+
+def _value_rules(spark, sf_dir):
     key, v = F.col("p_partkey"), F.col("p_size") % 7
     day = (key * 37 % 900).cast("int")
     base = F.lit("2020-01-01").cast("date")
@@ -176,9 +188,8 @@ def _value_clashes(spark, sf_dir):
               "jurisdiction": F.when(key % 6 == 5, F.lit('"*"')).otherwise(F.concat(F.lit('"n'), (key % 2).cast("string"), F.lit('"'))),
               "effective_date": F.date_add(base, day).cast("string"),
               "sunset_date": F.when(key % 7 != 0, F.date_add(base, day + (key % 200).cast("int")).cast("string"))}
-    rules = prepare_rules(B.table(spark, sf_dir, "part").select(*[
+    return prepare_rules(B.table(spark, sf_dir, "part").select(*[
         fields.get(n, F.lit(None)).cast(t).alias(n) for n, t in RULE_FIELDS.items()]))
-    return G.value_clashes(rules).select("metric", "token", "rule_id", "witness_id")
 
 
 # precedent edges among parts: rings of five in every fiftieth block, otherwise towards the half key

@@ -76,3 +76,25 @@ def test_values_demanded_and_forbidden(spark):
     assert clash(("eq", "must_equal", "5", dict(sunset_date="2021-01-01")), ("ne", "must_not_equal", "5", dict(effective_date="2021-01-03"))) == []
     assert clash(("eq", "must_equal", "5", dict(jurisdiction='"us"')), ("ne", "must_not_equal", "5", dict(jurisdiction='"ca"'))) == []
     assert clash(("eq", "must_equal", "5", dict(jurisdiction='"*"')), ("ne", "must_not_equal", "5", dict(jurisdiction='"ca"'))) == [("eq", "ne")]
+
+
+@pytest.mark.parametrize("seed, n", [(1, 0), (2, 1), (5, 60)])
+def test_demands_against_every_pair(spark, seed, n):
+    rng = random.Random(seed)
+    spec = []
+    for i in range(n):
+        first = None if rng.random() < 0.1 else rng.randrange(600)
+        last = None if rng.random() < 0.1 else (first or 0) + rng.randrange(0, 60)
+        spec.append((f"r{i:03}", rng.choice(["m", "k"]), rng.choice(['"a"', '"b"', "5", "true"]), first, last, rng.choice(["us", "ca", "*"])))
+    rules = rules_frame(spark, [dict(rule_id=i, metric=m, operator="must_equal", value=v, effective_date=day(a), sunset_date=day(b), jurisdiction=f'"{p}"')
+                                for i, m, v, a, b, p in spec] + [dict(rule_id="no", metric="m", operator="must_not_equal", value="9")])
+    key = {r.rule_id: r.key for r in rules.select("rule_id", F.col("duty")["key"].alias("key")).collect()}
+    want = set()
+    for i, m, _, a, b, p in spec:
+        met = sorted((key[j], j) for j, m2, _, a2, b2, q in spec if m2 == m and (p == q or "*" in (p, q))
+                     and (b is None or (day(a2) or "") <= day(b)) and (b2 is None or (day(a) or "") <= day(b2)))
+        other = next((x for x in (met[0], met[-1]) if x[0] != key[i]), None)
+        if other:
+            want.add((m, p, i, other[1]))
+    got = [(r.metric, r.token, r.rule_id, r.witness_id) for r in G.demand_clashes(rules).collect()]
+    assert len(got) == len(want) and set(got) == want
