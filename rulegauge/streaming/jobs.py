@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
 from rulegauge.functions import values as V
@@ -13,6 +13,8 @@ from rulegauge.session import work_path
 from rulegauge.streaming import processors as S
 
 SUBJECT = ["tenant_id", "subject"]
+# groups of keys that the processors of short keys take at a call; part of the state's layout
+BUCKETS = 1024
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -66,8 +68,14 @@ def _micros(records: DataFrame) -> DataFrame:
     return records.withColumn("us", V.micros(F.col("ts")))
 
 
+def bucketed(rows: DataFrame, keys: list[str]) -> GroupedData:
+    """Rows grouped by a bucket of their keys, for the processors that hold state per key themselves."""
+    return rows.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")).groupBy("_bucket")
+
+
 def _run(records: DataFrame, keys: list[str], processor, schema: str, mode: str = "None") -> DataFrame:
-    return records.groupBy(*keys).transformWithStateInPandas(
+    grouped = bucketed(records, keys) if isinstance(processor, S.PerKey) else records.groupBy(*keys)
+    return grouped.transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode=mode)
 
 

@@ -19,34 +19,72 @@ def _whole(rows: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
     return pd.concat(parts, ignore_index=True).sort_values(order, ignore_index=True) if parts else pd.DataFrame()
 
 
-class TrailingWindow(StatefulProcessor):
+class PerKey(StatefulProcessor):
+    """State per key, many keys at a call: rows are grouped by a bucket of keys, as a call and a frame per key cost more than
+    the work on a short key. State maps the key's values to ``held``; only keys with rows are read and written."""
+
+    held: str
+    order = ["us", "measurement_id"]
+
+    def __init__(self, key_names: list[str]):
+        self.key_names = key_names
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.kept = handle.getMapState("kept", ", ".join(f"k{i} string" for i in range(len(self.key_names))), self.held)
+
+    def answer(self, rows: dict[str, np.ndarray], found: tuple | None) -> tuple[dict, tuple]:
+        """Columns that answer a key's rows, and what to hold. ``found`` is what was held."""
+        raise NotImplementedError
+
+    def keys_of(self, batch: pd.DataFrame) -> Iterator[tuple[tuple, dict[str, np.ndarray]]]:
+        """The keys of an ordered batch, each with its rows as arrays by column, in order."""
+        names = [tuple(None if pd.isna(x) else x for x in k) for k in zip(*[batch[k] for k in self.key_names])]
+        places: dict[tuple, list[int]] = {}
+        for at, name in enumerate(names):
+            places.setdefault(name, []).append(at)
+        columns = {c: batch[c].to_numpy() for c in batch.columns}
+        for name, at in places.items():
+            yield name, {c: v[at] for c, v in columns.items()}
+
+    def handleInputRows(self, key, rows, timerValues):
+        batch = _whole(rows, self.order)
+        if batch.empty:
+            return
+        told: dict[str, list] = {}
+        for name, mine in self.keys_of(batch):
+            answers, held = self.answer(mine, self.kept.getValue(name))
+            self.kept.updateValue(name, held)
+            n = len(mine[self.order[0]])
+            for column, values in ({k: [v] * n for k, v in zip(self.key_names, name)} | answers).items():
+                told.setdefault(column, []).extend(values)
+        yield pd.DataFrame(told)
+
+    def close(self) -> None:
+        pass
+
+
+class TrailingWindow(PerKey):
     """Count, sum and mean over ``(t - seconds, t]`` per key.
 
-    State maps a tile of time to the records in it; tiles older than the window and the allowed lateness are dropped.
+    State is one value with the times and numbers held; tiles of time older than the window and the allowed lateness are dropped.
     ``late`` marks a record older than one of an earlier batch: answers given since then did not know it.
     ``to_replay`` marks a record whose window reaches into dropped tiles: its own answer may lack records.
     """
 
+    held = "newest bigint, kept_from bigint, us binary, val binary"
+
     def __init__(self, key_names: list[str], seconds: int, tiles: int = 8, keep_seconds: int = 86_400):
-        self.key_names, self.span = key_names, seconds * MICROS
+        super().__init__(key_names)
+        self.span = seconds * MICROS
         self.width = -(-self.span // tiles)
         self.keep = self.span + keep_seconds * MICROS
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.tiles = handle.getMapState("tiles", "tile bigint", "us array<bigint>, val array<double>")
-        self.bounds = handle.getValueState("bounds", "newest bigint, kept_from bigint")
-
-    def handleInputRows(self, key, rows, timerValues):
-        batch = _whole(rows, ["us", "measurement_id"])
-        if batch.empty:
-            return
-        us = batch["us"].to_numpy(np.int64)
-        val = batch["val"].to_numpy(np.float64, na_value=np.nan)
-        # eviction keeps the tiles few; one pass over them is cheaper than a call per tile
-        stored = {k[0]: (list(old[0]), [np.nan if v is None else v for v in old[1]]) for k, old in self.tiles.iterator()}
-        held_us = [us, *[np.array(old[0], np.int64) for old in stored.values()]]
-        held_val = [val, *[np.array(old[1], np.float64) for old in stored.values()]]
-        all_us, all_val = np.concatenate(held_us), np.concatenate(held_val)
+    def answer(self, rows, found):
+        us, val = rows["us"].astype(np.int64), rows["val"].astype(np.float64)
+        newest, kept_from, old_us, old_val = found or (None, None, b"", b"")
+        held_us = np.concatenate([np.frombuffer(bytes(old_us), np.int64), us])
+        held_val = np.concatenate([np.frombuffer(bytes(old_val), np.float64), val])
+        all_us, all_val = held_us, held_val
         order = np.argsort(all_us, kind="stable")
         all_us, all_val = all_us[order], all_val[order]
         numeric = ~np.isnan(all_val)
@@ -56,60 +94,33 @@ class TrailingWindow(StatefulProcessor):
         hi = np.searchsorted(all_us, us, side="right")
         n = counts[hi] - counts[lo]
         total = np.where(n > 0, sums[hi] - sums[lo], np.nan)
-        for tile in {int(u) // self.width for u in us}:
-            mask = us // self.width == tile
-            old_us, old_val = stored.get(tile, ([], []))
-            self.tiles.updateValue((tile,), ([*old_us, *us[mask].tolist()], [*old_val, *val[mask].tolist()]))
-        newest, kept_from = self.bounds.get() if self.bounds.exists() else (None, None)
         late = np.zeros(len(us), bool) if newest is None else us < newest
         lost = np.zeros(len(us), bool) if kept_from is None else us - self.span + 1 < kept_from
         newest = int(us.max()) if newest is None else max(newest, int(us.max()))
         horizon = (newest - self.keep) // self.width
-        for tile in {*stored, *(int(u) // self.width for u in us)}:
-            if tile < horizon:
-                self.tiles.removeKey((tile,))
-                kept_from = max(horizon * self.width, kept_from or horizon * self.width)
-        self.bounds.update((newest, kept_from))
-        out = pd.DataFrame({"measurement_id": batch["measurement_id"], "count": hi - lo, "sum_value": total,
-                            "avg_value": np.divide(total, n, out=np.full(len(us), np.nan), where=n > 0),
-                            "late": late, "to_replay": lost})
-        for name, part in zip(self.key_names, key):
-            out[name] = part
-        yield out
+        stays = held_us // self.width >= horizon
+        if not stays.all():
+            kept_from = max(horizon * self.width, kept_from or horizon * self.width)
+        return {"measurement_id": rows["measurement_id"], "count": hi - lo, "sum_value": total,
+                "avg_value": np.divide(total, n, out=np.full(len(us), np.nan), where=n > 0), "late": late, "to_replay": lost}, (
+            newest, kept_from, held_us[stays].tobytes(), held_val[stays].tobytes())
 
-    def close(self) -> None:
-        pass
 
-
-class LastRecord(StatefulProcessor):
+class LastRecord(PerKey):
     """Seconds since the key's record before. Records older than the newest one held are marked late."""
 
-    def __init__(self, key_names: list[str]):
-        self.key_names = key_names
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "us bigint")
+    held = "us bigint"
 
-    def handleInputRows(self, key, rows, timerValues):
-        batch = _whole(rows, ["us", "measurement_id"])
-        if batch.empty:
-            return
-        us = batch["us"].to_numpy(np.int64)
-        held = self.last.get()[0] if self.last.exists() else None
+    def answer(self, rows, found):
+        us = rows["us"].astype(np.int64)
+        held = None if found is None else found[0]
         before = np.concatenate([[np.nan if held is None else float(held)], us[:-1].astype(np.float64)])
         late = np.zeros(len(us), bool) if held is None else us < held
         first_on_time = int(late.sum())
         if held is not None and first_on_time < len(us):
             before[first_on_time] = float(held)
         gap = np.where(late, np.nan, (us - before) / MICROS)
-        self.last.update((int(max(us.max(), held or us.max())),))
-        out = pd.DataFrame({"measurement_id": batch["measurement_id"], "since_last": gap, "late": late})
-        for name, part in zip(self.key_names, key):
-            out[name] = part
-        yield out
-
-    def close(self) -> None:
-        pass
+        return {"measurement_id": rows["measurement_id"], "since_last": gap, "late": late}, (int(max(us.max(), held or us.max())),)
 
 
 class ChainAppend(StatefulProcessor):
@@ -125,7 +136,7 @@ class ChainAppend(StatefulProcessor):
         batch = _whole(rows, ["timestamp_iso", "telemetry_id"])
         if batch.empty:
             return
-        seq, tip = self.head.get() if self.head.exists() else (0, GENESIS)
+        seq, tip = self.head.get() or (0, GENESIS)
         numbers, before, after = [], [], []
         for lead, middle, tail in zip(batch["lead_text"], batch["middle_text"], batch["tail_text"]):
             seq += 1
@@ -212,29 +223,18 @@ class Silence(StatefulProcessor):
         pass
 
 
-class Lateness(StatefulProcessor):
+class Lateness(PerKey):
     """How far each record lies behind the newest record its source had sent in earlier batches."""
 
-    def __init__(self, key_names: list[str], allowed_seconds: int):
-        self.key_names, self.allowed = key_names, allowed_seconds * MICROS
+    held = "us bigint"
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.newest = handle.getValueState("newest", "us bigint")
+    def __init__(self, key_names: list[str], allowed_seconds: int):
+        super().__init__(key_names)
+        self.allowed = allowed_seconds * MICROS
 
-    def handleInputRows(self, key, rows, timerValues):
-        batch = _whole(rows, ["us", "measurement_id"])
-        if batch.empty:
-            return
-        us = batch["us"].to_numpy(np.int64)
-        held = self.newest.get()[0] if self.newest.exists() else None
+    def answer(self, rows, found):
+        us = rows["us"].astype(np.int64)
+        held = None if found is None else found[0]
         behind = np.zeros(len(us), np.int64) if held is None else np.maximum(held - us, 0)
-        self.newest.update((int(us.max() if held is None else max(held, us.max())),))
-        out = pd.DataFrame({"measurement_id": batch["measurement_id"], "behind_seconds": behind / MICROS,
-                            "to_replay": behind > self.allowed})
-        for name, part in zip(self.key_names, key):
-            out[name] = part
-        yield out
-
-    def close(self) -> None:
-        pass
-
+        return {"measurement_id": rows["measurement_id"], "behind_seconds": behind / MICROS, "to_replay": behind > self.allowed}, (
+            int(us.max() if held is None else max(held, us.max())),)

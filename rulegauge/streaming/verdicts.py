@@ -13,7 +13,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from rulegauge.functions import predicates as P
 from rulegauge.functions import values as V
@@ -22,71 +21,60 @@ from rulegauge.operators import history as H
 from rulegauge.operators import routing as R
 from rulegauge.operators import rules as U
 from rulegauge.operators.ordered import previous_row
-from rulegauge.streaming.jobs import STATE_STORE
-from rulegauge.streaming.processors import MICROS, _whole
+from rulegauge.streaming.jobs import STATE_STORE, bucketed
+from rulegauge.streaming.processors import MICROS, PerKey
 
 SUBJECT = ["tenant_id", "subject"]
 FACTS = ("tenant_id string, subject string, measurement_id string, us bigint, jurisdiction string, payload string, "
          "n array<bigint>, readings array<bigint>, total array<double>, peak array<double>, last_us bigint, late boolean")
 
 
-class Lookups(StatefulProcessor):
+class Lookups(PerKey):
     """Per record: count, readings, sum and peak of each asked window, and the record before.
 
     ``asks`` are (place of the path, span in microseconds, closed). ``late`` marks a record not newer than all of earlier
-    batches; what it says of itself is not to be used. Only tiles that a window of the batch reaches are read.
+    batches; what it says of itself is not to be used. A subject's state is one value: the newest time, and what windows may still reach.
     """
 
+    held = "newest bigint, us binary, vals binary"
+
     def __init__(self, asks: list[tuple[int, int, bool]], paths: int, tiles: int = 8):
+        super().__init__(SUBJECT)
         self.asks, self.paths = asks, max(1, paths)
         self.span = max([span for _, span, _ in asks], default=MICROS)
         self.width = -(-self.span // tiles)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.tiles = handle.getMapState("tiles", "tile bigint", "us array<bigint>, vals array<double>")
-        # the tiles held are listed beside the newest time, so that none is asked for in vain
-        self.newest = handle.getValueState("newest", "us bigint, held array<bigint>")
-
     def handleInitialState(self, key, initialState, timerValues) -> None:
         rows = initialState if isinstance(initialState, pd.DataFrame) else pd.concat(list(initialState), ignore_index=True)
         if len(rows):
-            rows = rows.sort_values("us", ignore_index=True)
-            self._keep(rows["us"].to_numpy(np.int64), self._readings(rows), None, [], {})
+            for name, mine in self.keys_of(rows.sort_values("us", ignore_index=True)):
+                found = self.kept.getValue(name)
+                self.kept.updateValue(name, self._kept(mine["us"].astype(np.int64), self._readings(mine["vals"]), found and found[0], *self._stored(found)))
 
-    def _readings(self, rows: pd.DataFrame) -> np.ndarray:
-        return np.array([[np.nan if x is None else x for x in v] if len(v) else [np.nan] for v in rows["vals"]], np.float64)
+    def _readings(self, vals: np.ndarray) -> np.ndarray:
+        return np.array([[np.nan if x is None else x for x in v] if len(v) else [np.nan] for v in vals], np.float64)
 
-    def _stored(self, low: int, high: int, held: list[int]) -> dict[int, tuple[list, list]]:
-        """The tiles that windows ending between ``low`` and ``high`` reach."""
-        first, final = (low - self.span) // self.width, high // self.width
-        return {t: self.tiles.getValue((t,)) for t in held if first <= t <= final}
+    def _stored(self, found: tuple | None) -> tuple[np.ndarray, np.ndarray]:
+        """Times and readings held, by tile."""
+        us, vals = (b"", b"") if found is None else (bytes(found[1]), bytes(found[2]))
+        return np.frombuffer(us, np.int64), np.frombuffer(vals, np.float64).reshape(-1, self.paths)
 
-    def _keep(self, us: np.ndarray, vals: np.ndarray, before: int | None, held: list[int], stored: dict) -> None:
+    def _kept(self, us: np.ndarray, vals: np.ndarray, before: int | None, old_us: np.ndarray, old_vals: np.ndarray) -> tuple:
         newest = int(us.max()) if before is None else max(before, int(us.max()))
-        horizon = (newest - self.span) // self.width
-        known = set(held)
-        for tile in np.unique(us // self.width).tolist():
-            if tile < horizon:
-                continue
-            at = us // self.width == tile
-            old_us, old_vals = stored.get(tile, ([], []))
-            self.tiles.updateValue((tile,), ([*old_us, *us[at].tolist()], [*old_vals, *vals[at].ravel().tolist()]))
-            known.add(tile)
-        for tile in [t for t in held if t < horizon]:
-            self.tiles.removeKey((tile,))
-        self.newest.update((newest, sorted(t for t in known if t >= horizon)))
-
-    def handleInputRows(self, key, rows, timerValues):
-        batch = _whole(rows, ["us", "measurement_id"])
-        if batch.empty:
-            return
-        us, vals = batch["us"].to_numpy(np.int64), self._readings(batch)
-        found = self.newest.get()
-        held, tiles = (None, []) if found is None else (found[0], list(found[1]))
-        stored = self._stored(int(us.min()), int(us.max()), tiles)
-        all_us = np.concatenate([us, *[np.array(v[0], np.int64) for v in stored.values()]])
-        all_vals = np.concatenate([vals, *[np.array([np.nan if x is None else x for x in v[1]], np.float64).reshape(-1, self.paths)
-                                           for v in stored.values()]])
+        all_us, all_vals = np.concatenate([old_us, us]), np.concatenate([old_vals, vals])
+        tile = all_us // self.width
+        order = np.argsort(tile, kind="stable")
+        order = order[tile[order] >= (newest - self.span) // self.width]
+        return newest, all_us[order].tobytes(), all_vals[order].tobytes()
+
+    def answer(self, rows, found):
+        us, vals = rows["us"].astype(np.int64), self._readings(rows["vals"])
+        held = None if found is None else found[0]
+        old_us, old_vals = self._stored(found)
+        # the tiles that windows ending in this batch reach
+        tile = old_us // self.width
+        near = (tile >= (int(us.min()) - self.span) // self.width) & (tile <= int(us.max()) // self.width)
+        all_us, all_vals = np.concatenate([us, old_us[near]]), np.concatenate([vals, old_vals[near]])
         order = np.argsort(all_us, kind="stable")
         all_us, all_vals = all_us[order], all_vals[order]
         hi = np.searchsorted(all_us, us, side="right")
@@ -110,19 +98,12 @@ class Lookups(StatefulProcessor):
         first = int(late.sum())
         if held is not None and first < len(us):
             before[first] = held
-        self._keep(us, vals, held, tiles, stored)
-        out = batch[["measurement_id", "us", "jurisdiction", "payload"]].copy()
-        for name, parts in (("n", counts), ("readings", readings), ("total", totals), ("peak", peaks)):
-            out[name] = np.stack(parts, axis=1).tolist() if parts else [[] for _ in us]
-        out["last_us"] = pd.array(np.where(known & ~late, before, 0), dtype="Int64")
-        out.loc[~known | late, "last_us"] = pd.NA
-        out["late"] = late
-        for name, part in zip(SUBJECT, key):
-            out[name] = part
-        yield out[["tenant_id", "subject", "measurement_id", "us", "jurisdiction", "payload", "n", "readings", "total", "peak", "last_us", "late"]]
-
-    def close(self) -> None:
-        pass
+        told = {name: np.stack(parts, axis=1).tolist() if parts else [[] for _ in us]
+                for name, parts in (("n", counts), ("readings", readings), ("total", totals), ("peak", peaks))}
+        last = pd.array(before.astype(np.int64), dtype="Int64")
+        last[~known | late] = pd.NA
+        return {**{c: rows[c] for c in ("measurement_id", "us", "jurisdiction", "payload")}, **told, "last_us": last, "late": late}, self._kept(
+            us, vals, held, old_us, old_vals)
 
 
 class Decider:
@@ -205,8 +186,9 @@ def lookups(records: DataFrame, decider: Decider, initial: DataFrame | None = No
     paths = sorted({p for p, _, _ in decider.asks})
     asks = [(paths.index(p), s * MICROS, closed) for p, s, closed in decider.asks]
     rows = _held(records, paths).select(*SUBJECT, "measurement_id", "us", "jurisdiction", F.to_json("measurement").alias("payload"), "vals")
-    start = None if initial is None else _held(initial, paths).select(*SUBJECT, "us", "vals").groupBy(*SUBJECT)
-    return rows.groupBy(*SUBJECT).transformWithStateInPandas(
+    start = None if initial is None else _held(initial, paths).select(*SUBJECT, "us", "vals")
+    start = None if start is None else bucketed(start, SUBJECT)
+    return bucketed(rows, SUBJECT).transformWithStateInPandas(
         statefulProcessor=Lookups(asks, len(paths)), outputStructType=FACTS, outputMode="Append", timeMode="None", initialState=start)
 
 

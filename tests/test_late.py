@@ -99,3 +99,26 @@ def test_random_lateness_ends_as_the_batch(spark):
     batches = [[r[:4] for r in rows if low <= r[4] < low + 2600] for low in range(0, 7600, 2600)]
     got, want, _ = told(spark, [b for b in batches if b], "lte", metric="x", value="5", fresh_seconds=100)
     assert got == want
+
+
+def test_keys_of_one_call_are_kept_apart(spark, monkeypatch):
+    """All keys in one bucket, null ones and those of other batches among them: each has its own state."""
+    monkeypatch.setattr(J, "BUCKETS", 1)
+    feed, out, state = (work_path(spark, f"apart-{what}") for what in ("feed", "out", "state"))
+    for part in ([("a", "t", 100), ("b", None, 130), ("c", "u", 150)], [("d", "t", 110), ("e", None, 200), ("f", "v", 300)]):
+        rows = literal_frame(spark, [(i, t, "s", s) for i, t, s in part], "measurement_id string, tenant_id string, subject string, s bigint")
+        rows.coalesce(1).write.mode("append").parquet(feed)
+        made = J.since_last(J.read_parquet_stream(spark, feed, rows.schema).withColumn("ts", F.timestamp_seconds("s")))
+        J.advance(made, out, state)
+    got = {r.measurement_id: (r.tenant_id, r.since_last) for r in spark.read.schema(made.schema).parquet(out).collect()}
+    first = {k for k, (_, gap) in got.items() if gap is None or gap != gap}
+    assert first == {"a", "b", "c", "f"} and got["d"] == ("t", 10.0) and got["e"] == (None, 70.0)
+
+
+def test_short_keys_share_a_call(spark):
+    """Five hundred keys of one row are taken in far fewer calls."""
+    from rulegauge.streaming import processors as S
+    assert issubclass(S.LastRecord, S.PerKey) and J.BUCKETS < 2000
+    rows = spark.range(500).select(F.col("id").cast("string").alias("tenant_id"), F.lit("s").alias("subject"))
+    kinds = J.bucketed(rows.filter("tenant_id < '2'"), ["tenant_id", "subject"]).count()
+    assert kinds.columns == ["_bucket", "count"]
