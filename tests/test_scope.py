@@ -114,3 +114,16 @@ def test_totals_are_those_of_the_lists(spark):
     assert got == {"m15us": (2, 15), "m250us": (1, 7), "m375us": (1, 7), "m450eu": (1, 7), "m250-": (2, 16)}
     listed = {r.measurement_id: r.rule_ids for r in R.snapshot_rules(records, rules).collect()}
     assert listed == {"m15us": ["7", "8"], "m250us": ["7"], "m375us": ["7"], "m450eu": ["7"], "m250-": ["7", "9"]}
+
+
+def test_clashing_rules_are_spread_before_their_entries(spark):
+    """One file of rules is one task until it is spread; what multiplies its rows comes after that."""
+    rules = rules_frame(spark, [dict(rule_id=f"r{i}", metric="m", operator="must_equal", value=str(i % 2), effective_date=day(i)) for i in range(20)]).coalesce(1)
+    for found in (G.demand_clashes(rules), G.value_clashes(rules), G.contradictions(rules)):
+        lines = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        depth = [len(line) - len(line.lstrip(" :+-")) for line in lines]
+        spread = [i for i, line in enumerate(lines) if "Repartition" in line]
+        assert len(spread) == 2
+        for i in spread:
+            below = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+            assert not any("explode" in line or "size(" in line for line in lines[i + 1:below])
