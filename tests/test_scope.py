@@ -127,3 +127,17 @@ def test_clashing_rules_are_spread_before_their_entries(spark):
         for i in spread:
             below = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
             assert not any("explode" in line or "size(" in line for line in lines[i + 1:below])
+
+
+def test_an_id_that_comes_twice_has_each_rule_once(spark):
+    rules = rules_frame(spark, [dict(rule_id="1", ord=1, jurisdiction='["us", "ca"]', effective_date=day(0), sunset_date=day(300)),
+                                dict(rule_id="2", ord=2, jurisdiction='"*"', effective_date=day(100), sunset_date=day(200))])
+    records = literal_frame(spark, [("same", day(150), "us"), ("same", day(150), "us"), ("times", day(50), "us"), ("times", day(150), "us"),
+                                    ("places", day(50), "us"), ("places", day(50), "ca")], "measurement_id string, d string, jurisdiction string").select(
+        "measurement_id", F.to_timestamp("d").alias("ts"), "jurisdiction")
+    want = {"same": ["1", "2"], "times": ["1", "2"], "places": ["1"]}
+    assert {r.measurement_id: r.rule_ids for r in R.snapshot_rules(records, rules).collect()} == want
+    versions, nodes = R.rule_index(rules)
+    placed = R.rule_versions(records, versions)
+    sums = R.version_rules(placed, nodes, totals={"n": F.lit(1)})
+    assert {r.measurement_id: r.n for r in placed.join(sums, "stand").collect()} == {k: len(v) for k, v in want.items()}
