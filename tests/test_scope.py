@@ -126,7 +126,7 @@ def test_clashing_rules_are_spread_before_their_entries(spark):
         assert len(spread) == 2
         for i in spread:
             below = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
-            assert not any("explode" in line or "size(" in line for line in lines[i + 1:below])
+            assert not any("Generate" in line or "transform(" in line for line in lines[i + 1:below])
 
 
 def test_an_id_that_comes_twice_has_each_rule_once(spark):
