@@ -95,3 +95,12 @@ def test_rows_without_time_are_nobodys_predecessor(spark):
     lost = records(spark, [("z", 0, "{}")]).withColumn("ts", F.lit(None).cast("timestamp"))
     got = {r.measurement_id: r.last_ts for r in H.last_seen(df.unionByName(lost)).collect()}
     assert got["a"] is None and got["z"] is None and got["b"] is not None
+
+
+def test_previous_row_moves_one_row_per_tile_for_tails(spark):
+    from rulegauge.operators.ordered import previous_row
+    rows = literal_frame(spark, [("a", i, f"v{i}") for i in range(40)] + [("b", 3, "w"), (None, 1, "n"), (None, 2, "m")], "key string, at int, v string")
+    got = previous_row(rows, keys=["key"], order=["at"], tile=F.floor(F.col("at") / 4).cast("bigint"), values=["v"])
+    found = {(r.key, r.at): r.prev_v for r in got.collect()}
+    assert found == {("a", 0): None, **{("a", i): f"v{i - 1}" for i in range(1, 40)}, ("b", 3): None, (None, 1): None, (None, 2): "n"}
+    assert "partial_max_by" in got._jdf.queryExecution().executedPlan().toString()
