@@ -147,3 +147,14 @@ def test_appends_to_a_ledger_without_a_log(spark, verdicts):
         L.append_ledger(chain.filter("sequence_number = 5"), path)
     L.append_ledger(chain.filter("sequence_number = 6"), path)
     assert L.read_ledger(spark, path).count() > 0
+
+
+def test_entries_leave_the_fold_with_their_hashes(verdicts):
+    """Other columns of any type pass through; the entries are not joined with their hashes afterwards."""
+    more = verdicts.withColumns({"extra": F.struct(F.lit(1).alias("a"), F.array("verdict").alias("b")), "at": F.to_timestamp("timestamp_iso"),
+                                 "body": F.parse_json(F.concat(F.lit('{"x":"'), "telemetry_id", F.lit('"}')))})
+    chain = L.build_chain(more, segment_rows=20)
+    assert "Join" not in chain._jdf.queryExecution().executedPlan().toString()
+    assert chain.columns == [*more.columns, "sequence_number", "previous_hash", "entry_hash"]
+    assert chain.filter("extra.b[0] = verdict AND at = to_timestamp(timestamp_iso)").count() == 150
+    assert chain.filter("variant_get(body, '$.x', 'string') = telemetry_id").count() == 150
