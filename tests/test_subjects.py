@@ -60,3 +60,28 @@ def test_proposals_and_envelopes_of_shared_ids(spark):
     assert {(r.tenant_id, r.verdict) for r in E.propose_first_match(df, rules).collect()} == {("t1", "FLAG"), ("t2", "CLEAR")}
     got = {(r.tenant_id, r.verdict, r.verifier_status) for r in E.envelopes(df, rules, carry=H.SUBJECT).collect()}
     assert got == {("t1", "FLAG", "AGREED"), ("t2", "CLEAR", "AGREED")}
+
+
+def test_record_before_is_looked_up_once(spark):
+    from rulegauge.operators import routing as R
+    from rulegauge.operators import rules as E
+    from rulegauge.plans import base as B
+    registry, rules = B.ledger_rules(spark)
+    records = B.mixed_records(spark, "/root/testdata/sf0.001")
+    early = E.evaluate(R.route(E.record_before(records), registry, rules), records, needs=(False, True))
+    late = E.evaluate(R.route(records, registry, rules), records, needs=(False, True))
+    assert early.columns == late.columns
+    pick = ("tenant_id", "measurement_id", "verdict", "reasoning")
+    assert early.select(*pick).exceptAll(late.select(*pick)).count() == 0 and early.count() == late.count() == records.count()
+    assert early._jdf.queryExecution().analyzed().toString().count("windowspecdefinition") < 4
+
+
+def test_entries_are_decided_before_they_are_ranged(spark, monkeypatch):
+    """The pass that finds the ranges reads a written table and does not decide the entries once more."""
+    from rulegauge.operators import ordered
+    from rulegauge.plans import base as B
+    plans, whole = [], ordered.dense_index
+    monkeypatch.setattr(ordered, "dense_index", lambda df, **k: plans.append(df._jdf.queryExecution().executedPlan().toString()) or whole(df, **k))
+    monkeypatch.setattr(B, "_BUILT", {})
+    B.entries_table(spark, "/root/testdata/sf0.001")
+    assert plans and all("Exchange" not in p for p in plans)
