@@ -13,7 +13,7 @@ from rulegauge.operators import graph as G
 from rulegauge.operators import routing as R
 from rulegauge.operators import rules as U
 from rulegauge.operators import scoring as M
-from rulegauge.session import literal_frame
+from rulegauge.session import literal_frame, materialize
 from rulegauge.sources import rulesets as S
 from rulegauge.sources.rulesets import rules_frame
 
@@ -288,3 +288,15 @@ def test_partition_count_does_not_matter(spark):
         seen.append(sorted(map(tuple, QUERIES["win_sum"](spark, "/root/testdata/sf0.001").collect()), key=str))
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert seen[0] == seen[1]
+
+
+def test_responses_are_parsed_once(spark):
+    """Arrays, objects with rules, and what is neither; the optimizer puts no second reading of the text under the explode."""
+    texts = ['[{"id":"a"},null,3]', '{"rules":[{"id":"b"}]}', '{"rules":{"id":"c"}}', '{"rules":null}', '[]', "null", '"[1]"', "7", "no json", None]
+    rows = materialize(literal_frame(spark, list(enumerate(texts)), "n int, response string"))
+    good, bad = X.unwrap(rows)
+    assert sorted((r.n, r.pos) for r in good.select("n", "pos").collect()) == [(0, 0), (0, 1), (0, 2), (1, 0)]
+    assert {r.n: r.reason for r in bad.collect()} == {
+        **dict.fromkeys((2, 3, 5, 6, 7), "no_rule_array"), **dict.fromkeys((8, 9), "not_json")}
+    plan = good._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") + plan.count("parse_json") == 1 and "schemaOfVariant" not in plan
