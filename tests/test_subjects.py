@@ -85,3 +85,14 @@ def test_entries_are_decided_before_they_are_ranged(spark, monkeypatch):
     monkeypatch.setattr(B, "_BUILT", {})
     B.entries_table(spark, "/root/testdata/sf0.001")
     assert plans and all("Exchange" not in p for p in plans)
+
+
+def test_replay_writes_what_it_compares(spark, monkeypatch):
+    from rulegauge.operators import replay as Y
+    from rulegauge.plans import audit
+    written, whole = [], Y.materialize
+    monkeypatch.setattr(Y, "materialize", lambda df, *a, **k: written.append(df) or whole(df, *a, **k))
+    got = audit._replayed(spark, "/root/testdata/sf0.001")
+    assert set(written[0].columns) == {"tenant_id", "sequence_number", "telemetry_id", "rule_id", "verdict", "skip_reason", "record", "_key"}
+    assert written[0].filter("skip_reason IS NOT NULL AND record IS NOT NULL").count() == 0
+    assert {r.outcome for r in got.select("outcome").distinct().collect()} == {"skipped", "matched", "mismatched"}
