@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rulegauge.llm.common import batches, lists, numbered, scalar, stored, texts_of
+from rulegauge.llm.common import batches, drop_stored, lists, numbered, scalar, short_lived_shuffles, stored, texts_of
 from rulegauge.llm.components import components
 
 BITS = 64
@@ -225,6 +225,8 @@ _WORDS = 10
 _PIECES = ((0, 11), (11, 11), (22, 10))
 #: Bits that may differ in a short fingerprint, and in it and the next one together.
 _PART, _BOTH = 2, 11
+#: Short fingerprints whose keys are sent at once, and most bits of the filter of rows whose texts are compared.
+_TURN, _FILTER = 5, 1 << 26
 #: Keys of a trie walked by one task, and pairs of keys compared at once.
 _KEYS, _SMALL = 1 << 16, 256
 
@@ -276,12 +278,14 @@ def _signatures(rows: DataFrame, width: int, seed: int) -> DataFrame:
     return rows.select("_row", "doc_id", "text").mapInArrow(run, shape)
 
 
-def _candidates(signed: DataFrame, depth: int) -> DataFrame:
-    """Edges ``a, b`` of rows of ``signed`` (_row, _bits): in the trie of each short fingerprint, a forest over those within
-    ``_PART`` bits that also differ in at most ``_BOTH`` bits with the next fingerprint.
+def _candidates(signed: DataFrame, depth: int, most: int, prints: range) -> DataFrame:
+    """``a, b, differ`` of rows of ``signed`` (_row, _bits): in the trie of each of the short fingerprints ``prints``, a forest over
+    those within ``_PART`` bits that also differ in at most ``_BOTH`` bits with the next fingerprint; of its edges those whose
+    signatures differ in at most ``most`` bits.
 
     Of three pieces of a fingerprint one is equal in both: each takes its turn in front, and tries are cut into tasks by their
-    first ``depth`` bits, where nothing may differ.
+    first ``depth`` bits, where nothing may differ. Signatures travel with the keys, so edges that they rule out never leave the
+    task: a group of similar texts below the limit has some in every trie.
     """
     def send(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -289,16 +293,17 @@ def _candidates(signed: DataFrame, depth: int) -> DataFrame:
                 part = batch.slice(at, 4096)
                 if not part.num_rows:
                     continue
-                flat = part.column("_bits").flatten().to_numpy().view(np.uint32).reshape(part.num_rows, -1).astype(np.uint64)
-                after, keys, tasks = np.roll(flat, -1, axis=1), [], []
-                for t in range(flat.shape[1]):
+                words = np.ascontiguousarray(part.column("_bits").flatten().to_numpy())
+                signs = pa.Array.from_buffers(pa.binary(8 * _WORDS), part.num_rows, [None, pa.py_buffer(words)]).cast(pa.binary())
+                flat = words.view(np.uint32).reshape(part.num_rows, -1).astype(np.uint64)
+                after = np.roll(flat, -1, axis=1)
+                for t in prints:
                     for o, (turn, _) in enumerate(_PIECES):
                         turned = (flat[:, t] << np.uint64(turn) | flat[:, t] >> np.uint64(32 - turn)) & np.uint64(0xFFFFFFFF)
-                        keys.append(turned << np.uint64(32) | after[:, t])
-                        tasks.append((t * len(_PIECES) + o << depth) + (turned >> np.uint64(32 - depth)).astype(np.int64))
-                ids = np.tile(part.column("_row").to_numpy(), len(keys))
-                yield pa.record_batch([pa.array(np.concatenate(tasks).astype(np.int32)), pa.array(np.concatenate(keys).view(np.int64)),
-                                       pa.array(ids)], names=["task", "key", "_row"])
+                        key = (turned << np.uint64(32) | after[:, t]).view(np.int64)
+                        task = (t * len(_PIECES) + o << depth) + (turned >> np.uint64(32 - depth)).astype(np.int64)
+                        yield pa.record_batch([pa.array(task.astype(np.int32)), pa.array(key), part.column("_row"), signs],
+                                              names=["task", "key", "_row", "sign"])
 
     def walk(task: tuple, table: pa.Table) -> pa.Table:
         keys = table.column("key").to_numpy().view(np.uint64)
@@ -307,10 +312,16 @@ def _candidates(signed: DataFrame, depth: int) -> DataFrame:
         exact = _PIECES[(task[0].as_py() >> depth) % len(_PIECES)][1]
         if len(keys) > 1:
             trie_links(keys, 0, depth, 0, (1 << 20) // _SMALL, _BOTH, _PART, exact=exact, small=_SMALL, found=found)
-        a, b = (np.concatenate([np.zeros(0, np.int64), *[ids[pair[k]] for pair in found]]) for k in (0, 1))
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-    sent = signed.select("_row", "_bits").mapInArrow(send, "task int, key bigint, _row bigint")
-    return sent.groupBy("task").applyInArrow(walk, "a bigint, b bigint").distinct()
+        i, j = (np.concatenate([np.zeros(0, np.int64), *[pair[k] for pair in found]]) for k in (0, 1))
+        signs = np.frombuffer(b"".join(table.column("sign").to_pylist()), np.uint64).reshape(-1, _WORDS)
+        differ = np.zeros(len(i), np.int64)
+        for word in range(_WORDS):
+            differ += np.bitwise_count(signs[order[i], word] ^ signs[order[j], word])
+        near = differ <= most
+        a, b = ids[i[near]], ids[j[near]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "differ": differ[near]})
+    sent = signed.select("_row", "_bits").mapInArrow(send, "task int, key bigint, _row bigint, sign binary")
+    return sent.groupBy("task").applyInArrow(walk, "a bigint, b bigint, differ bigint").distinct()
 
 
 def _bits_at(similarity: float) -> int:
@@ -325,36 +336,63 @@ def _with_both(edges: DataFrame, of: DataFrame, name: str) -> DataFrame:
     return edges
 
 
+def _sets(texts: DataFrame, ends: DataFrame, width: int, seed: int) -> DataFrame:
+    """``_row, _set`` (sorted hashes of the shingles) of the rows of ``texts`` named in ``ends``, and of a few more.
+
+    A filter of the names, a bit each in at most ``_FILTER`` bits, goes to the texts: those not asked for are not shuffled.
+    """
+    most = scalar(ends.agg(F.count(F.lit(1))))[0]
+    size = min(_FILTER, 1 << max(15, (16 * most).bit_length()))
+    bit = F.xxhash64("_row").bitwiseAND(F.lit(size - 1))
+    asked = ends.select((bit + 1).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("at")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    known = np.zeros(size >> 3, np.uint8)
+    with short_lived_shuffles(ends.sparkSession):
+        for at, bits in asked.collect():
+            known[(at - 1) * len(bits):at * len(bits)] = np.frombuffer(bits, np.uint8)
+    known = ends.sparkSession.sparkContext.broadcast(known)
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            bits = batch.column("_bit").to_numpy()
+            batch = batch.filter(pa.array((known.value[bits >> 3] >> (bits & 7).astype(np.uint8)) & 1 == 1))
+            for part in batches([batch], 4 << 20):
+                found = [shingles(text, width, seed)[1].view(np.int64) for text in texts_of(part.column("text"))]
+                flat = np.concatenate([np.zeros(0, np.int64), *found])
+                yield pa.record_batch([part.column("_row"), lists(flat, [len(f) for f in found], pa.int64())], names=["_row", "_set"])
+    return texts.select("_row", bit.alias("_bit"), "text").mapInArrow(run, "_row bigint, _set array<bigint>")
+
+
 def near_copies(texts: DataFrame, signed: DataFrame, *, width: int = 5, seed: int = 42, similarity: float = 0.8,
                 lower: float = 0.7, sure: float = 0.9) -> DataFrame:
-    """``node, root`` of the rows of ``signed`` (_row, _bits; stored) that have near copies there; ``texts`` holds their _row, text.
+    """``node, root`` (stored) of the rows of ``signed`` (_row, _bits; stored) that have near copies there; ``texts`` holds their _row, text.
 
     Candidates whose signatures tell a similarity below ``lower`` are dropped, from ``sure`` on they are linked; those between,
     unless sure links connect them already, are linked if the exact similarity of their shingle sets is ``similarity`` or more.
     """
     depth = min(10, max(0, math.ceil(math.log2(max(1, scalar(signed.agg(F.count(F.lit(1))))[0]) / _KEYS))))
-    edges = stored(_candidates(signed, depth), "candidates")
-    differ = sum(F.bit_count(F.col("_bits_a")[i].bitwiseXOR(F.col("_bits_b")[i])) for i in range(_WORDS))
-    told = stored(_with_both(edges, signed, "_bits").select("a", "b", differ.alias("differ")).filter(F.col("differ") <= _bits_at(lower)), "told")
+    # some fingerprints at a time: what is sent for them is freed before the next are
+    turns = [stored(_candidates(signed, depth, _bits_at(lower), range(t, min(t + _TURN, 2 * _WORDS))), "candidates")
+             for t in range(0, 2 * _WORDS, _TURN)]
+    told = turns[0]
+    for turn in turns[1:]:
+        told = told.unionByName(turn)
+    told = stored(told.distinct(), "told")
+    drop_stored(*turns)
     linked = stored(components(told.filter(F.col("differ") <= _bits_at(sure))), "linked")
     open_ = told.filter(F.col("differ") > _bits_at(sure)).select("a", "b")
     for end in ("a", "b"):
         known = linked.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
         open_ = open_.join(known, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
     open_ = stored(open_.filter("root_a != root_b").select("a", "b"), "open")
-
-    def sets(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            for part in batches([batch], 4 << 20):
-                found = [shingles(text, width, seed)[1].view(np.int64) for text in texts_of(part.column("text"))]
-                flat = np.concatenate([np.zeros(0, np.int64), *found])
-                yield pa.record_batch([part.column("_row"), lists(flat, [len(f) for f in found], pa.int64())], names=["_row", "_set"])
     ends = open_.select(F.col("a").alias("_row")).unionByName(open_.select(F.col("b").alias("_row"))).distinct()
-    held = stored(texts.select("_row", "text").join(ends, "_row", "left_semi").mapInArrow(sets, "_row bigint, _set array<bigint>"), "sets")
+    held = stored(_sets(texts, ends, width, seed), "sets")
     common = F.size(F.array_intersect("_set_a", "_set_b"))
     proven = _with_both(open_, held, "_set").withColumn("common", common).filter(
         F.col("common") >= similarity * (F.size("_set_a") + F.size("_set_b") - F.col("common"))).select("a", "b")
-    return components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(proven))
+    roots = stored(components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(proven)), "roots")
+    drop_stored(told, linked, open_, held)
+    return roots
 
 
 def keep_one_similar(docs: DataFrame, *, width: int = 5, seed: int = 42, similarity: float = 0.8) -> DataFrame:
@@ -373,9 +411,11 @@ def keep_one_similar(docs: DataFrame, *, width: int = 5, seed: int = 42, similar
     prints = stored(_signatures(known, width, seed), "prints")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row", "_bits")
     texts = stored(prints.groupBy("_copy").agg(F.min(first).alias("first")).select("first.*"), "texts")
-    roots = stored(near_copies(known, texts, width=width, seed=seed, similarity=similarity), "roots")
+    drop_stored(prints)
+    roots = near_copies(known, texts, width=width, seed=seed, similarity=similarity)
     best = texts.join(roots, F.col("_row") == F.col("node"), "left").groupBy(F.coalesce("root", "_row").alias("root")).agg(
         F.min(F.struct("none", "doc_id", "_row")).alias("first"))
     kept = stored(best.select(F.col("first._row").alias(own)), "kept")
+    drop_stored(texts, roots)
     # as many ids as documents stay: the join is the same at every size, not a broadcast while they are few
     return rows.join(kept.hint("merge"), own, "left_semi").select(*docs.columns)
