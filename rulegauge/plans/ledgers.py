@@ -17,7 +17,7 @@ _REC = "WITH RECURSIVE "
 @B.query("ledger_build", f"""{_REC}{B.CHAIN_SQL}
   SELECT tenant_id, seq AS sequence_number, telemetry_id, previous_hash, entry_hash FROM ledger""")
 def _build(spark, sf_dir):
-    built = L.build_chain(B.entries_table(spark, sf_dir).drop("sequence_number"))
+    built = L.build_chain(B.decided_table(spark, sf_dir))
     return built.select("tenant_id", "sequence_number", "telemetry_id", "previous_hash", "entry_hash")
 
 
@@ -25,7 +25,7 @@ def _build(spark, sf_dir):
   SELECT tenant_id, seq AS sequence_number, entry_hash FROM ledger""")
 def _continue(spark, sf_dir):
     """Two appends give the same chain as one: the first half of January, then the rest on its heads."""
-    entries = B.entries_table(spark, sf_dir).drop("sequence_number")
+    entries = B.decided_table(spark, sf_dir)
     first = L.build_chain(entries.filter("timestamp_iso < '2024-01-15'"))
     rest = L.build_chain(entries.filter("timestamp_iso >= '2024-01-15'"), heads=L.heads_of(first))
     return first.unionByName(rest).select("tenant_id", "sequence_number", "entry_hash")

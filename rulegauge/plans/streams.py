@@ -59,8 +59,7 @@ def _debounce(spark, sf_dir):
 @B.query("stream_ledger", f"""WITH RECURSIVE {B.CHAIN_SQL} SELECT tenant_id, seq AS sequence_number, telemetry_id, entry_hash FROM ledger""")
 def _ledger(spark, sf_dir):
     """The decided entries as a stream give the chain that the batch build gives."""
-    entries = B.entries_table(spark, sf_dir)
-    got = _in_steps(spark, entries, _HALVES, lambda feed: J.append_chain(feed.drop("sequence_number")), "chain")
+    got = _in_steps(spark, B.decided_table(spark, sf_dir), _HALVES, J.append_chain, "chain")
     return got.select("tenant_id", "sequence_number", "telemetry_id", "entry_hash")
 
 
