@@ -141,3 +141,17 @@ def test_an_id_that_comes_twice_has_each_rule_once(spark):
     placed = R.rule_versions(records, versions)
     sums = R.version_rules(placed, nodes, totals={"n": F.lit(1)})
     assert {r.measurement_id: r.n for r in placed.join(sums, "stand").collect()} == {k: len(v) for k, v in want.items()}
+
+
+@pytest.mark.parametrize("clashes", [G.contradictions])
+def test_entries_of_clashing_rules_are_never_broadcast(spark, clashes):
+    """A file of rules looks small beside the entries made of it; a broadcast of these would go through the driver."""
+    rules = rules_frame(spark, [dict(rule_id=f"{i}{kind}", metric="m", operator=kind, value=str(i % 2), effective_date=day(i % 9), sunset_date=day(20))
+                                for i in range(40) for kind in ("must_equal", "must_be_below")])
+    found = clashes(rules)
+    assert len(found.collect()) == 40
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    # what becomes entries are the nine different periods, asked about under one mark and held under two
+    made = {x.rsplit("/", 1)[0] for x in found.inputFiles() if "/asked-" in x or "/held-" in x}
+    assert sorted(spark.read.parquet(f).count() for f in made) == [9, 18]
