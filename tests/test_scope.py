@@ -143,7 +143,7 @@ def test_an_id_that_comes_twice_has_each_rule_once(spark):
     assert {r.measurement_id: r.n for r in placed.join(sums, "stand").collect()} == {k: len(v) for k, v in want.items()}
 
 
-@pytest.mark.parametrize("clashes", [G.contradictions])
+@pytest.mark.parametrize("clashes", [G.contradictions, G.demand_clashes])
 def test_entries_of_clashing_rules_are_never_broadcast(spark, clashes):
     """A file of rules looks small beside the entries made of it; a broadcast of these would go through the driver."""
     rules = rules_frame(spark, [dict(rule_id=f"{i}{kind}", metric="m", operator=kind, value=str(i % 2), effective_date=day(i % 9), sunset_date=day(20))
